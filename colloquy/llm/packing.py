@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,6 @@ END = 1
 BLOCK_TOKENS = 1 << 22
 #: Tokens a window may stay short of its end; those that fall shorter are cut anew.
 SLACK = 8
-#: Pieces of text between spaces whose ids a task keeps at most.
-MEMO = 500_000
-#: Marks that the tokenizer splits from a word before them, taken together.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_|~"
 #: White space other than the space and the line feed.
 RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -120,36 +115,25 @@ def pack_block(docs: list[tuple[int, np.ndarray]], window: int = WINDOW, slack:
         yield out
 
 
-class Ids(dict):
-    """Ids, as two bytes each, of the pieces of text from a space to the next one; those met lately are kept.
+class Ids:
+    """Ids of whole texts, by tiktoken from the same vocabulary, which gives the tokenizer's ids in less time.
 
-    The tokenizer splits before a space that a non-space follows whatever stands around, so such pieces can be encoded
-    apart, by tiktoken from the same vocabulary, which gives the same ids in less time. The tokenizer itself encodes
-    texts where white space meets a space, and those that may hold a special token.
+    Where white space never stands beside white space, the pattern's look-ahead for such runs can't matter, and a
+    pattern without it splits alike and faster. The tokenizer itself encodes texts that may hold a special token.
     """
 
     def __init__(self, path: str, ranks: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        assert self.tokenizer.get_vocab_size() <= 1 << 16
-        self.encode = encoding(ranks)._core_bpe.encode_ordinary
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        word = piece.rstrip(MARKS)
-        if word[-1:].isalpha() and len(word) < len(piece):  # marks after a word are a piece of their own
-            return self[word] + self[piece[len(word) :]]
-        out = self[piece] = array("H", self.encode(piece)).tobytes()
-        return out
+        self.full, self.plain = encoding(ranks), encoding(ranks, public_tokenizers.PATTERN.replace(r"|\s+(?!\S)", ""))
 
     def of(self, text: str) -> np.ndarray:
-        if "<|" in text or "  " in text or "\n " in text or " \n" in text or text[-1:] == " " or RARE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        first, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text[:0], *re.findall(" ?[^ ]+", text)]
-        parts = [self[first]] if first else []
-        parts += map(self.__getitem__, rest)
-        return np.frombuffer(b"".join(parts), dtype="<u2").astype("<u4")
+        if "<|" in text:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif "  " in text or "\n\n" in text or "\n " in text or " \n" in text or RARE.search(text):
+            ids = self.full.encode_ordinary(text)
+        else:
+            ids = self.plain.encode_ordinary(text)
+        return np.array(ids, dtype="<u4")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:

@@ -13,5 +13,5 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def encoding(path: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
