@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing, quality, simhash, topk, toxicity
+from . import bpe, chat, fingerprints, html_text, lattice, packing, quality, simhash, topk, toxicity
 from .common import table
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": lambda s, d: html_text.extract(table(s, d, "pages")),
         "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op3_exact_topk": lambda s, d: topk.topk_query(table(s, d, "embeddings")),
         "op4_toxicity": lambda s, d: toxicity.toxicity_query(table(s, d, "documents"), table(s, d, "labels")),
         "op5_simhash_near_dedup": lambda s, d: simhash.near_duplicate_query(table(s, d, "documents")),
         "op6_document_fingerprints": lambda s, d: fingerprints.fingerprint_query(table(s, d, "documents")),
+        "op7_byte_bpe": lambda s, d: bpe.bpe_query(table(s, d, "documents")),
         "op8_quality_classifier": lambda s, d: quality.quality_query(table(s, d, "documents"), table(s, d, "labels")),
+        "op9_lm_scoring": lambda s, d: lattice.score_texts(table(s, d, "documents")),
         "op10_chat_formatting": lambda s, d: chat.chat_query(table(s, d, "conversations")),
     }
 
