@@ -15,9 +15,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Rows of an Arrow batch where the rows hold whole texts, so that a batch of long texts stays small.
 TEXT_ROWS = 512
-#: Labelled rows that a classifier is fitted on at most, and characters of each that are used for fitting.
+#: Labelled rows that a classifier is fitted on at most, and characters that they have together at most.
 FIT_ROWS = 8000
-FIT_CHARS = 20_000
+FIT_CHARS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,18 +57,31 @@ def crc_mod(column: str, n: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` labelled documents, half of them of either label as far as there are so many.
+    """(whole text, label) of at most `rows` labelled documents, half of them of either label as far as there are so many.
 
-    learn: condition on doc_id that a row may be learnt from. Which rows are taken depends on a hash of the id alone.
-    The chosen ids are at most `rows`, so they can be broadcast; texts are cut to `chars` for fitting only.
+    learn: condition on doc_id that a row may be learnt from. Which rows are taken depends on a hash of the id alone; a
+    row that would bring the sample beyond `chars` characters is left out. The ids are at most `rows`, so they can be
+    broadcast. Of rows with one id the longest is taken; of several labels of one id the largest.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     order = [F.xxhash64("doc_id", F.lit(label)), F.col("doc_id")]
     parts = [known.where(F.col("__label") == y).orderBy(*order).limit(rows // 2) for y in (0, 1)]
-    ids = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "__id")
-    found = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("__text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-    got = found.select("doc_id", "__text", "__label").dropDuplicates(["doc_id"]).collect()
-    return [(r[1], r[2]) for r in sorted(got, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))]
+    ids = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "__label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
+    sizes: dict[int, tuple[int, int]] = {}
+    for i, n, y in texts.select("doc_id", F.length("__text").alias("__n")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "__n", "__label").collect():
+        sizes[i] = (max(n, sizes.get(i, (0, y))[0]), y)
+    chosen = []
+    for i in sorted(sizes, key=lambda i: (zlib.crc32(str(i).encode()), i)):
+        if sizes[i][0] <= chars:
+            chosen.append((i, *sizes[i]))
+            chars -= sizes[i][0]
+    if not chosen:
+        return []
+    own = F.broadcast(spark.createDataFrame(chosen, "__id long, __n int, __label int"))
+    got = texts.join(own, (F.col("doc_id") == F.col("__id")) & (F.length("__text") == F.col("__n"))).select("doc_id", "__text", "__label").collect()
+    return [(t, y) for _, (t, y) in sorted({i: (t, y) for i, t, y in sorted(map(tuple, got))}.items(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))]
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], column: str = "score") -> DataFrame:

@@ -15,8 +15,8 @@ from .common import FIT_CHARS, FIT_ROWS, crc_mod, labelled_sample, logistic, sco
 SEGMENT = 1024
 DICTIONARY = 64 * 1024
 LEVEL = 3
-#: Segments of either label that a dictionary is built from at most.
-SEGMENTS = 4000
+#: Segments of either label, and of one text, spread over all of it, that a dictionary is built from at most.
+SEGMENTS, EACH = 4000, 16
 THRESHOLD = 0.3
 
 
@@ -54,6 +54,10 @@ def segments(data: bytes) -> list[bytes]:
     return [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)] or [b""]
 
 
+def spread(parts: list[bytes], most: int = EACH) -> list[bytes]:
+    return parts if len(parts) <= most else [parts[k * len(parts) // most] for k in range(most)]
+
+
 def fit(rows: list[tuple[str, int]], prior: float | None = None) -> QualityModel:
     """The first half of the rows builds the dictionaries, the other one calibrates.
 
@@ -63,7 +67,7 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> QualityModel
     half = len(rows) // 2
     packs = {}
     for label in (0, 1):
-        parts = [s for t, y in rows[:half] if y == label for s in segments(t.encode("utf-8", "replace"))]
+        parts = [s for t, y in rows[:half] if y == label for s in spread(segments(t.encode("utf-8", "replace")))]
         step = max(1, len(parts) // SEGMENTS)
         parts = parts[::step][:SEGMENTS]
         try:
@@ -89,8 +93,8 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> QualityModel
 def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
     """The documents with `score`, the calibrated chance that a text is good.
 
-    Learns from at most `rows` labelled documents that `learn` (a condition on doc_id) allows, the first `chars`
-    characters of each; scores whole texts. A null text scores as the empty one; repeated rows are all scored, alike;
+    Learns from at most `rows` labelled documents that `learn` (a condition on doc_id) allows, whole texts of `chars`
+    characters together at most; scores whole texts. A null text scores as the empty one; repeated rows are all scored, alike;
     without labels every score is a half; an empty table stays empty. Other columns pass unchanged, but for a `score`,
     which is replaced.
     """

@@ -151,8 +151,8 @@ def fit(rows: list[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
     """The documents with `score`, the chance that a text is toxic.
 
-    Learns from at most `rows` labelled documents that `learn` allows, the first `chars` characters of each; scores
-    whole texts. A null or empty text gets the score of a text without words; repeated rows are all scored, alike;
+    Learns from at most `rows` labelled documents that `learn` allows, whole texts of `chars` characters together at
+    most; scores whole texts. A null or empty text gets the score of a text without words; repeated rows are all scored, alike;
     with no labels every score is a half; an empty table stays empty; other columns pass unchanged, but for a `score`,
     which is replaced.
     """
