@@ -1,0 +1,12 @@
+"""The catalogue of queries over the given tables."""
+
+from ..sources.tables import with_views
+from . import catalogue, conversations
+
+
+def queries() -> dict:
+    return dict(catalogue.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in catalogue.SQL.items()}
