@@ -1,7 +1,11 @@
 """The catalogue of queries over the given tables."""
 
 from ..sources.tables import with_views
-from . import catalogue, conversations
+from . import catalogue, conversations, judging
+
+
+
+__all__ = ["catalogue", "conversations", "judging", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
