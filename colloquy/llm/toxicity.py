@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -83,10 +83,6 @@ class ToxicityModel:
         return sigmoid(np.array([self.constant + sum(self.weights[f] for f in sorted(self.found(t))) for t in texts]))
 
 
-def bag(found: set[str], memo: dict[str, list[str]]) -> set[str]:
-    return {f for w in found for f in (memo.get(w) or memo.setdefault(w, features(w)))}
-
-
 def fit(rows: list[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e-3, ridge: float = 2e-5, steps: int = 200) -> ToxicityModel:
     """Logistic loss + fairness * mean (logit of a row - logit of its counterfactual) ** 2 + a penalty on the weights.
 
@@ -97,29 +93,42 @@ def fit(rows: list[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    sets = [words(t) for t, _ in rows]
-    seen = Counter(w for s in sets for w in s)
-    sets = [{w for w in s if seen[w] > 1 or w in GROUPS} for s in sets]
-    memo: dict[str, list[str]] = {}
+    vocabulary = {w: k for k, w in enumerate(GROUPS)}  # words as numbers, so that many texts stay small
+    texts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), dtype=np.int32) for t, _ in rows]
+    seen = np.bincount(np.concatenate(texts), minlength=len(vocabulary))
+    seen[: len(GROUPS)] = 2
+    ids: dict[str, int] = {}
+    of_word = [np.array([ids.setdefault(f, len(ids)) for f in features(w)]) if n > 1 else None for w, n in zip(vocabulary, seen)]
+    texts = [t[seen[t] > 1] for t in texts]
+    bag = lambda t: np.unique(np.concatenate([of_word[k] for k in t])) if len(t) else np.zeros(0, dtype=np.int64)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    sums: dict[str, list[float]] = {}
-    for s, v in zip(sets, weight * (2 * y - 1)):
-        for f in bag(s, memo):
-            at = sums.setdefault(f, [0.0, 0])
-            at[0] += v
-            at[1] += 1
-    told = sorted((f for f, at in sums.items() if at[1] > 2), key=lambda f: (-abs(sums[f][0]) / sums[f][1] ** 0.5, f))[:FEATURES]
-    names = sorted({*told, *(f for w in GROUPS for f in features(w))})
-    index = {f: k for k, f in enumerate(names)}
-
-    def matrix(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(names)), dtype=np.float32)
-        for k, s in enumerate(sets):
-            out[k, [index[f] for f in bag(s, memo) if f in index]] = 1
+    sums, often = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+    for t, v in zip(texts, weight * (2 * y - 1)):
+        found = bag(t)
+        sums[found] += v
+        often[found] += 1
+    every = list(ids)
+    told = sorted(np.flatnonzero(often > 2), key=lambda f: (-abs(sums[f]) / often[f] ** 0.5, every[f]))[:FEATURES]
+    names = sorted({*(every[f] for f in told), *(f for w in GROUPS for f in features(w))})
+    place = np.full(len(ids), -1)
+    place[[ids[f] for f in names]] = np.arange(len(names))
+    terms = list(GROUPS)
+
+    def matrix(texts: Iterable[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(y), len(names)), dtype=np.float32)
+        for k, t in enumerate(texts):
+            at = place[bag(t)]
+            out[k, at[at >= 0]] = 1
         return out
 
-    x = matrix(sets)
-    gap = x - matrix([swapped(s, k) for k, s in enumerate(sets)])
+    def counterfactual(t: np.ndarray, turn: int) -> np.ndarray:
+        group = swapped({terms[k] for k in t[t < len(terms)]}, turn)
+        return np.concatenate([t[t >= len(terms)], np.array(sorted(vocabulary[w] for w in group), dtype=np.int32)])
+
+    x = matrix(texts)
+    gap = matrix(counterfactual(t, k) for k, t in enumerate(texts))
+    np.subtract(x, gap, out=gap)
+    del texts, of_word, ids, every, vocabulary
     n = len(y)
     w = v = np.zeros(len(names))
     c = cv = 0.0
