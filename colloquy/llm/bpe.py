@@ -60,7 +60,8 @@ def assembled(df: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
         table[r] = t
     # the vocabulary is of a fixed size, so its bytes are sent to all executors
     shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(table), dtype=np.uint8), np.array([len(t) for t in table], dtype=np.int64)))
-    names = [f.strip().split()[0] for f in schema.split(", ")]
+    kinds = exchange.arrow_schema(schema)
+    names = kinds.names
 
     def assemble(docs: pa.Table, places: np.ndarray, order: np.ndarray, answers: list) -> dict:
         letters, widths = shared.value
@@ -78,7 +79,7 @@ def assembled(df: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
             decoded = b"".join(letters[exchange.gather(begins, widths, ids[k : k + STEP])].tobytes() for k in range(0, len(ids), STEP))
             for n, v in zip(names, (doc, *finish(ids, decoded))):
                 out[n].append(v)
-        return {n: pa.array(v, pa.int64()) if n in ("doc_id", "n_tokens") else pa.array(v) for n, v in out.items()}
+        return {f.name: pa.array(out[f.name], f.type) for f in kinds}
 
     return exchange.by_block(df, assemble, schema)
 

@@ -20,6 +20,8 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import runs, text_batches
 
@@ -132,6 +134,10 @@ def blocks(docs: DataFrame, tokens: Callable[[], Callable[[str], Iterator[bytes]
     return docs.select("doc_id", "text").mapInArrow(run, ROW).repartition("p").sortWithinPartitions("p", "kind", "block")
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def words_of(blob: bytes) -> list[bytes]:
     return unsqueezed(blob).split(BETWEEN)
 
@@ -160,10 +166,7 @@ def by_part(df: DataFrame, answer: Callable[[], Callable[[int, list[tuple[int, l
                 if rows:
                     yield made(rows)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    kinds = arrow_schema(schema)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], names=fields)

@@ -51,8 +51,8 @@ class CapacityTree:
         while not self.counts[k]:  # up, until some leaf to the right is open
             while k & 1:
                 k >>= 1
-                if not k & (k - 1):  # the right edge of the tree
-                    return None
+            if not k:  # the right edge of the tree
+                return None
             k += 1
         while k < self.size:  # down, to the leftmost of those
             k = 2 * k if self.counts[2 * k] else 2 * k + 1
