@@ -111,4 +111,4 @@ def judge_reply(text: Column, low: int, high: int, default: int) -> tuple[Column
     """(score, parsed) of a judge's reply: a JSON object, fenced or not, else the first number after "score"; clamped."""
     bare = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")
     told = F.coalesce(F.get_json_object(F.when(F.try_parse_json(bare).isNotNull(), bare), "$.score").try_cast("double"), found(bare, r'(?i)"?score"?\s*[:=]\s*(-?\d+)').try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.round(told).cast("int"))), F.lit(default)), told.isNotNull()
+    return F.when(told.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.round(told).cast("int")))).otherwise(default), told.isNotNull()

@@ -8,11 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 #: Stages of messages that a rollout made; everything else is a seed.
 ROLLOUT_STAGES = ("rollout_assistant", "rollout_user_simulator")
-BY_SAMPLE = W.partitionBy("sample_id").orderBy("turn_index")
-BEFORE = BY_SAMPLE.rowsBetween(W.unboundedPreceding, -1)
+
+
+def by_sample() -> WindowSpec:
+    return W.partitionBy("sample_id").orderBy("turn_index")
+
+
+def before() -> WindowSpec:
+    return by_sample().rowsBetween(W.unboundedPreceding, -1)
 
 
 def is_seed() -> Column:
@@ -21,20 +28,20 @@ def is_seed() -> Column:
 
 def with_question(messages: DataFrame) -> DataFrame:
     """Each message with the content before it as `question`; the first one's is empty."""
-    return messages.withColumn("question", F.coalesce(F.lag("content").over(BY_SAMPLE), F.lit("")))
+    return messages.withColumn("question", F.coalesce(F.lag("content").over(by_sample()), F.lit("")))
 
 
 def with_last_user(messages: DataFrame) -> DataFrame:
     """Assistant messages with the nearest user message before them (null if none)."""
     said = F.when(F.col("role") == "user", F.col("content"))
-    return messages.withColumn("last_user", F.last(said, ignorenulls=True).over(BEFORE)).where(F.col("role") == "assistant")
+    return messages.withColumn("last_user", F.last(said, ignorenulls=True).over(before())).where(F.col("role") == "assistant")
 
 
 def with_turn_number(messages: DataFrame) -> DataFrame:
     """How many user and assistant messages stand before; -1 for system messages."""
     spoken = F.when(F.col("role").isin("user", "assistant"), 1).otherwise(0)
-    before = F.coalesce(F.sum(spoken).over(BEFORE), F.lit(0))
-    return messages.withColumn("turn_number", F.when(F.col("role") == "system", -1).otherwise(before).cast("long"))
+    so_far = F.coalesce(F.sum(spoken).over(before()), F.lit(0))
+    return messages.withColumn("turn_number", F.when(F.col("role") == "system", -1).otherwise(so_far).cast("long"))
 
 
 def with_order(messages: DataFrame, position: str) -> DataFrame:
@@ -64,7 +71,7 @@ def last_by_role(messages: DataFrame) -> DataFrame:
 
 def consecutive_assistants(messages: DataFrame) -> DataFrame:
     """Ids of conversations in which two assistant messages follow one another."""
-    follows = (F.col("role") == "assistant") & (F.lag("role").over(BY_SAMPLE) == "assistant")
+    follows = (F.col("role") == "assistant") & (F.lag("role").over(by_sample()) == "assistant")
     return messages.withColumn("again", follows).where("again").select("sample_id").distinct()
 
 
@@ -99,7 +106,7 @@ def recent_turns(conversations: DataFrame, turns: int) -> DataFrame:
 
 def prefix_slices(messages: DataFrame) -> DataFrame:
     """One row per assistant message with every message up to it, in order."""
-    upto = F.collect_list(F.struct("role", "content")).over(BY_SAMPLE.rowsBetween(W.unboundedPreceding, 0))
+    upto = F.collect_list(F.struct("role", "content")).over(by_sample().rowsBetween(W.unboundedPreceding, 0))
     return messages.withColumn("prefix", upto).where(F.col("role") == "assistant").select("sample_id", "turn_index", "prefix")
 
 

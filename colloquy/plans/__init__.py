@@ -1,11 +1,9 @@
 """The catalogue of queries over the given tables."""
 
 from ..sources.tables import with_views
-from . import catalogue, conversations, judging
+from . import catalogue, conversations, experiments, factors, judging
 
-
-
-__all__ = ["catalogue", "conversations", "judging", "oracle_sql", "queries"]
+__all__ = ["catalogue", "conversations", "experiments", "factors", "judging", "oracle_sql", "queries"]
 
 
 def queries() -> dict:

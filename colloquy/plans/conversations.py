@@ -60,11 +60,12 @@ def q_last_by_role(spark, d):
 
 
 @query("""
-select distinct sample_id from (select sample_id, role, lag(role) over (partition by sample_id order by turn_index) as before from {MESSAGES} where not (role = 'user' and sample_id % 3 = 0 and turn_index > 1)) where role = 'assistant' and before = 'assistant'
+with m as (select sample_id, turn_index, case when role = 'user' and turn_index > 1 and length(content) % 3 = 0 then 'assistant' else role end as role from {MESSAGES})
+select distinct sample_id from (select sample_id, role, lag(role) over (partition by sample_id order by turn_index) as before from m) where role = 'assistant' and before = 'assistant'
 """)
 def q_consecutive_assistant(spark, d):
-    broken = t.messages(spark, d).where(~((F.col("role") == "user") & (F.col("sample_id") % 3 == 0) & (F.col("turn_index") > 1)))
-    return m.consecutive_assistants(broken)
+    wrong = (F.col("role") == "user") & (F.col("turn_index") > 1) & (F.length("content") % 3 == 0)
+    return m.consecutive_assistants(t.messages(spark, d).withColumn("role", F.when(wrong, "assistant").otherwise(F.col("role"))))
 
 
 @query("""
@@ -114,8 +115,8 @@ select sample_id, trim(string_agg(line, chr(10) order by turn_index), chr(10) ||
 """)
 def q_transcript(spark, d):
     spoken = F.when(F.col("role") != "system", F.col("role"))
-    own = t.messages(spark, d).withColumn("before", F.last(spoken, ignorenulls=True).over(m.BEFORE))
-    turn = F.sum(((F.col("role") == "user") & ~F.col("before").eqNullSafe("user")).cast("int")).over(m.BY_SAMPLE)
+    own = t.messages(spark, d).withColumn("before", F.last(spoken, ignorenulls=True).over(m.before()))
+    turn = F.sum(((F.col("role") == "user") & ~F.col("before").eqNullSafe("user")).cast("int")).over(m.by_sample())
     label = F.when(F.col("role") == "system", "[system]").otherwise(F.concat(F.lit("[turn "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("]")))
     lines = own.withColumn("turn", turn).withColumn("line", F.concat(label, F.lit("\n"), text.clipped(F.col("content"), 80), F.lit("\n")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "line"))), lambda x: x["line"]), "\n")
@@ -149,9 +150,9 @@ def q_char_counter(spark, d):
     return t.load(spark, d, "documents").select("doc_id", (F.length("text") - n).cast("long").alias("n_other"), n.alias("n_found"))
 
 
-@query(r"select doc_id, cast(len(regexp_extract_all(text, '(?i)\bthe\b')) as bigint) as n_found from documents where lang = 'en'")
+@query(r"select doc_id, cast(len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}_]', '  ', 'g') || ' ', ' the ')) as bigint) as n_found from documents")
 def q_word_counter(spark, d):
-    return t.load(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", text.count_word(F.col("text"), "the").alias("n_found"))
+    return t.load(spark, d, "documents").select("doc_id", text.count_word(F.col("text"), "the").alias("n_found"))
 
 
 @query(r"""
@@ -169,10 +170,10 @@ def q_punctuation_density(spark, d):
 
 
 @query(r"""
-select doc_id, md5(translate(text, 'aeiouAEIOU', 'eiouaEIOUA')) as shifted_md5, md5(regexp_replace(lower(text), '[[:punct:]]', '', 'g')) as stripped_md5 from documents where lang = 'en'
+select doc_id, md5(translate(text, 'aeiouAEIOU', 'eiouaEIOUA')) as shifted_md5, md5(regexp_replace(lower(text), '[[:punct:]]', '', 'g')) as stripped_md5 from documents
 """)
 def q_edited_texts(spark, d):
-    own = t.load(spark, d, "documents").where(F.col("lang") == "en")
+    own = t.load(spark, d, "documents")
     return own.select("doc_id", F.md5(text.shift_vowels(F.col("text"))).alias("shifted_md5"), F.md5(text.strip_punctuation(F.col("text"))).alias("stripped_md5"))
 
 
