@@ -41,11 +41,16 @@ def total(probs: Column) -> Column:
     return F.aggregate(F.map_values(probs), F.lit(0.0), lambda s, p: s + p)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logprobs: Column) -> Column:
     """letter -> share among the letters that are present."""
-    top = F.array_max(F.map_values(logprobs))
-    up = F.transform_values(logprobs, lambda _, v: F.exp(v - top))
-    return F.transform_values(up, lambda _, v: v / total(up))
+    up = bound(F.array_max(F.map_values(logprobs)), lambda top: F.transform_values(logprobs, lambda _, v: F.exp(v - top)))
+    sized = lambda u: F.struct(u.alias("u"), total(u).alias("t"))
+    return bound(bound(up, sized), lambda x: F.transform_values(x["u"], lambda _, v: v / x["t"]))
 
 
 def raw_probs(logprobs: Column) -> Column:
