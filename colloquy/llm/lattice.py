@@ -234,6 +234,23 @@ def totals(words: DataFrame) -> tuple[int, int]:
     return int(n or 0), int(v or 0)
 
 
+def mixed(counts: np.ndarray, logs: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of each word's probability from its count and the natural log of its marginal, which may be far below what a double holds."""
+    if not n:
+        return logs / np.log(10)
+    with np.errstate(divide="ignore"):
+        return (np.logaddexp(np.log(counts), np.log(v) + logs) - np.log(n + v)) / np.log(10)
+
+
+def sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of each of the runs that x consists of, some of which may be empty."""
+    out = np.zeros(len(size))
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(x, (np.cumsum(size) - size)[some], dtype=float)
+    return out
+
+
 def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """OUT for each document: what the base and the lattice make of its whole text.
 
@@ -268,12 +285,10 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
             counts[order] = np.concatenate([exchange.unplaned(a, "<u8") for a, _ in answers])
             logs[order] = np.concatenate([exchange.unplaned(b, "<f4") for _, b in answers])
         base = np.log10(counts + 1)
-        share = np.log10((counts + v * np.exp(logs)) / (n + v)) if n else logs / np.log(10)
+        share = mixed(counts, logs, n, v)
         size = about["n"].to_numpy()
         ids = about["doc_id"].to_pylist()
-        upto = lambda x: np.concatenate([[0.0], np.cumsum(x[places])])
-        stop = np.cumsum(size)
-        add = lambda x: (lambda s: s[stop] - s[stop - size])(upto(x))
+        add = lambda x: sums(x[places], size)
         tokens = size + 1
         end = np.log10((ends + 1) / (n + v)) if n else 0.0
         return {

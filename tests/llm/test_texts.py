@@ -231,6 +231,27 @@ def test_lattice_sums_over_all_segmentations():
     assert math.isfinite(got[-1]) and used.sum() > 0
 
 
+def test_improbable_words_keep_scores_finite(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    seen = [(k, "the cat sat on the mat", "x") for k in range(200) if k not in held][:20]
+    letters = np.random.default_rng(3).integers(0, 26, 2000)
+    long = "".join(chr(97 + int(k)) for k in letters)
+    odd = ["the cat", long, "", "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ" * 20, "", "the mat sat", f"the {long} cat", "on the mat"]
+    docs = spark.createDataFrame([*seen, *((k, t, "x") for k, t in zip(held, odd))], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r for r in lattice.score_texts(docs, rounds=0).collect()}
+    words = [w for _, t, _ in seen for w in [*t.split(), None]]
+    counts, n, v = Counter(words), len(words), len(set(words))
+    pieces = lattice.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for k, text in zip(held, odd):
+        own = text.split()
+        logs = lattice.forward_backward(own, pieces, np.log(pieces.start))[0]
+        assert all(x < -745 for w, x in zip(own, logs) if len(w) > 50)
+        want = math.log10((counts[None] + 1) / (n + v))
+        for w, x in zip(own, logs):
+            want += math.log10((counts[w] + v * math.exp(x)) / (n + v)) if counts[w] else (x + math.log(v / (n + v))) / math.log(10)
+        assert math.isclose(got[k].score, want, rel_tol=1e-5)
+
+
 @pytest.mark.parametrize("operator", [packing.pack, bpe.bpe_query, simhash.near_duplicate_query, fingerprints.fingerprint_query, lattice.score_texts])
 def test_empty_tables(spark, operator):
     assert operator(empty(documents(spark))).collect() == []
