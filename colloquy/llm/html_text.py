@@ -18,11 +18,22 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:\"[^
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKENS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-# Fixed values of HTML: elements without an end, elements whose content is no text, elements that open a block, and what closes an open p.
+# Fixed values of HTML: elements without an end, elements that hold nothing but characters up to their end tag, other
+# elements whose content is no main text and those of them that can hold themselves, what can stand in a head, elements
+# that open a block, what closes an open p, and what ends an svg or math but for within some elements of theirs.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas textarea select button head math audio video map".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+DROPPED = frozenset("noscript template object svg canvas select button head math audio video map".split())
+NESTS = frozenset("template object svg math".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption".split())
+FOREIGN = frozenset("svg math".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: The next tag of an element, with a slash if it is an end tag; and the next end tag.
+NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in RAW | DROPPED}
+END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 
 # What class names, ids and roles say of an element, by kind.
@@ -74,71 +85,112 @@ def says(attributes: str, memo: dict = {}) -> tuple:  # noqa: B006
 
 
 def parse(page: str) -> Node:
-    """The blocks of a page; inline elements only leave their text and whether it is a link's."""
+    """The blocks of a page; inline elements only leave their text and whether it is a link's.
+
+    Text of RAW elements ends at their next end tag only, or with the page, as in browsers; what else is dropped ends
+    with its parent at the latest, and at the next block if it has no end tag. A head ends where something stands that
+    can't be in one.
+    """
     root = Node("html", None, (0,) * KINDS, 0)
-    stack: list[tuple[str, Node]] = [("html", root)]  # open elements, and the block that text in them belongs to
-    skip, skipped, links = "", 0, 0
-    for m in TOKEN.finditer(page):
-        name = m[1]
-        if name is None:
-            piece = m[0]
-            if skip or (piece[0] == "<" and len(piece) > 1):
-                continue
-            node = stack[-1][1]
-            text = html.unescape(piece) if "&" in piece else piece
-            node.items.append(text)
-            n = len(text) - text.count(" ") if not text.isspace() else 0
-            node.own += n
-            node.stops += text.count(". ") + text.count(", ") + text.count(".\n") + (text[-1:] == ".")
-            if links:
-                node.link += n
-            continue
-        name, close = name.lower(), m[0][1] == "/"
-        if skip:
-            if name == skip:
-                skipped += -1 if close else 1
-                if not skipped or skip in ("script", "style", "textarea") and close:
-                    skip = ""
-            continue
-        if not close:
-            if name in RAW:
-                if not m[2].endswith("/"):
-                    skip, skipped = name, 1
-                continue
-            node = stack[-1][1]
-            node.tags += 1
-            if name in VOID:
-                if name in ("br", "hr"):
-                    node.items.append(" ")
-                continue
-            if name in ("html", "body"):
-                if name == "body" and root.tag == "html" and len(stack) == 1:
+    stack: list[tuple[str, Node | None]] = [("html", root)]  # open elements, and the block that text in them belongs to
+    links = 0
+    drop, loose = 0, False  # where the outermost dropped element but a head stands, and whether it lacks an end tag
+    at = 0
+    while at < len(page):
+        for m in TOKEN.finditer(page, at):
+            name = m[1]
+            if name is None:
+                piece = m[0]
+                if piece[0] == "<" and len(piece) > 1:
                     continue
+                node = stack[-1][1]
+                if node is None:
+                    if stack[-1][0] != "head" or piece.isspace():
+                        continue
+                    del stack[1:]
+                    node = root
+                text = html.unescape(piece) if "&" in piece else piece
+                node.items.append(text)
+                n = len(text) - text.count(" ") if not text.isspace() else 0
+                node.own += n
+                node.stops += text.count(". ") + text.count(", ") + text.count(".\n") + (text[-1:] == ".")
+                if links:
+                    node.link += n
                 continue
-            if name in CLOSES_P:
-                links = closed(stack, {"p"}, {"table", "td", "th", "div", "article", "section", "main", "body"}, links)
-            if name in SAME:
-                links = closed(stack, *SAME[name], links)
-            node = stack[-1][1]
-            if name in BLOCKS:
-                kid = Node(name, node, says(m[2]) if m[2] else (0,) * KINDS, m.start())
-                node.items.append(kid)
-                node.kids.append(kid)
-                stack.append((name, kid))
-            else:
-                links += name == "a"
-                stack.append((name, node))
-        elif name in BLOCKS or len(stack) > 1:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if name not in BLOCKS and stack[k][0] in BLOCKS:
+            name, close = name.lower(), m[0][1] == "/"
+            if not close:
+                if drop and ended(stack, drop, loose, name):
+                    links -= sum(t == "a" for t, _ in stack[drop:])
+                    del stack[drop:]
+                    drop = 0
+                if len(stack) > 1 and stack[1][0] == "head" and (name == "body" or (stack[-1][0] == "head" and name not in HEAD)):
+                    links -= sum(t == "a" for t, _ in stack)
+                    del stack[1:]
+                    drop = 0
+                if name in RAW:
+                    if m[2].endswith("/") and not ((hit := NEXT[name].search(page, m.end())) and hit[1]):
+                        continue
+                    end = END[name].search(page, m.end())
+                    at = end.end() if end else len(page)
                     break
+                node = stack[-1][1]
+                if name in DROPPED and (node or name != "head"):
+                    if m[2].endswith("/") or (name == "head" and (len(stack) > 1 or root.own or root.kids)):
+                        continue
+                    if not drop and name != "head":
+                        hit = NEXT[name].search(page, m.end())
+                        drop, loose = len(stack), not (hit and (hit[1] or name in NESTS))
+                    stack.append((name, None))
+                    continue
+                if node is None:
+                    if name not in VOID and name not in ("html", "head", "body") and not m[2].endswith("/"):
+                        links += name == "a"
+                        stack.append((name, None))
+                    continue
+                node.tags += 1
+                if name in VOID:
+                    if name in ("br", "hr"):
+                        node.items.append(" ")
+                    continue
+                if name in ("html", "body"):
+                    continue
+                if name in CLOSES_P:
+                    links = closed(stack, {"p"}, {"table", "td", "th", "div", "article", "section", "main", "body"}, links)
+                if name in SAME:
+                    links = closed(stack, *SAME[name], links)
+                node = stack[-1][1]
+                if name in BLOCKS:
+                    kid = Node(name, node, says(m[2]) if m[2] else (0,) * KINDS, m.start())
+                    node.items.append(kid)
+                    node.kids.append(kid)
+                    stack.append((name, kid))
+                else:
+                    links += name == "a"
+                    stack.append((name, node))
+            elif len(stack) > 1:
+                for k in range(len(stack) - 1, 0, -1):
+                    t = stack[k][0]
+                    if t == name:
+                        links -= sum(t == "a" for t, _ in stack[k:])
+                        del stack[k:]
+                        if drop >= k:
+                            drop = 0
+                        break
+                    if name not in BLOCKS and name not in DROPPED and (t in BLOCKS or t in DROPPED):
+                        break
+        else:
+            break
     return root
 
 
+def ended(stack: list, drop: int, loose: bool, name: str) -> bool:
+    """Whether a start tag ends the dropped element at that place of the stack."""
+    outer = stack[drop][0]
+    if outer in FOREIGN and name in BREAKS:
+        return not any(t in WITHIN for t, _ in stack[drop + 1 :])
+    return (loose and name in BLOCKS) or (name == outer and name not in NESTS)
+
+
 def closed(stack: list, what: set, within: set, links: int) -> int:
     """Closes the innermost open element of `what`, unless one of `within` stands before it; repeated for table rows."""
     k = len(stack) - 1

@@ -101,6 +101,32 @@ def test_extraction_of_made_up_pages():
     assert good >= 85
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>one</p><script>for(i=0;i<n;i++){f()}</script><p>two</p>", "one two"),
+    ("<p>one</p><SCRIPT>if(a<b){x='<script>'}</script ><p>two</p><script>g()</script><p>three", "one two three"),
+    ("<style>a<b{}</style><textarea><p>no</textarea><p>two", "two"),
+    ("<html><head><title>no</title><meta charset=x><body><p>one", "one"),
+    ("<html><head><title>no <b></title><link rel=x><p>one</p>two", "one two"),
+    ("<!DOCTYPE html><html><head><title>no</title><noscript><img src=x></noscript>one<b>two", "onetwo"),
+    ("<title>no</title><p>one<title>no</title> two", "one two"),
+    ("<head><title>no</title><noscript><style>x</style><body>one", "one"),
+    ("<div>one<button>no</div>two", "one two"),
+    ("<p>one</p><button>no<article><p>two</p></article>", "one two"),
+    ("<button>no<button>no</button>one", "one"),
+    ("<div><button><div>no</div></button>one</div>", "one"),
+    ("<div><button>no<div>no</button>one</div>", "one"),
+    ("<ul><li>one<select><option>no<li>two</ul>three", "one two three"),
+    ("one<svg><path/><title>no</title><p>two", "one two"),
+    ("one <svg><foreignObject><p>no</p></foreignObject><text>no</text></svg>two", "one two"),
+    ("<div><video><source src=x></div><p>one", "one"),
+    ("<script src='a'/><p>one</p><script>no</script>two", "one two"),
+    ("<span>one <object><object>no</object>no</span></object>two</span>", "one two"),
+])
+def test_parse_keeps_the_rest_of_pages(page, want):
+    nodes = html_text.in_order(root := html_text.parse(page))
+    assert html_text.text_of(root, np.ones(len(nodes), dtype=bool)) == want
+
+
 def test_topk_against_sql(spark):
     assert differences(topk.topk_query(table(spark, "embeddings")), database(SF), topk.TOPK_SQL) is None
 
