@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, runs, text_batches
@@ -154,15 +154,28 @@ def components(edges: DataFrame) -> DataFrame:
         was = state
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of whole texts; a null text counts as empty."""
+def digest(docs: DataFrame) -> Column:
+    """What tells rows with equal ids apart: a hash of the whole text, where a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+
+
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, fp) of whole texts, and digest if it is asked for; a null text counts as empty."""
     text_batches(docs.sparkSession)
+    also = [digest(docs).alias("digest")] if digests else []
+    names = ["doc_id", "fp", *["digest"][: len(also)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_fingerprint(t) for t in b.column(1).to_pylist()], pa.int64()), *b.columns[2:]], names=names)
+
+    return docs.select("doc_id", "text", *also).mapInArrow(run, "doc_id long, fp long" + ", digest binary" * len(also))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+def with_component(fps: DataFrame) -> DataFrame:
+    """The rows of distinct fingerprints fp with their component: the smallest fingerprint that links reach."""
+    found = checkpointed(components(links(fps.select("fp"))))
+    return fps.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -174,8 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marked = checkpointed(fingerprints(docs))
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = checkpointed(components(links(fps.select("fp"))))
-    placed = fps.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = with_component(fps)
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.join(placed.select("fp", "component"), "fp").join(ids, "component").select("doc_id", "fp", "component_id")
 
@@ -185,12 +197,19 @@ def near_duplicate_query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each group only its smallest doc_id stays, once.
+    """The documents without near-duplicates: one row of each component, that of the smallest doc_id.
 
-    Rows whose doc_id is null can't be told apart and stay.
+    Rows whose doc_id is null come after all others; among them, and among rows of one id in a component, the smallest
+    digest of the text decides; of rows with equal id and text any one stays.
     """
-    groups = near_duplicates(docs)
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    kept = docs.join(chosen, F.col("doc_id") == F.col("__id"))
-    again = kept.where(F.col("__n") > 1).dropDuplicates(["doc_id"])
-    return kept.where(F.col("__n") == 1).unionByName(again).drop("__id", "__n").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    marked = checkpointed(fingerprints(docs, digests=True))
+    counted = marked.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "n")).alias("first")
+    best = with_component(checkpointed(counted.groupBy("fp").agg(first))).groupBy("component").agg(F.min("first").alias("first"))
+    chosen = checkpointed(best.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__chosen"), F.col("first.n").alias("__n")))
+    rows = docs.withColumn("__digest", digest(docs))
+    kept = rows.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__chosen")))
+    again = kept.where(F.col("__n") > 1).dropDuplicates(["doc_id", "__digest"])
+    # copies without an id meet before they are joined, so that a common text doesn't fill one task
+    unknown = rows.where(F.col("doc_id").isNull()).dropDuplicates(["__digest"]).join(chosen.where(F.col("__id").isNull()), F.col("__digest") == F.col("__chosen"))
+    return kept.where(F.col("__n") == 1).unionByName(again).unionByName(unknown).select(*docs.columns)

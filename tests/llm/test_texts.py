@@ -148,6 +148,13 @@ def test_keep_one(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 6), (False, 7), (False, 8), (False, 10), (True, 0)]
 
 
+def test_keep_one_of_rows_without_an_id_and_of_clashing_ids(spark):
+    rows = [(None, "alpha one"), (None, "ALPHA  one"), (None, "alpha one"), (5, "beta two"), (None, "Beta two"), (7, "gamma three"), (7, "delta four"), (3, "epsilon five"), (7, "EPSILON five"), (None, None), (None, " "), (8, "zeta six"), (8, "zeta six"), (8, "Zeta six")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, digest string")
+    kept = Counter((r.doc_id, (r.text or "").lower().strip().replace("  ", " ")) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(None, "alpha one"), (5, "beta two"), (7, "gamma three"), (7, "delta four"), (3, "epsilon five"), (None, ""), (8, "zeta six")])
+
+
 def test_fingerprints(docs):
     rows = sorted(((d is None, -(d or 0), t), (d, t)) for d, t in pairs(docs))
     ordered = [r for _, r in rows]
