@@ -15,7 +15,8 @@ from . import exchange
 from .tokens import encoding, ranks
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Tokens of a block that are put together at a time.
+ENCODED = f"block long, place int, ids array<int>, {exchange.ABOUT}"
+#: Tokens of a document that are decoded at a time.
 STEP = 1 << 20
 
 
@@ -32,56 +33,56 @@ def splitter():
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of exchange.ROW: each block's places, and the ids of its words by part."""
+    """ENCODED: each block's distinct pre-tokens with their ids. Rows of a pre-token follow one another, so it is encoded once."""
+    schema = exchange.arrow_schema(ENCODED)
 
-    def answer():
-        encode = encoding(vocabulary)._encode_single_piece
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, last, ids = encoding(vocabulary)._encode_single_piece, None, []
+        for b in batches:
+            flat, ends = [], [0]
+            for word in b.column("word").to_pylist():
+                if word is not None:
+                    if word != last:
+                        last, ids = word, encode(word)
+                    flat += ids
+                ends.append(len(flat))
+            every = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), type=schema.field("ids").type)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("place"), every, b.column("tokens"), b.column("docs")], schema=schema)
 
-        def told(p: int, group: list) -> Iterator[tuple]:
-            known: dict[bytes, list[int]] = {}
-            for block, words, _ in group:
-                ids = [known.get(w) or known.setdefault(w, encode(w)) for w in words]
-                sizes = np.array([len(i) for i in ids], dtype="<u4")
-                flat = np.array([x for i in ids for x in i], dtype="<u4")
-                yield p, exchange.WORDS, block, exchange.planes(sizes), exchange.planes(flat)
+    return exchange.by_word(exchange.block_rows(docs, splitter).drop("known")).mapInArrow(run, ENCODED)
 
-        return told
 
-    return exchange.by_part(exchange.blocks(docs, splitter), answer, exchange.ROW, lambda r: r)
+class Decoder:
+    """The table of token bytes, which has a fixed number of rows; ids are joined to it and their bytes put together."""
 
+    def __init__(self, vocabulary: str):
+        known = {r: t for t, r in ranks(vocabulary).items()}
+        table = [known.get(r, b"") for r in range(max(known) + 1)]
+        self.letters, self.widths = np.frombuffer(b"".join(table), dtype=np.uint8), np.array([len(t) for t in table], dtype=np.int64)
+        self.begins = np.cumsum(self.widths) - self.widths
 
-def assembled(df: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.letters[exchange.gather(self.begins, self.widths, ids[k : k + STEP])].tobytes() for k in range(0, len(ids), STEP))
+
+
+def assembled(rows: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
     """finish(ids, decoded bytes) of each document, in columns after doc_id."""
-    spark = df.sparkSession
-    by_rank = sorted((r, t) for t, r in ranks(vocabulary).items())
-    top = by_rank[-1][0] + 1
-    table = [b""] * top
-    for r, t in by_rank:
-        table[r] = t
-    # the vocabulary is of a fixed size, so its bytes are sent to all executors
-    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(table), dtype=np.uint8), np.array([len(t) for t in table], dtype=np.int64)))
-    kinds = exchange.arrow_schema(schema)
-    names = kinds.names
-
-    def assemble(docs: pa.Table, places: np.ndarray, order: np.ndarray, answers: list) -> dict:
-        letters, widths = shared.value
-        begins = np.cumsum(widths) - widths
-        sizes = np.empty(len(order), dtype=np.int64)
-        told = np.concatenate([exchange.unplaned(a, "<u4") for a, _ in answers]) if answers else np.zeros(0, dtype="<u4")
-        sizes[order] = told
-        flat = np.concatenate([exchange.unplaned(b, "<u4") for _, b in answers]) if answers else told
-        starts = np.empty(len(order), dtype=np.int64)
-        starts[order] = np.cumsum(told, dtype=np.int64) - told
+    shared = rows.sparkSession.sparkContext.broadcast(Decoder(vocabulary))
+    names = exchange.arrow_schema(schema).names
+
+    def assemble(docs: list, counts: np.ndarray, places: np.ndarray, words: pa.Table) -> dict:
+        lists = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        flat, starts, sizes = lists.values.to_numpy(), ends[:-1], np.diff(ends)
         out: dict[str, list] = {n: [] for n in names}
-        ends = np.cumsum(docs["n"].to_numpy())
-        for doc, lo, hi in zip(docs["doc_id"].to_pylist(), ends - docs["n"].to_numpy(), ends):
+        upto = np.cumsum(counts)
+        for doc, lo, hi in zip(docs, upto - counts, upto):
             ids = flat[exchange.gather(starts, sizes, places[lo:hi])]
-            decoded = b"".join(letters[exchange.gather(begins, widths, ids[k : k + STEP])].tobytes() for k in range(0, len(ids), STEP))
-            for n, v in zip(names, (doc, *finish(ids, decoded))):
+            for n, v in zip(names, (doc, *finish(ids, shared.value.decode(ids)))):
                 out[n].append(v)
-        return {f.name: pa.array(out[f.name], f.type) for f in kinds}
+        return out
 
-    return exchange.by_block(df, assemble, schema)
+    return exchange.in_blocks(rows, assemble, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,26 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Rows of an Arrow batch where the rows hold whole texts, so that a batch of long texts stays small.
-TEXT_ROWS = 512
-#: Labelled rows that a classifier is fitted on at most, and characters that they have together at most.
+#: Labelled rows that a classifier is fitted on at most.
 FIT_ROWS = 8000
-FIT_CHARS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Keeps Arrow batches of texts short, in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one serves a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -56,37 +49,30 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
-    """(whole text, label) of at most `rows` labelled documents, half of them of either label as far as there are so many.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int = FIT_ROWS) -> DataFrame:
+    """(place, text, label): whole texts of at most `rows` labelled documents, half of them of either label as far as there are so many.
 
-    learn: condition on doc_id that a row may be learnt from. Which rows are taken depends on a hash of the id alone; a
-    row that would bring the sample beyond `chars` characters is left out. The ids are at most `rows`, so they can be
-    broadcast. Of rows with one id the longest is taken; of several labels of one id the largest.
+    learn: condition on doc_id that a row may be learnt from. Which rows are taken, and in which order, depends on a
+    hash of the id alone. The ids are at most `rows`, so they can be broadcast. Of rows with one id the longest text is
+    taken; of several labels of one id the largest. The rows are written once, so that texts are read once.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     order = [F.xxhash64("doc_id", F.lit(label)), F.col("doc_id")]
     parts = [known.where(F.col("__label") == y).orderBy(*order).limit(rows // 2) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "__label")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-    sizes: dict[int, tuple[int, int]] = {}
-    for i, n, y in texts.select("doc_id", F.length("__text").alias("__n")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "__n", "__label").collect():
-        sizes[i] = (max(n, sizes.get(i, (0, y))[0]), y)
-    chosen = []
-    for i in sorted(sizes, key=lambda i: (zlib.crc32(str(i).encode()), i)):
-        if sizes[i][0] <= chars:
-            chosen.append((i, *sizes[i]))
-            chars -= sizes[i][0]
-    if not chosen:
-        return []
-    own = F.broadcast(spark.createDataFrame(chosen, "__id long, __n int, __label int"))
-    got = texts.join(own, (F.col("doc_id") == F.col("__id")) & (F.length("__text") == F.col("__n"))).select("doc_id", "__text", "__label").collect()
-    return [(t, y) for _, (t, y) in sorted({i: (t, y) for i, t, y in sorted(map(tuple, got))}.items(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))]
+    longest = F.max(F.struct(F.length("__text").alias("n"), F.col("__text").alias("t")))["t"]
+    own = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(longest.alias("text"), F.max("__label").alias("label"))
+    return written(own.select(F.xxhash64("__id", F.lit(1)).alias("place"), "text", "label"), "labelled")
+
+
+def in_order(sample: DataFrame) -> Iterator[tuple[str, int]]:
+    """(text, label) of a sample in its order, one after another: the driver never holds all texts at once."""
+    return ((r.text, r.label) for r in sample.orderBy("place", "text").toLocalIterator())
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], column: str = "score") -> DataFrame:
     """The rows of docs with what `score` gives for their whole texts (null: empty); a column of that name is replaced."""
-    text_batches(docs.sparkSession)
     kept = docs.drop(column)
     schema = StructType([*kept.schema.fields, StructField(column, DoubleType())])
     names = kept.columns

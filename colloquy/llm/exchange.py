@@ -1,202 +1,132 @@
-"""A shuffle of distinct words: texts become blocks of word places, words meet by hash, answers come back by place.
+"""Texts as the distinct words of blocks: plain rows that Spark shuffles by word, sorts and brings back by block.
 
-A block holds the documents that a task reads one after another. For each block there is one row with the documents'
-tokens, as places in the block's list of distinct words, and one row for each part of that list (a part is a hash of the
-word). The first shuffle brings the parts of all blocks together, so that each distinct word of the corpus is looked at
-once; the blocks' own rows travel along. The second one brings the answers back to the blocks. A word costs a row's share
-per block it occurs in, not per occurrence, so no word is hot, and both shuffles stay smaller than the texts.
+A block holds the documents that a task reads one after another. Each of its distinct words is a row with the word's
+place in the block; one more row, at place -1, says which documents the block holds and at which places their tokens
+stand. Words meet by a shuffle on the word, so each distinct word of the corpus is looked at once; a second shuffle on
+the block brings what was found back in the order of places. A word costs a row per block it occurs in, not per
+occurrence, so no word is hot, and nothing that a row holds grows with the corpus.
 """
 
 from __future__ import annotations
 
-import io
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import runs, text_batches
+from .common import runs
 
-#: Characters of a block, but for a document that exceeds them alone.
-BLOCK_CHARS = 16 << 20
-#: Tokens of a document that are held as objects at a time.
-TOKENS = 1 << 18
-#: Parts of the words for each partition of a shuffle.
-PARTS = 4
-ROW = "p int, kind int, block long, a binary, b binary"
-NAMES = ["p", "kind", "block", "a", "b"]
-#: Kinds of rows: a block's documents and places; words, or what is known of them.
-PLACES, WORDS = 0, 1
-#: No UTF-8 text has this byte.
-BETWEEN = b"\xff"
+#: Characters of a block about, and what a document counts for beside its own.
+BLOCK_CHARS, EACH_DOC = 16 << 20, 64
+#: Tokens of a document that are held as objects at a time, and words of a batch.
+TOKENS, WORDS = 1 << 18, 20_000
+ABOUT = "tokens binary, docs array<struct<doc_id:long,n:long>>"
+ROW = f"block long, place int, word binary, known long, {ABOUT}"
 
 
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(data)
-
-
-def unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def planes(x: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte: all the low bytes first."""
-    return squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def unplaned(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(unsqueezed(data), dtype=np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(kind)
-
-
-def parts_of(df: DataFrame) -> int:
-    return PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def row(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=NAMES)
-
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
-def blocks(docs: DataFrame, tokens: Callable[[], Callable[[str], Iterator[bytes]]], counted: Callable[[list], np.ndarray] | None = None) -> DataFrame:
-    """Rows ROW of docs (doc_id, text), those of a part together, sorted by part, kind and block.
 
-    tokens(): made once a task, gives a text's words as bytes. counted: which doc_ids' words count; the words' counts
-    come with them. Of a PLACES row, a holds each token's place and b an Arrow table (doc_id, n, and in `part` the part of
-    each word by place); of a WORDS row, a holds the words of that part by place and b their counts.
+def packed(places: np.ndarray) -> bytes:
+    """Places as bytes: all the low bytes first, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+class Block:
+    """The documents that a task reads one after another, their tokens as numbers of distinct words."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = defaultdict(count().__next__)
+        self.docs: list[tuple] = []
+        self.found: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc, text: str, tokens: Iterator[bytes]) -> None:
+        n = 0
+        while some := list(islice(tokens, TOKENS)):
+            self.found.append(np.fromiter(map(self.words.__getitem__, some), dtype=np.int32, count=len(some)))
+            n += len(some)
+        self.docs.append((doc, n))
+        self.size += len(text) + EACH_DOC
+
+    def rows(self, number: int, counted: Callable[[list], np.ndarray] | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(self.found) if self.found else np.zeros(0, dtype=np.int32)
+        n = len(self.words)
+        order = np.argsort(-np.bincount(every, minlength=n), kind="stable")  # frequent words get low places, which pack well
+        rank = np.empty(n, dtype=np.uint32)
+        rank[order] = np.arange(n, dtype=np.uint32)
+        ids, sizes = zip(*self.docs)
+        docs = pa.array([[{"doc_id": d, "n": m} for d, m in self.docs]], schema.field("docs").type)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([packed(rank[every])]), docs], schema=schema)
+        known = np.bincount(every[np.repeat(counted(list(ids)), sizes)], minlength=n)[order] if counted else np.zeros(n, dtype=np.int64)
+        words = list(self.words)
+        for lo in range(0, n, WORDS):
+            some = order[lo : lo + WORDS].tolist()
+            m = len(some)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(m, number)), pa.array(np.arange(lo, lo + m, dtype=np.int32)), pa.array([words[k] for k in some], pa.binary()),
+                pa.array(known[lo : lo + m].astype(np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, schema.field("docs").type),
+            ], schema=schema)
+
+
+def block_rows(docs: DataFrame, tokens: Callable[[], Callable[[str], Iterator[bytes]]], counted: Callable[[list], np.ndarray] | None = None) -> DataFrame:
+    """ROW of docs (doc_id, text): a row per block and distinct word, and the block's own row, whose word is null.
+
+    tokens(): made once a task, gives a text's words as bytes. counted: which doc_ids' words count; `known` is how often
+    a word occurs in those documents of the block.
     """
-    text_batches(docs.sparkSession)
-    parts = parts_of(docs)
+    schema = arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = tokens()
-        number = TaskContext.get().partitionId() << 32
-        places: dict = defaultdict(count().__next__)
-        ids: list = []
-        sizes: list[int] = []
-        found: list[np.ndarray] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            every = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
-            n = len(places)
-            often = np.bincount(every, minlength=n)
-            order = np.argsort(-often, kind="stable")  # frequent words get low places, which pack well
-            rank = np.empty(n, dtype=np.uint32)
-            rank[order] = np.arange(n, dtype=np.uint32)
-            words = list(places)
-            part = np.fromiter((xxhash.xxh32_intdigest(w) % parts for w in words), dtype=np.int32, count=n)[order]
-            about = pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64())})
-            sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, about.schema) as w:
-                w.write_table(about)
-            yield row([(xxhash.xxh32_intdigest(str(number)) % parts, PLACES, number, planes(rank[every]), squeezed(len(part).to_bytes(8, "little") + part.astype("<i4").tobytes() + sink.getvalue()))])
-            if counted:
-                use = np.repeat(counted(ids), sizes)
-                known = np.bincount(every[use], minlength=n)[order].astype("<u4")
-            by = np.argsort(part, kind="stable")
-            edges = np.flatnonzero(np.diff(part[by])) + 1
-            rows = []
-            for some in np.split(by, edges) if n else ():
-                blob = squeezed(BETWEEN.join([words[order[k]] for k in some]))
-                rows.append((int(part[some[0]]), WORDS, number, blob, planes(known[some]) if counted else None))
-                if len(rows) == 256:
-                    yield row(rows)
-                    rows = []
-            if rows:
-                yield row(rows)
-
+        split, number, block = tokens(), TaskContext.get().partitionId() << 32, Block()
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rest, n = iter(split(text or "")), 0
-                while some := list(islice(rest, TOKENS)):
-                    found.append(np.fromiter(map(places.__getitem__, some), dtype=np.int32, count=len(some)))
-                    n += len(some)
-                ids.append(doc)
-                sizes.append(n)
-                size += len(text or "")
-                if size >= BLOCK_CHARS:
-                    yield from out()
-                    number += 1
-                    places, ids, sizes, found, size = defaultdict(count().__next__), [], [], [], 0
-        if ids:
-            yield from out()
-
-    return docs.select("doc_id", "text").mapInArrow(run, ROW).repartition("p").sortWithinPartitions("p", "kind", "block")
+                block.add(doc, text or "", iter(split(text or "")))
+                if block.size >= BLOCK_CHARS:
+                    yield from block.rows(number, counted, schema)
+                    number, block = number + 1, Block()
+        if block.docs:
+            yield from block.rows(number, counted, schema)
 
-
-def arrow_schema(schema: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def words_of(blob: bytes) -> list[bytes]:
-    return unsqueezed(blob).split(BETWEEN)
+    return docs.select("doc_id", "text").mapInArrow(run, ROW)
 
 
-def by_part(df: DataFrame, answer: Callable[[], Callable[[int, list[tuple[int, list[bytes], bytes | None]]], Iterator[tuple]]], schema: str, through: Callable[[tuple], tuple]) -> DataFrame:
-    """answer(): made once a task, gives rows for each part from (block, words, b) of all blocks. PLACES rows go through."""
-    fields = [f.strip().split()[0] for f in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = answer()
-        for held in runs(batches, ["p"]):
-            group = []
-            for h in held:
-                for p, kind, block, a, b in zip(*(c.to_pylist() for c in h.columns)):
-                    if kind == PLACES:
-                        yield made([through((p, kind, block, a, b))])
-                    else:
-                        group.append((block, a, b))
-            if group:
-                rows = []
-                for r in told(p, [(block, words_of(a), b) for block, a, b in group]):
-                    rows.append(r)
-                    if len(rows) == 128:
-                        yield made(rows)
-                        rows = []
-                if rows:
-                    yield made(rows)
+def in_blocks(rows: DataFrame, finish: Callable[[list, np.ndarray, np.ndarray, pa.Table], dict], schema: str) -> DataFrame:
+    """The second shuffle. rows: block, place, tokens, docs and what is known of each word; finish gives a block's columns.
 
+    finish(doc_ids, sizes, places, words): ids and numbers of tokens of the block's documents, the places of all their
+    tokens, and the words' rows in the order of places.
+    """
     kinds = arrow_schema(schema)
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], names=fields)
-
-    return df.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in runs(batches, ["block"]):
+            table = pa.Table.from_batches(held)
+            own = table["docs"].chunk(0).slice(0, 1).flatten()
+            ids, sizes = own.field("doc_id").to_pylist(), own.field("n").to_numpy()
+            out = finish(ids, sizes, unpacked(table["tokens"][0].as_py()), table.slice(1))
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
+    return rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, schema)
 
-def by_block(df: DataFrame, assemble: Callable[[pa.Table, np.ndarray, np.ndarray, list[tuple]], dict], schema: str) -> DataFrame:
-    """The second shuffle: assemble(documents, places, order, answers) for each block gives its documents' columns.
 
-    answers: (a, b) of each part in order; order: where the words of those parts, one after another, stand by place.
-    """
-    names = [f.strip().split()[0] for f in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in runs(batches, ["block"]):
-            answers, about, every = [], None, None
-            for h in held:
-                for kind, a, b in zip(h.column(1).to_pylist(), h.column(3).to_pylist(), h.column(4).to_pylist()):
-                    if kind == PLACES:
-                        every, about = unplaned(a, "<u4"), unsqueezed(b)
-                    else:
-                        answers.append((a, b))
-            n = int.from_bytes(about[:8], "little")
-            order = np.argsort(np.frombuffer(about, dtype="<i4", count=n, offset=8), kind="stable")
-            docs = pa.ipc.open_stream(about[8 + 4 * n :]).read_all()
-            out = assemble(docs, every, order, answers)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c]) if not isinstance(out[c], pa.ChunkedArray) else out[c].combine_chunks() for c in names], names=names)
-
-    return df.select(*NAMES).repartition("block").sortWithinPartitions("block", "kind", "p").mapInArrow(run, schema)
+def by_word(rows: DataFrame) -> DataFrame:
+    """The first shuffle: rows of a word together, blocks' own rows spread; equal words follow one another."""
+    return rows.repartition(F.coalesce("word", F.col("block").cast("string").cast("binary"))).sortWithinPartitions("word")
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:

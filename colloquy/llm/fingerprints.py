@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, text_batches
+from .common import runs
 from .simhash import block_masks, signed
 
 #: Words whose hash a task keeps at most.
@@ -82,7 +82,6 @@ def with_next(docs: DataFrame, compare, schema: str, rows: int = RANGE_ROWS) ->
     range goes to the range above it as well, where it ends the list. So texts are shuffled once and no task sees more
     than a range. Rows of equal ids follow one another by their text; null ids come last.
     """
-    text_batches(docs.sparkSession)
     cuts, tops = ranges(docs, rows)
     full = [r for r, t in enumerate(tops) if t is not None]
     # a range's largest document also belongs to the next fuller range above; that of the highest range to the lowest

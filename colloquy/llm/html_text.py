@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import trees
-from .common import text_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -424,7 +423,6 @@ def extract(pages: DataFrame, model: trees.BoostedTrees | None = None) -> DataFr
     Trees are learnt from made-up pages, a fixed number, before. A null or empty page gives the empty text; rows with
     equal or null ids are each extracted; an empty table gives an empty result; other columns don't matter.
     """
-    text_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or learnt())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,15 +2,21 @@
 
 A text is its words, each with the mark of a word's beginning, and one end. Pieces never reach beyond a word, so a text's
 marginal probability is the product of its words'. For a word, the forward recursion in log space sums over all ways to
-put it together from pieces of the vocabulary; letters that no piece has are spelled by the pieces of their bytes. The
-vocabulary's own scores are the start; a few rounds of expectation and maximisation over the words of the corpus fit the
-pieces' weights to it, the tokenizer's pieces staying as they are. Words of the training texts are arcs of their own that
-span the word: P(word) = (c + u * P(pieces)) / (N + u), where c is the word's count, N that of all tokens and u the
-number of distinct ones.
+put it together from pieces of the vocabulary; letters that no piece has are spelled by the pieces of their bytes. A word
+of the training texts is an arc of its own beside those ways: P(word) = (c + u * P(pieces)) / (N + u), where c is the
+word's count, N that of all tokens and u the number of distinct ones.
+
+The vocabulary's scores are those of a byte-pair merge list: minus the rank, 0 to -31,740. As logarithms they would give
+the second piece a third of the first one's weight and the hundredth e^-100 of it, which is no distribution that text
+follows. So they serve as what they are, ranks, which a law of 1 / (2.7 + rank) turns into the first weights; rounds of
+expectation and maximisation then fit the weights, the tokenizer's pieces staying as they are. The pieces only have to
+tell how likely a word is that training texts don't have, so every distinct training word weighs the same in fitting,
+however often it occurs: new words resemble the list of words, not running text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -23,17 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import written
+from .common import crc_mod, written
 
 MARK = "▁"
-#: Words longer than this (with their mark) are scored one at a time.
+#: Words longer than this (with their mark) go through the recursion one at a time, the others by length, many at once.
 LONG = 48
 ROUNDS = 2
-#: Tokens' worth of the vocabulary's own scores that the fitted weights keep.
+#: Tokens' worth of the vocabulary's own weights that the fitted ones keep.
 PRIOR = 1000.0
-#: The rank from which the vocabulary's scores fall as one over the rank.
+#: The rank from which the vocabulary's weights fall as one over the rank.
 FLAT = 2.7
-TABLE = "p int, kind int, block long, a binary, b binary, blocks array<long>, places array<binary>"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,26 +138,35 @@ def same_length(codes: np.ndarray, pieces: Pieces, logp: np.ndarray, used: np.nd
 
 
 def one_by_one(word: str, pieces: Pieces, logp: np.ndarray, used: np.ndarray, count: float | None) -> float:
-    """The same for one long word; its pieces' expected uses are those on its likeliest way to each place."""
+    """The same recursions for one word, letter by letter."""
     text = MARK + word
-    alpha = [0.0] + [-np.inf] * len(text)
-    back: list[tuple[int, list[int]]] = [(0, [])] * (len(text) + 1)
-    for j in range(1, len(text) + 1):
-        best = -np.inf
-        ways = [(i, [k]) for i in range(max(0, j - pieces.longest), j) if (k := pieces.names.get(text[i:j])) is not None]
+    n = len(text)
+    weight = logp.tolist()
+    alpha = [0.0] + [-math.inf] * n
+    arcs: list[tuple[int, int, list[int], float]] = []
+    for j in range(1, n + 1):
+        first = len(arcs)
+        for i in range(max(0, j - pieces.longest), j):
+            k = pieces.names.get(text[i:j])
+            if k is not None:
+                arcs.append((i, j, [k], weight[k]))
         if text[j - 1] not in pieces.names:
-            ways.append((j - 1, [pieces.spell[b] for b in text[j - 1].encode("utf-8", "surrogatepass")]))
-        for i, ids in ways:
-            v = alpha[i] + float(logp[ids].sum())
-            alpha[j] = float(np.logaddexp(alpha[j], v))
-            if v > best:
-                best, back[j] = v, (i, ids)
+            ids = [pieces.spell[b] for b in text[j - 1].encode("utf-8", "surrogatepass")]
+            arcs.append((j - 1, j, ids, sum(weight[k] for k in ids)))
+        alpha[j] = log_sum([alpha[i] + step for i, _, _, step in arcs[first:]])
     if count:
-        j = len(text)
-        while j:
-            j, ids = back[j]
-            np.add.at(used, ids, count)
-    return alpha[-1]
+        beta = [-math.inf] * n + [0.0]
+        for i, j, ids, step in reversed(arcs):
+            share = math.exp(min(alpha[i] + step + beta[j] - alpha[n], 0.0)) * count
+            beta[i] = log_sum([beta[i], step + beta[j]])
+            for k in ids:
+                used[k] += share
+    return alpha[n]
+
+
+def log_sum(x: list[float]) -> float:
+    top = max(x, default=-math.inf)
+    return top + math.log(sum(math.exp(v - top) for v in x)) if top > -math.inf else top
 
 
 def text_words(text: str) -> Iterator[bytes]:
@@ -175,43 +189,25 @@ def trains(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for i in ids], dtype=bool)
 
 
-def merged(df: DataFrame) -> DataFrame:
-    """A row per part with the distinct words and their training counts, and where each block has which; blocks go through."""
-
-    def told(p: int, group: list) -> Iterator[tuple]:
-        index: dict[bytes, int] = {}
-        places = [np.fromiter((index.setdefault(w, len(index)) for w in words), dtype="<u4", count=len(words)) for _, words, _ in group]
-        total = np.zeros(len(index), dtype="<u8")
-        for at, (_, _, b) in zip(places, group):
-            total[at] += exchange.unplaned(b, "<u4")
-        yield p, exchange.WORDS, None, exchange.squeezed(exchange.BETWEEN.join(index)), exchange.planes(total), [g[0] for g in group], [exchange.planes(at) for at in places]
-
-    return exchange.by_part(df, lambda: told, TABLE, lambda r: (*r, None, None))
-
-
 def decoded(words: list[bytes]) -> list[str]:
     return [w.decode("utf-8", "replace") for w in words]
 
 
 def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural log weights of the vocabulary's pieces, fitted to the training words. Each round adds up one row per piece."""
-    weights = Pieces(path).start
-    own = weights
+    """Natural log weights of the vocabulary's pieces, fitted to the distinct words (column word); a round adds up a row per piece."""
+    own = weights = Pieces(path).start
     for _ in range(rounds):
         logp = np.log(weights)
 
         def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             pieces, used = Pieces(path), np.zeros(len(logp))
             for b in batches:
-                for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    counts = exchange.unplaned(c, "<u8")
-                    some = np.flatnonzero(counts)
-                    every = words_of(a)
-                    used += forward_backward(decoded([every[k] for k in some]), pieces, logp, np.ones(len(some)))[1]
+                found = decoded(b.column(0).to_pylist())
+                used += forward_backward(found, pieces, logp, np.ones(len(found)))[1]
             at = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(used[at])], names=["piece", "used"])
 
-        found = words.select("a", "b").mapInArrow(expect, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect()
+        found = words.select("word").mapInArrow(expect, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect()
         used = np.zeros(len(own))
         for piece, n in found:
             used[piece] = n
@@ -219,21 +215,6 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     return np.log(weights)
 
 
-words_of = exchange.words_of
-
-
-def totals(words: DataFrame) -> tuple[int, int]:
-    """(tokens, distinct tokens) of the training words."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = [exchange.unplaned(c, "<u8") for c in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int(np.count_nonzero(c)) for c in counts], pa.int64())], names=["n", "v"])
-
-    n, v = words.select("b").mapInArrow(add, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return int(n or 0), int(v or 0)
-
-
 def mixed(counts: np.ndarray, logs: np.ndarray, n: int, v: int) -> np.ndarray:
     """log10 of each word's probability from its count and the natural log of its marginal, which may be far below what a double holds."""
     if not n:
@@ -251,50 +232,48 @@ def sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_scores(counts: DataFrame, path: str, weights, n: int, v: int) -> DataFrame:
+    """(word, c, p): each distinct word's training count and the log10 of its probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
+        for b in batches:
+            logs = forward_backward(decoded(b.column("word").to_pylist()), pieces, weights.value)[0]
+            p = mixed(b.column("c").to_numpy(), logs, n, v)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(p)], names=["word", "c", "p"])
+
+    return counts.select("word", "c").mapInArrow(run, "word binary, c long, p double")
+
+
 def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """OUT for each document: what the base and the lattice make of its whole text.
 
     Learns from documents whose crc32(doc_id as text) mod 7 is not 2 (a null id counts as the empty text). A null or
     empty text is the end alone; rows with equal ids are each counted and scored; with nothing to learn from, the weights
-    are the vocabulary's own; an empty table gives an empty result; other columns don't matter.
+    are the vocabulary's own; an empty table gives an empty result; other columns don't matter. A score stays finite
+    however long a word is.
+
+    Words are counted by one shuffle, joined back to the blocks they stand in by a second, and summed up by document
+    after a third, by block.
     """
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
-    table = written(merged(exchange.blocks(docs, lambda: text_words, trains)), "words")
-    words = table.where(F.col("kind") == exchange.WORDS)
-    n, v = totals(words)
-    ends = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2).count()
+    rows = written(exchange.block_rows(docs, lambda: text_words, trains), "words")
+    counts = written(rows.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("known").alias("c")), "counts")
+    learnt = counts.where(F.col("c") > 0)
+    n, v = learnt.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = docs.where(crc_mod("doc_id", 7) != 2).count()
     n, v = n + ends, v + bool(ends)
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(fit(words, path, rounds))  # one number for each piece of the vocabulary
+    weights = docs.sparkSession.sparkContext.broadcast(fit(learnt, path, rounds))  # one number for each piece of the vocabulary
 
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        for batch in batches:
-            for p, kind, block, a, b, blocks, places in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == exchange.PLACES:
-                    yield exchange.row([(p, kind, block, a, b)])
-                    continue
-                counts, logs = exchange.unplaned(b, "<u8"), forward_backward(decoded(words_of(a)), pieces, weights.value)[0].astype("<f4")
-                for block, at in zip(blocks, places):
-                    at = exchange.unplaned(at, "<u4")
-                    yield exchange.row([(p, kind, block, exchange.planes(counts[at]), exchange.planes(logs[at]))])
-
-    def assemble(about: pa.Table, places: np.ndarray, order: np.ndarray, answers: list) -> dict:
-        counts, logs = np.empty(len(order)), np.empty(len(order))
-        if answers:
-            counts[order] = np.concatenate([exchange.unplaned(a, "<u8") for a, _ in answers])
-            logs[order] = np.concatenate([exchange.unplaned(b, "<f4") for _, b in answers])
-        base = np.log10(counts + 1)
-        share = mixed(counts, logs, n, v)
-        size = about["n"].to_numpy()
-        ids = about["doc_id"].to_pylist()
+    def finish(ids: list, size: np.ndarray, places: np.ndarray, words: pa.Table) -> dict:
+        c, p = words["c"].to_numpy(), words["p"].to_numpy()
         add = lambda x: sums(x[places], size)
         tokens = size + 1
         end = np.log10((ends + 1) / (n + v)) if n else 0.0
         return {
-            "doc_id": pa.array(ids, pa.int64()), "held_out": ~trains(ids), "n_tokens": tokens, "n_known": (add(counts > 0).round().astype(np.int64) + bool(ends)), "train_tokens": np.full(len(ids), n, dtype=np.int64),
-            "base_score": add(base) + np.log10(ends + 1) - tokens * np.log10(n + v + 1), "score": add(share) + end,
+            "doc_id": ids, "held_out": ~trains(ids), "n_tokens": tokens, "n_known": add(c > 0).round().astype(np.int64) + bool(ends), "train_tokens": np.full(len(ids), n),
+            "base_score": add(np.log10(c + 1.0)) + np.log10(ends + 1) - tokens * np.log10(n + v + 1), "score": add(p) + end,
         }
 
-    flat = table.mapInArrow(value, exchange.ROW)
-    return exchange.by_block(flat, assemble, OUT)
+    told = rows.where(F.col("word").isNotNull()).select("block", "place", "word").join(word_scores(counts, path, weights, n, v), "word").select("block", "place", "c", "p")
+    return exchange.in_blocks(told.unionByName(rows.where(F.col("word").isNull()).select("block", "place", "tokens", "docs"), allowMissingColumns=True), finish, OUT)

@@ -13,7 +13,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import text_batches
 from .tokens import encoding
 
 WINDOW = 2048
@@ -144,7 +143,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     are packed each on its own; an empty table gives no pieces; other columns don't matter. Sequence ids are unique: the
     task's partition in the upper bits, a counter in the lower 36.
     """
-    text_batches(docs.sparkSession)
     path, same = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     names = [f.split()[0] for f in PIECES.split(", ")]
 

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIT_CHARS, FIT_ROWS, crc_mod, labelled_sample, logistic, scored, sigmoid
+from .common import FIT_ROWS, crc_mod, in_order, labelled_sample, logistic, scored, sigmoid
 
 #: Bytes that are compressed on their own, so that the dictionaries bear on every part of a long text.
 SEGMENT = 1024
 DICTIONARY = 64 * 1024
 LEVEL = 3
-#: Segments of either label, and of one text, spread over all of it, that a dictionary is built from at most.
-SEGMENTS, EACH = 4000, 16
+#: Labelled rows that the dictionaries are built from at most, half of the fitting rows if those are fewer.
+DICTIONARY_ROWS = 2000
 THRESHOLD = 0.3
 
 
@@ -54,34 +56,35 @@ def segments(data: bytes) -> list[bytes]:
     return [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)] or [b""]
 
 
-def spread(parts: list[bytes], most: int = EACH) -> list[bytes]:
-    return parts if len(parts) <= most else [parts[k * len(parts) // most] for k in range(most)]
+def dictionary(parts: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A trained dictionary; of so few segments that none can be trained, their last bytes as they are."""
+    try:
+        return zstandard.train_dictionary(size, parts).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(parts)[-size:] or b"\0" * 16
 
 
-def fit(rows: list[tuple[str, int]], prior: float | None = None) -> QualityModel:
-    """The first half of the rows builds the dictionaries, the other one calibrates.
+def fit(rows: Iterable[tuple[str, int]], n: int, prior: float | None = None, most: int = DICTIONARY_ROWS) -> QualityModel:
+    """The first rows, at most half of them and `most`, build the dictionaries from all their segments; the others calibrate.
 
-    rows: (text, 1 if good), in an order that says nothing of the label. prior: share of good texts that the scores
-    are calibrated for; that of the rows if None. Too few rows for a dictionary give one that holds them as they are.
+    rows: n times (text, 1 if good), in an order that says nothing of the label, read once. prior: share of good texts
+    that the scores are calibrated for; that of the rows if None.
     """
-    half = len(rows) // 2
-    packs = {}
-    for label in (0, 1):
-        parts = [s for t, y in rows[:half] if y == label for s in spread(segments(t.encode("utf-8", "replace")))]
-        step = max(1, len(parts) // SEGMENTS)
-        parts = parts[::step][:SEGMENTS]
-        try:
-            packs[label] = zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
-        except (zstandard.ZstdError, ValueError):
-            packs[label] = b"".join(parts)[-DICTIONARY:] or b"\0" * 16
-    model = QualityModel(packs[1], packs[0], np.zeros(6))
-    rest = rows[half:]
-    y = np.array([r[1] for r in rest], dtype=float)
-    if not rest or y.min() == y.max():  # nothing to tell apart
-        share = (sum(r[1] for r in rows) + 1) / (len(rows) + 2)
+    rest: Iterator[tuple[str, int]] = iter(rows)
+    parts: dict[int, list[bytes]] = {0: [], 1: []}
+    good = 0
+    for text, y in islice(rest, min(n // 2, most)):
+        parts[y] += segments(text.encode("utf-8", "replace"))
+        good += y
+    model = QualityModel(dictionary(parts[1]), dictionary(parts[0]), np.zeros(6))
+    del parts
+    told = [(model.features(text), y) for text, y in rest]
+    y = np.array([t[1] for t in told], dtype=float)
+    if not told or y.min() == y.max():  # nothing to tell apart
+        share = (good + y.sum() + 1) / (n + 2)
         model.weights[-1] = np.log(share / (1 - share))
         return model
-    x = np.array([model.features(t) for t, _ in rest])
+    x = np.array([t[0] for t in told])
     mid, width = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = logistic((x - mid) / width, y)
     model.weights = np.r_[w[:-1] / width, w[-1] - (w[:-1] * mid / width).sum()]
@@ -90,18 +93,18 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> QualityModel
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> DataFrame:
     """The documents with `score`, the calibrated chance that a text is good.
 
-    Learns from at most `rows` labelled documents that `learn` (a condition on doc_id) allows, whole texts of `chars`
-    characters together at most; scores whole texts. A null text scores as the empty one; repeated rows are all scored, alike;
+    Learns from the whole texts of at most `rows` labelled documents that `learn` (a condition on doc_id) allows; scores
+    whole texts. A null text scores as the empty one; repeated rows are all scored, alike;
     without labels every score is a half; an empty table stays empty. Other columns pass unchanged, but for a `score`,
     which is replaced.
     """
     learn = F.lit(True) if learn is None else learn
     share = labels.where(F.col("quality").isin(0, 1) & learn).agg(F.avg("quality")).first()[0]
-    sample = labelled_sample(docs, labels, "quality", learn, rows, chars)
-    model = fit(sample, min(max(share, 0.01), 0.99) if share is not None else None)
+    sample = labelled_sample(docs, labels, "quality", learn, rows)
+    model = fit(in_order(sample), sample.count(), min(max(share, 0.01), 0.99) if share is not None else None)
     return scored(docs, model.score)
 
 

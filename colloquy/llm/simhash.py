@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, runs, text_batches
+from .common import checkpointed, runs
 
 RADIUS = 3
 BLOCKS = 6
@@ -117,7 +117,6 @@ def links(fps: DataFrame) -> DataFrame:
 
     fps: distinct fingerprints in a long column fp.
     """
-    text_batches(fps.sparkSession, 10_000)
     first = checkpointed(keyed(fps, list(enumerate(TABLES))).mapInArrow(links_in(MOST), LINKS))
     crowded = first.where(F.col("b").isNull()).select(F.col("a").alias("fp"), "part")
     masks = F.array(*(F.array(*(F.lit(signed(m)) for m in ms)) for ms in DEEPER))
@@ -161,7 +160,6 @@ def digest(docs: DataFrame) -> Column:
 
 def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
     """(doc_id, fp) of whole texts, and digest if it is asked for; a null text counts as empty."""
-    text_batches(docs.sparkSession)
     also = [digest(docs).alias("digest")] if digests else []
     names = ["doc_id", "fp", *["digest"][: len(also)]]
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIT_CHARS, FIT_ROWS, crc_mod, labelled_sample, scored, sigmoid
+from .common import FIT_ROWS, crc_mod, in_order, labelled_sample, scored, sigmoid
 
 #: Identity terms that are swapped for each other, by language.
 IDENTITY = {
@@ -23,7 +23,7 @@ IDENTITY = {
 GROUPS = {w: lang for lang, words in IDENTITY.items() for w in words}
 #: Letters of the beginnings and ends of words that count as features beside whole words.
 STARTS, ENDS = (3, 4, 5, 6), (4, 5, 6)
-#: Features that a model may have at most, by how far they tell the labels apart alone.
+#: Features that a model may have at most beside those of identity terms, by how far they tell the labels apart alone.
 FEATURES = 1500
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -83,18 +83,21 @@ class ToxicityModel:
         return sigmoid(np.array([self.constant + sum(self.weights[f] for f in sorted(self.found(t))) for t in texts]))
 
 
-def fit(rows: list[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e-3, ridge: float = 2e-5, steps: int = 200) -> ToxicityModel:
+def fit(rows: Iterable[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e-3, ridge: float = 2e-5, steps: int = 200, most: int = FEATURES) -> ToxicityModel:
     """Logistic loss + fairness * mean (logit of a row - logit of its counterfactual) ** 2 + a penalty on the weights.
 
     The penalty is sparsity * |w| first, by accelerated proximal steps, which leaves a few features; then
     ridge * w ** 2 on those, by Newton steps. Either label weighs the same in all.
     """
-    y = np.array([r[1] for r in rows], dtype=float)
+    vocabulary = {w: k for k, w in enumerate(GROUPS)}  # words as numbers, so that many texts stay small
+    texts, known = [], []
+    for t, label in rows:
+        texts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), dtype=np.int32))
+        known.append(label)
+    y = np.array(known, dtype=float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    vocabulary = {w: k for k, w in enumerate(GROUPS)}  # words as numbers, so that many texts stay small
-    texts = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), dtype=np.int32) for t, _ in rows]
     seen = np.bincount(np.concatenate(texts), minlength=len(vocabulary))
     seen[: len(GROUPS)] = 2
     ids: dict[str, int] = {}
@@ -108,7 +111,7 @@ def fit(rows: list[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e
         sums[found] += v
         often[found] += 1
     every = list(ids)
-    told = sorted(np.flatnonzero(often > 2), key=lambda f: (-abs(sums[f]) / often[f] ** 0.5, every[f]))[:FEATURES]
+    told = sorted(np.flatnonzero(often > 2), key=lambda f: (-abs(sums[f]) / often[f] ** 0.5, every[f]))[:most]
     names = sorted({*(every[f] for f in told), *(f for w in GROUPS for f in features(w))})
     place = np.full(len(ids), -1)
     place[[ids[f] for f in names]] = np.arange(len(names))
@@ -157,16 +160,15 @@ def fit(rows: list[tuple[str, int]], fairness: float = 0.2, sparsity: float = 1e
     return ToxicityModel({names[k]: float(a) for k, a in zip(own, u) if abs(a) > 1e-6}, float(u[-1]))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> DataFrame:
     """The documents with `score`, the chance that a text is toxic.
 
-    Learns from at most `rows` labelled documents that `learn` allows, whole texts of `chars` characters together at
-    most; scores whole texts. A null or empty text gets the score of a text without words; repeated rows are all scored, alike;
+    Learns from the whole texts of at most `rows` labelled documents that `learn` allows; scores whole texts. A null or empty text gets the score of a text without words; repeated rows are all scored, alike;
     with no labels every score is a half; an empty table stays empty; other columns pass unchanged, but for a `score`,
     which is replaced.
     """
     learn = F.lit(True) if learn is None else learn
-    return scored(docs, fit(labelled_sample(docs, labels, "toxic", learn, rows, chars)).score)
+    return scored(docs, fit(in_order(labelled_sample(docs, labels, "toxic", learn, rows))).score)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
