@@ -1,5 +1,6 @@
 """Classifiers, HTML extraction, top-k, chat formatting and the pipeline."""
 
+import math
 import zlib
 
 import duckdb
@@ -131,24 +132,49 @@ def test_topk_against_sql(spark):
     assert differences(topk.topk_query(table(spark, "embeddings")), database(SF), topk.TOPK_SQL) is None
 
 
+def plain_top(rows, k):
+    """By whole numbers of any size: (query_id, rank, vec_id, score) of each row whose id is divisible by 20."""
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(64 * c) for c in v)]
+    cut = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    out = []
+    for i, q in whole:
+        if i % 20 == 0:
+            scores = sorted((-cut(sum(a * b for a, b in zip(q, x))), j) for j, x in whole if j != i and len(x) == len(q))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
+
+
 def test_topk_of_odd_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (5, []), (None, [1.0, 1.0]), (6, [-1.0, 0.0]), (1, [1.0, 2.0]), (40, [1e30, 1.0]), (60, [3e8, 1.0])]
+    rows = [
+        (0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (5, []), (None, [1.0, 1.0]), (6, [-1.0, 0.0]), (1, [1.0, 2.0]), (40, [1e30, 1.0]), (60, [3e8, 1.0]),
+        (20, [-3.0, 0.25]), (7, [2e8, -1.0]), (80, [1.0]), (100, [2.0, 1.0, 1.0]), (8, [0.0, 1.0, 0.015]), (9, [1e308, 1.0]), (120, [-1e200, 1e200]), (10, [5e199, -1e200]),
+    ]
     vectors = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, label int, n int, shard int")
-    got = topk.top_k(*(lambda w: (w, w.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "x")))(topk.whole_vectors(vectors.where("vec_id < 40"))), 3).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert sorted(by[0]) == [(1, 1, 20480), (2, 1, 20480), (3, 20, 20480)] and sorted(by[20]) == [(1, 0, 20480), (2, 1, 20480), (3, 1, 20480)]
+    w = topk.whole_vectors(vectors)
+    got = topk.top_k(w, w.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "x"), 3).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, 3)
     assert topk.topk_query(empty(vectors)).collect() == []
 
 
+def test_topk_over_many_cells_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "MOST_CELLS", 30)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 8))
+    x = np.round(centres[rng.integers(0, 9, 900)] + 0.2 * rng.normal(size=(900, 8)), 2)
+    x[300:600] = x[300]  # a third of all rows alike
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = topk.topk_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, 20)
+
+
 def test_ball_tree_passes_over_nodes():
     x = np.random.default_rng(2).normal(size=(5000, 16)) * 10
     x = np.floor(x + 40 * np.random.default_rng(3).normal(size=(25, 16)).repeat(200, axis=0))
     tree = topk.BallTree(x, np.arange(5000), 64)
     seen = []
-    s = topk.Search(x[:50], np.arange(50), np.full(50, -np.inf), 20)
+    s = topk.Search(x[:50], np.arange(50), np.full(50, topk.LOW), 20)
     leaf = s.leaf
     s.leaf = lambda tree, rows, at: (seen.append(len(rows) * len(at)), leaf(tree, rows, at))
     s.visit(tree, tree.root, np.arange(50))
