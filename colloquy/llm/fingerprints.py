@@ -8,16 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import runs
+from .common import written
+from .exchange import arrow_schema
 from .simhash import block_masks, signed
 
 #: Words whose hash a task keeps at most.
 MEMO = 300_000
-#: Rows that a range of ids holds about.
-RANGE_ROWS = 4000
+#: Rows that a range of ids holds about, where there are more ranges than twice the shuffle's partitions.
+RANGE_ROWS = 100_000
+#: Bits that near fingerprints differ in at most.
+RADIUS = 3
 
 
 class Words(dict):
@@ -59,77 +64,101 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> tuple[list, list]:
-    """(cuts, firsts): ids that cut the ids into ranges of about `rows` rows, and the largest id of each range.
+def ordered(docs: DataFrame, ranges: int) -> DataFrame:
+    """(doc_id, text) in ranges of falling id, null ids last; rows of one id by a hash of their text, so that many of them divide."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("__row")]
+    return rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
-    Only ids are read. Both lists have one entry for `rows` rows at least, so they stay small.
-    """
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    n = max(1, ids.count() // rows)
-    cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    place = F.lit(0)
-    for lo in range(0, len(cuts), 500):  # sums of comparisons in pieces, so that no expression grows long
-        part = F.array(*(F.lit(c) for c in cuts[lo : lo + 500]))
-        place = place + F.size(F.filter(part, lambda c: c <= F.col("doc_id")))
-    tops = dict(ids.groupBy(place.alias("r")).agg(F.max("doc_id")).collect())
-    return cuts, [tops.get(r) for r in range(len(cuts) + 1)]
-
-
-def with_next(docs: DataFrame, compare, schema: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """compare(id, text, next text) for each document and the one with the next smaller id (after the smallest: the largest).
-
-    compare gives the columns after doc_id. Each id range is one group of rows, sorted by id; the largest document of a
-    range goes to the range above it as well, where it ends the list. So texts are shuffled once and no task sees more
-    than a range. Rows of equal ids follow one another by their text; null ids come last.
+
+def with_next(docs: DataFrame, compare, schema: str, ranges: int | None = None) -> DataFrame:
+    """compare(text, next text) for each document and the one with the next smaller id (after the smallest: the largest).
+
+    compare gives the columns after doc_id. Texts are shuffled once, into ranges of ids that a task walks through with
+    two texts in hand. What stands at a range's ends is a row with its first and its last text; those rows, one for each
+    range, are put in order to compare each range's last text with the first one of the next range that isn't empty.
     """
-    cuts, tops = ranges(docs, rows)
-    full = [r for r, t in enumerate(tops) if t is not None]
-    # a range's largest document also belongs to the next fuller range above; that of the highest range to the lowest
-    above = {r: full[(k + 1) % len(full)] for k, r in enumerate(full)}
-    n = len(cuts)
-    spark = docs.sparkSession
-    cut = spark.sparkContext.broadcast((np.array(cuts, dtype=np.int64), tops, above, full[0] if full else 0))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, tops, above, lowest = cut.value
-        for b in batches:
-            ids = b.column(0)
-            whole = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy())
-            at = np.searchsorted(cuts, whole, side="right")
-            at[whole == np.iinfo(np.int64).min] = lowest
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.zeros(len(at), dtype=bool)), *b.columns], names=["r", "copy", "doc_id", "text"])
-            top = [k for k, (i, r) in enumerate(zip(ids.to_pylist(), at)) if i is not None and i == tops[r]]
-            if top:
-                yield pa.RecordBatch.from_arrays([pa.array([above[int(at[k])] for k in top], pa.int32()), pa.array([True] * len(top)), *(c.take(pa.array(top)) for c in b.columns)], names=["r", "copy", "doc_id", "text"])
-
-    rowset = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(place, "r int, copy boolean, doc_id long, text string")
-    order = [F.col("r"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text")]
+    names = ["doc_id", *(f.split()[0] for f in schema.split(", "))]
+    edge = "place int, last_id long, first string, last string"
+    kinds = arrow_schema(f"doc_id long, {schema}, {edge}")
+    ranges = ranges or max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE_ROWS)
+
+    def filled(values: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in kinds], schema=kinds)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in runs(batches, ["r"]):
-            ids, texts, before, done = [], [], None, False
-            for h in held:
-                for copy, i, t in zip(h.column(1).to_pylist(), h.column(2).to_pylist(), h.column(3).to_pylist()):
-                    if done:  # of the copies only the first, by text, follows
-                        continue
-                    if before is not None:
-                        ids.append(before[0])
-                        texts.append(compare(before[1], t))
-                    before, done = (i, t), copy
-            if before is not None and not done:  # no copy: the only document, or a range of null ids alone
-                ids.append(before[0])
-                texts.append(compare(before[1], before[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in zip(*texts))], names=names)
+        first = last = None
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if last is None:
+                    first = text
+                else:
+                    rows.append((last[0], *compare(last[1], text)))
+                last = doc, text
+            if rows:
+                yield filled(dict(zip(names, zip(*rows))), len(rows))
+        if last is not None:
+            yield filled({"place": [TaskContext.get().partitionId()], "last_id": [last[0]], "first": [first], "last": [last[1]]}, 1)
+
+    done = written(ordered(docs, ranges).mapInArrow(walk, f"doc_id long, {schema}, {edge}"), "walked")
+    by = W.orderBy("place")  # a row for each range
+    ends = done.where(F.col("place").isNotNull()).select("last_id", "last", F.coalesce(F.lead("first").over(by), F.first("first").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("following"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *compare(t, n)) for i, t, n in zip(*(c.to_pylist() for c in b.columns))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], names=names)
+
+    return done.where(F.col("place").isNull()).select(*names).unionByName(ends.mapInArrow(close, f"doc_id long, {schema}"))
+
+
+def tables(fps: DataFrame, name: str, masks: list[int]) -> DataFrame:
+    """(name, part, key): each distinct fingerprint (column fp) under the bits of each table's blocks."""
+    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("part", "key")
+    return fps.select("fp").where(F.col("fp").isNotNull()).distinct().select(F.col("fp").alias(name), keys)
 
-    names = ["doc_id", *(f.split()[0] for f in schema.split(", "))]
-    return rowset.repartition(max(n + 1, 1), "r").sortWithinPartitions(*order).mapInArrow(walk, "doc_id long, " + schema)
 
+def near_pairs(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(q, f, distance) of distinct fingerprints within `radius` differing bits, by permuted block tables.
+
+    queries, fps: column fp. One table per choice of blocks - radius blocks, keyed by those blocks' bits: two
+    fingerprints within the radius agree on one choice at least. A pair counts under the first table where it meets.
+    """
+    masks = block_masks(list(range(64)), radius, blocks or max(2 * radius, 1))
+    differs = F.col("q").bitwiseXOR(F.col("f"))
+    before = F.when(F.lit(False), -1)
+    for k, m in enumerate(masks):
+        before = before.when(differs.bitwiseAND(F.lit(signed(m))) == 0, k)
+    met = tables(queries, "q", masks).join(tables(fps, "f", masks), ["part", "key"])
+    return met.where((F.bit_count(differs) <= radius) & (F.col("part") == before)).select("q", "f", F.bit_count(differs).alias("distance"))
 
-def fingerprint_query(docs: DataFrame) -> DataFrame:
+
+def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(query_id, doc_id, distance) of all fingerprints within `radius` differing bits of each query.
+
+    queries: query_id, fp; fps: doc_id, fp. Equal fingerprints are joined as one and get their documents back at the
+    end: ties and repeated rows all come, once for each row. Rows without a fingerprint find nothing and are not found;
+    empty tables give an empty result; other columns don't matter.
+    """
+    pairs = near_pairs(queries, fps, radius, blocks)
+    return queries.select("query_id", "fp").join(pairs, F.col("fp") == F.col("q")).select("query_id", "f", "distance").join(fps.select("doc_id", F.col("fp").alias("f")), "f").select("query_id", "doc_id", "distance")
+
+
+def count_within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, n_near): how many rows of fps have a fingerprint within `radius` bits of each distinct one of queries. Pairs are counted, never gathered."""
+    copies = fps.where(F.col("fp").isNotNull()).groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("n"))
+    return near_pairs(queries, fps, radius).join(copies, "f").groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n_near"))
+
+
+def fingerprint_query(docs: DataFrame, every: int = 20, ranges: int | None = None) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and how alike they and the next document's are.
 
-    A null text counts as empty. Of rows with equal ids each has the next of them, by text, as its next document. A
-    document alone is its own next one. Empty tables give empty results; other columns don't matter.
+    n_near: for documents whose id is divisible by `every`, how many other documents have a fingerprint within RADIUS
+    bits; null for the others. A null text counts as empty. Of rows with equal ids each has the next of them, by a hash
+    of the text, as its next document. A document alone is its own next one. Empty tables give empty results; other
+    columns don't matter. A task holds a batch of rows at a time, however long a range is.
     """
     memo = Words()
 
@@ -138,22 +167,12 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
         own, theirs, changed = (term_fingerprint(t, memo) for t in (text, following, other))
         return len(text), hashlib.sha256(other.encode("utf-8", "replace")).hexdigest(), own, changed, likeness(own, changed), likeness(own, theirs)
 
-    out = with_next(docs, compare, "n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double")
+    out = with_next(docs, compare, "n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double", ranges)
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    fps = out.select(F.col("fingerprint").alias("fp"))
+    near = count_within(out.where(asks).select(F.col("fingerprint").alias("fp")), fps)
+    asked = out.where(asks).join(near, F.col("fingerprint") == F.col("fp"), "left").select(*out.columns, (F.col("n_near") - 1).alias("n_near"))
+    out = asked.unionByName(out.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
     for c in ("fingerprint", "edited_fingerprint"):
         out = out.withColumn(c, F.lower(F.lpad(F.hex(c), 16, "0")))
     return out
-
-
-def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """(query_id, doc_id, distance) of all fingerprints within `radius` differing bits of each query.
-
-    queries: query_id, fp; fps: doc_id, fp. Permuted block tables: one table per choice of blocks - radius blocks, each
-    keyed by those blocks' bits; a pair is compared under the first table where it meets only. Equal fingerprints are
-    joined as one and get their documents back at the end. Rows without a fingerprint find nothing.
-    """
-    masks = block_masks(list(range(64)), radius, blocks or 2 * radius)
-    tables = lambda d, name: d.select("fp").where(F.col("fp").isNotNull()).distinct().select(F.col("fp").alias(name), F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks))).alias("part", "key"))
-    differs = F.col("q").bitwiseXOR(F.col("f"))
-    met = tables(queries, "q").join(tables(fps, "f"), ["part", "key"]).where(F.bit_count(differs) <= radius)
-    pairs = met.select("q", "f", F.bit_count(differs).alias("distance")).distinct()
-    return queries.join(pairs, F.col("fp") == F.col("q")).select("query_id", "f", "distance").join(fps.select("doc_id", F.col("fp").alias("f")), "f").select("query_id", "doc_id", "distance")

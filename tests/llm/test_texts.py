@@ -155,29 +155,50 @@ def test_keep_one_of_rows_without_an_id_and_of_clashing_ids(spark):
     assert kept == Counter([(None, "alpha one"), (5, "beta two"), (7, "gamma three"), (7, "delta four"), (3, "epsilon five"), (None, ""), (8, "zeta six")])
 
 
-def test_fingerprints(docs):
-    rows = sorted(((d is None, -(d or 0), t), (d, t)) for d, t in pairs(docs))
-    ordered = [r for _, r in rows]
-    got = fingerprints.fingerprint_query(docs).collect()
-    assert len(got) == len(ordered)
-    memo = fingerprints.Words()
-    want = Counter()
-    for k, (doc, text) in enumerate(ordered):
-        following = ordered[(k + 1) % len(ordered)][1]
+def plain_simhash(text):
+    """Weighted votes of the pairs of neighbouring words, by whole numbers and one bit after another."""
+    m = 2**64 - 1
+    h = [1, *(xxhash.xxh64_intdigest(w) for w in "".join(c.lower() if c.isascii() else c for c in text).encode().split()), 2]
+    counts = Counter()
+    for a, b in zip(h, h[1:]):
+        x = (a * 0x9E3779B97F4A7C15 + ((b ^ b >> 29) * 0xBF58476D1CE4E5B9)) & m
+        x = ((x ^ x >> 32) * 0x94D049BB133111EB) & m
+        counts[x ^ x >> 29] += 1
+    weight = {x: 1 + math.log2(n) for x, n in counts.items()}
+    votes = [sum(w if x >> b & 1 else -w for x, w in weight.items()) for b in range(64)]
+    return sum(1 << b for b in range(64) if votes[b] > 1e-9), {b for b in range(64) if abs(votes[b]) < 1e-2}
+
+
+@pytest.mark.parametrize("ranges", [None, 37])
+def test_fingerprints(spark, docs, ranges):
+    docs = docs.where("length(text) < 20000 or text is null")
+    rows = pairs(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy(F.col("doc_id").desc_nulls_last(), "h"))
+    got = fingerprints.fingerprint_query(docs, ranges=ranges).collect()
+    assert len(got) == len(rows)
+    want, own = Counter(), {}
+    for k, (doc, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
         n = len(text) // 3
-        other = text[: len(text) - n] + following[:n]
-        fp = lambda t: fingerprints.term_fingerprint(t, memo) & (2**64 - 1)
-        want[doc, len(text), hashlib.sha256(other.encode()).hexdigest(), f"{fp(text):016x}", f"{fp(other):016x}"] += 1
-    if not any(d is None for d, _ in ordered):
-        assert Counter(tuple(r)[:5] for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-
-
-def test_fingerprints_over_many_ranges(spark, monkeypatch):
-    docs = table(spark, "documents")
-    whole = {tuple(r) for r in fingerprints.fingerprint_query(docs).collect()}
-    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (37,))
-    assert {tuple(r) for r in fingerprints.fingerprint_query(docs).collect()} == whole
+        e = text[: len(text) - n] + following[:n]
+        digest = hashlib.sha256(e.encode()).hexdigest()
+        want[doc, len(text), digest] += 1
+        own[digest] = text, e, following
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    like = lambda x: max(0.0, math.cos(math.pi * x.bit_count() / 64))
+    for r in got[:: max(1, len(got) // 150)]:
+        text, e, following = own[r.edited_sha256]
+        a, b = int(r.fingerprint, 16), int(r.edited_fingerprint, 16)
+        for value, t in ((a, text), (b, e)):
+            plain, even = plain_simhash(t)
+            assert all((value ^ plain) >> k & 1 == 0 for k in range(64) if k not in even)
+        assert math.isclose(r.near_edited, like(a ^ b), abs_tol=1e-12)
+        if r.n_chars > 0:
+            theirs = {int(g.fingerprint, 16) for g in got if g.n_chars == len(following)}
+            assert any(math.isclose(r.near_next, like(a ^ x), abs_tol=1e-12) for x in theirs)
+    fps = [int(r.fingerprint, 16) for r in got]
+    for r in got:
+        asked = r.doc_id is not None and r.doc_id % 20 == 0
+        assert r.n_near == (sum((int(r.fingerprint, 16) ^ x).bit_count() <= 3 for x in fps) - 1 if asked else None)
 
 
 def test_edited_texts_are_nearer_than_others(spark):
@@ -185,13 +206,16 @@ def test_edited_texts_are_nearer_than_others(spark):
     assert (got.near_edited > got.near_next).mean() > 0.9
 
 
-def test_within_radius(spark):
+@pytest.mark.parametrize("radius", [0, 2, 3])
+def test_within_radius(spark, radius):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**62), 2**62, 40)
     fps = [(k, int(x) ^ int(sum(1 << int(b) for b in rng.choice(62, k % 6, replace=False)))) for k, x in enumerate(np.repeat(base, 5))]
-    df = spark.createDataFrame([*fps, (999, None)], "doc_id long, fp long")
-    got = {tuple(r) for r in fingerprints.within_radius(df.withColumnRenamed("doc_id", "query_id"), df).collect()}
-    assert got == {(a, b, n) for a, x in fps for b, y in fps if (n := ((x ^ y) & (2**64 - 1)).bit_count()) <= 3}
+    fps += [(500, fps[0][1]), (500, fps[0][1])]  # ties and repeated rows
+    df = spark.createDataFrame([(*r, 7) for r in [*fps, (999, None)]], "doc_id long, fp long, distance int")
+    got = Counter(tuple(r) for r in fingerprints.within_radius(df.withColumnRenamed("doc_id", "query_id"), df, radius).collect())
+    assert got == Counter((a, b, n) for a, x in fps for b, y in fps if (n := ((x ^ y) & (2**64 - 1)).bit_count()) <= radius)
+    assert fingerprints.within_radius(empty(df).withColumnRenamed("doc_id", "query_id"), df, radius).collect() == []
 
 
 def test_base_scores(docs):
