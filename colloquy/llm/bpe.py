@@ -15,7 +15,6 @@ from . import exchange
 from .tokens import encoding, ranks
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-ENCODED = f"block long, place int, ids array<int>, {exchange.ABOUT}"
 #: Tokens of a document that are decoded at a time.
 STEP = 1 << 20
 
@@ -32,24 +31,30 @@ def splitter():
     return split
 
 
+def width(vocabulary: str) -> str:
+    """Ids as little-endian numbers, of two bytes where that is enough for the vocabulary."""
+    return "<u2" if max(ranks(vocabulary).values()) < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """ENCODED: each block's distinct pre-tokens with their ids. Rows of a pre-token follow one another, so it is encoded once."""
-    schema = exchange.arrow_schema(ENCODED)
+    """(at, ids): each block's distinct pre-tokens with their ids. Rows of a pre-token follow one another, so it is encoded once."""
+    kind = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = encoding(vocabulary)._encode_single_piece, None, []
+        encode, last, ids = encoding(vocabulary)._encode_single_piece, None, b""
         for b in batches:
-            flat, ends = [], [0]
-            for word in b.column("word").to_pylist():
-                if word is not None:
-                    if word != last:
-                        last, ids = word, encode(word)
-                    flat += ids
-                ends.append(len(flat))
-            every = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), type=schema.field("ids").type)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("place"), every, b.column("tokens"), b.column("docs")], schema=schema)
+            own = (b.column("at").to_numpy() & ((1 << exchange.PLACE) - 1) == 0).tolist()
+            out = []
+            for word, block in zip(b.column("word").to_pylist(), own):
+                if block:
+                    out.append(word)
+                    continue
+                if word != last:
+                    last, ids = word, np.array(encode(word), dtype=kind).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(out, pa.binary())], names=["at", "ids"])
 
-    return exchange.by_word(exchange.block_rows(docs, splitter).drop("known")).mapInArrow(run, ENCODED)
+    return exchange.by_word(exchange.block_rows(docs, splitter)).mapInArrow(run, "at long, ids binary")
 
 
 class Decoder:
@@ -68,12 +73,13 @@ class Decoder:
 def assembled(rows: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
     """finish(ids, decoded bytes) of each document, in columns after doc_id."""
     shared = rows.sparkSession.sparkContext.broadcast(Decoder(vocabulary))
-    names = exchange.arrow_schema(schema).names
+    names, kind = exchange.arrow_schema(schema).names, width(vocabulary)
 
     def assemble(docs: list, counts: np.ndarray, places: np.ndarray, words: pa.Table) -> dict:
-        lists = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        flat, starts, sizes = lists.values.to_numpy(), ends[:-1], np.diff(ends)
+        pieces = words["ids"].to_pylist()
+        flat = np.frombuffer(b"".join(pieces), dtype=kind).astype("<u4")
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // np.dtype(kind).itemsize
+        starts = np.cumsum(sizes) - sizes
         out: dict[str, list] = {n: [] for n in names}
         upto = np.cumsum(counts)
         for doc, lo, hi in zip(docs, upto - counts, upto):
@@ -82,7 +88,7 @@ def assembled(rows: DataFrame, vocabulary: str, finish, schema: str) -> DataFram
                 out[n].append(v)
         return out
 
-    return exchange.in_blocks(rows, assemble, schema)
+    return exchange.in_blocks(rows, "ids", assemble, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -1,14 +1,15 @@
 """Texts as the distinct words of blocks: plain rows that Spark shuffles by word, sorts and brings back by block.
 
-A block holds the documents that a task reads one after another. Each of its distinct words is a row with the word's
-place in the block; one more row, at place -1, says which documents the block holds and at which places their tokens
-stand. Words meet by a shuffle on the word, so each distinct word of the corpus is looked at once; a second shuffle on
-the block brings what was found back in the order of places. A word costs a row per block it occurs in, not per
-occurrence, so no word is hot, and nothing that a row holds grows with the corpus.
+A block holds the documents that a task reads one after another. Each of its distinct words is a row, `at` being the
+block and the word's place in it; one more row, at place 0, has the block's documents and the places of their tokens.
+Words meet by a shuffle on the word, so each distinct word of the corpus is looked at once; a second shuffle on the
+block brings what was found back in the order of places. A word costs a row per block it occurs in, not per occurrence,
+so no word is hot, and nothing that a row holds grows with the corpus. Rows are kept narrow, as there are many of them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count, islice
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -28,8 +29,9 @@ from .common import runs
 BLOCK_CHARS, EACH_DOC = 16 << 20, 64
 #: Tokens of a document that are held as objects at a time, and words of a batch.
 TOKENS, WORDS = 1 << 18, 20_000
-ABOUT = "tokens binary, docs array<struct<doc_id:long,n:long>>"
-ROW = f"block long, place int, word binary, known long, {ABOUT}"
+#: Bits of `at` that say the place.
+PLACE = 28
+ROW, COUNTED = "at long, word binary", "at long, word binary, known long"
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -63,70 +65,76 @@ class Block:
         self.docs.append((doc, n))
         self.size += len(text) + EACH_DOC
 
-    def rows(self, number: int, counted: Callable[[list], np.ndarray] | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def rows(self, number: int, counted: Callable[[list], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(self.found) if self.found else np.zeros(0, dtype=np.int32)
         n = len(self.words)
         order = np.argsort(-np.bincount(every, minlength=n), kind="stable")  # frequent words get low places, which pack well
         rank = np.empty(n, dtype=np.uint32)
         rank[order] = np.arange(n, dtype=np.uint32)
         ids, sizes = zip(*self.docs)
-        docs = pa.array([[{"doc_id": d, "n": m} for d, m in self.docs]], schema.field("docs").type)
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([packed(rank[every])]), docs], schema=schema)
-        known = np.bincount(every[np.repeat(counted(list(ids)), sizes)], minlength=n)[order] if counted else np.zeros(n, dtype=np.int64)
         words = list(self.words)
+        known = np.bincount(every[np.repeat(counted(list(ids)), sizes)], minlength=n)[order] if counted else None
+
+        def batch(at: np.ndarray, words: list[bytes], known: np.ndarray | None) -> pa.RecordBatch:
+            columns = {"at": pa.array(at + (number << PLACE), pa.int64()), "word": pa.array(words, pa.binary())}
+            return pa.RecordBatch.from_pydict(columns | ({"known": pa.array(known, pa.int64())} if counted else {}))
+
+        yield batch(np.zeros(1, dtype=np.int64), [pickle.dumps((ids, sizes, packed(rank[every])))], np.zeros(1, dtype=np.int64))
         for lo in range(0, n, WORDS):
             some = order[lo : lo + WORDS].tolist()
-            m = len(some)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(m, number)), pa.array(np.arange(lo, lo + m, dtype=np.int32)), pa.array([words[k] for k in some], pa.binary()),
-                pa.array(known[lo : lo + m].astype(np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, schema.field("docs").type),
-            ], schema=schema)
+            yield batch(np.arange(lo + 1, lo + 1 + len(some)), [words[k] for k in some], known[lo : lo + WORDS] if counted else None)
+
+
+def is_block() -> Column:
+    """Whether a row is a block's own and its `word` the block's documents and places."""
+    return F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)) == 0
 
 
 def block_rows(docs: DataFrame, tokens: Callable[[], Callable[[str], Iterator[bytes]]], counted: Callable[[list], np.ndarray] | None = None) -> DataFrame:
-    """ROW of docs (doc_id, text): a row per block and distinct word, and the block's own row, whose word is null.
+    """Rows of docs (doc_id, text): a row per block and distinct word, and the block's own row.
 
     tokens(): made once a task, gives a text's words as bytes. counted: which doc_ids' words count; `known` is how often
     a word occurs in those documents of the block.
     """
-    schema = arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, number, block = tokens(), TaskContext.get().partitionId() << 32, Block()
+        split, number, block = tokens(), TaskContext.get().partitionId() << 12, Block()
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 block.add(doc, text or "", iter(split(text or "")))
                 if block.size >= BLOCK_CHARS:
-                    yield from block.rows(number, counted, schema)
+                    yield from block.rows(number, counted)
                     number, block = number + 1, Block()
         if block.docs:
-            yield from block.rows(number, counted, schema)
+            yield from block.rows(number, counted)
+
+    return docs.select("doc_id", "text").mapInArrow(run, COUNTED if counted else ROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROW)
 
+def by_word(rows: DataFrame) -> DataFrame:
+    """The first shuffle: equal words follow one another."""
+    return rows.repartition("word").sortWithinPartitions("word")
 
-def in_blocks(rows: DataFrame, finish: Callable[[list, np.ndarray, np.ndarray, pa.Table], dict], schema: str) -> DataFrame:
-    """The second shuffle. rows: block, place, tokens, docs and what is known of each word; finish gives a block's columns.
 
-    finish(doc_ids, sizes, places, words): ids and numbers of tokens of the block's documents, the places of all their
-    tokens, and the words' rows in the order of places.
+def in_blocks(rows: DataFrame, data: str, finish: Callable[[list, np.ndarray, np.ndarray, pa.Table], dict], schema: str) -> DataFrame:
+    """The second shuffle. rows: at and what is known of each word; blocks' own rows keep their documents and places in column `data`.
+
+    finish(doc_ids, sizes, places, words) gives a block's columns: ids and numbers of tokens of its documents, the
+    places of all their tokens, and the words' rows in the order of places.
     """
     kinds = arrow_schema(schema)
 
+    def marked(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(b.column("at").to_numpy() >> PLACE)], names=[*b.schema.names, "block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in runs(batches, ["block"]):
+        for held in runs(map(marked, batches), ["block"]):
             table = pa.Table.from_batches(held)
-            own = table["docs"].chunk(0).slice(0, 1).flatten()
-            ids, sizes = own.field("doc_id").to_pylist(), own.field("n").to_numpy()
-            out = finish(ids, sizes, unpacked(table["tokens"][0].as_py()), table.slice(1))
+            ids, sizes, places = pickle.loads(table[data][0].as_py())
+            out = finish(list(ids), np.array(sizes, dtype=np.int64), unpacked(places), table.slice(1))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
-    return rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, schema)
-
-
-def by_word(rows: DataFrame) -> DataFrame:
-    """The first shuffle: rows of a word together, blocks' own rows spread; equal words follow one another."""
-    return rows.repartition(F.coalesce("word", F.col("block").cast("string").cast("binary"))).sortWithinPartitions("word")
+    return rows.repartition(F.shiftright("at", PLACE)).sortWithinPartitions("at").mapInArrow(run, schema)
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -131,7 +131,7 @@ def near_pairs(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks:
     before = F.when(F.lit(False), -1)
     for k, m in enumerate(masks):
         before = before.when(differs.bitwiseAND(F.lit(signed(m))) == 0, k)
-    met = tables(queries, "q", masks).join(tables(fps, "f", masks), ["part", "key"])
+    met = tables(queries, "q", masks).join(tables(fps, "f", masks).hint("merge"), ["part", "key"])
     return met.where((F.bit_count(differs) <= radius) & (F.col("part") == before)).select("q", "f", F.bit_count(differs).alias("distance"))
 
 
@@ -149,7 +149,7 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, bloc
 def count_within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, n_near): how many rows of fps have a fingerprint within `radius` bits of each distinct one of queries. Pairs are counted, never gathered."""
     copies = fps.where(F.col("fp").isNotNull()).groupBy(F.col("fp").alias("f")).agg(F.count("*").alias("n"))
-    return near_pairs(queries, fps, radius).join(copies, "f").groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n_near"))
+    return near_pairs(queries, fps, radius).join(copies.hint("merge"), "f").groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n_near"))
 
 
 def fingerprint_query(docs: DataFrame, every: int = 20, ranges: int | None = None) -> DataFrame:
