@@ -15,6 +15,8 @@ from . import exchange
 from .tokens import encoding, ranks
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Rows of words that a task holds at a time.
+ROWS = 200_000
 #: Tokens of a document that are decoded at a time.
 STEP = 1 << 20
 
@@ -31,6 +33,18 @@ def splitter():
     return split
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+    """Some batches at a time, `rows` rows or a little more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def width(vocabulary: str) -> str:
     """Ids as little-endian numbers, of two bytes where that is enough for the vocabulary."""
     return "<u2" if max(ranks(vocabulary).values()) < 1 << 16 else "<u4"
@@ -42,17 +56,15 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, ids = encoding(vocabulary)._encode_single_piece, None, b""
-        for b in batches:
-            own = (b.column("at").to_numpy() & ((1 << exchange.PLACE) - 1) == 0).tolist()
+        for held in together(batches):
+            at = held["at"].to_numpy()
             out = []
-            for word, block in zip(b.column("word").to_pylist(), own):
-                if block:
-                    out.append(word)
-                    continue
-                if word != last:
+            for word, place in zip(held["word"].to_pylist(), (at & ((1 << exchange.PLACE) - 1)).tolist()):
+                if place and word != last:
                     last, ids = word, np.array(encode(word), dtype=kind).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(out, pa.binary())], names=["at", "ids"])
+                out.append(ids if place else word)
+            order = pa.array(np.argsort(at))  # rows of a block in a row make the next shuffle smaller
+            yield pa.RecordBatch.from_arrays([held["at"].combine_chunks().take(order), pa.array(out, pa.binary()).take(order)], names=["at", "ids"])
 
     return exchange.by_word(exchange.block_rows(docs, splitter)).mapInArrow(run, "at long, ids binary")
 

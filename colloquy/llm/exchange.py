@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from .common import runs
 
 #: Characters of a block about, and what a document counts for beside its own.
-BLOCK_CHARS, EACH_DOC = 16 << 20, 64
+BLOCK_CHARS, EACH_DOC = 32 << 20, 64
 #: Tokens of a document that are held as objects at a time, and words of a batch.
 TOKENS, WORDS = 1 << 18, 20_000
 #: Bits of `at` that say the place.
@@ -38,14 +38,33 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def packed(places: np.ndarray) -> bytes:
-    """Places as bytes: all the low bytes first, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def packed(places: np.ndarray, once: int) -> bytes:
+    """Places as bytes. Places from `once` on belong to words of a single use, in order: those are written as 0, others as place + 1.
+
+    Numbers are written in sevens of bits, low ones first, a high bit saying that more follow, and compressed.
+    """
+    x = np.where(places >= once, 0, places + 1).astype(np.uint32)
+    size = np.ones(len(x), dtype=np.int64)
+    for k in (7, 14, 21):
+        size += x >> np.uint32(k) > 0
+    part = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out = np.repeat(x, size) >> (7 * part).astype(np.uint32) & np.uint32(127)
+    out[part + 1 < np.repeat(size, size)] |= np.uint32(128)
+    return zstandard.ZstdCompressor(level=3).compress(out.astype(np.uint8).tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, once: int) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    x = np.zeros(len(ends), dtype=np.int64)
+    for k in range(4):
+        more = starts + k <= ends
+        x[more] |= (raw[starts[more] + k] & 127).astype(np.int64) << (7 * k)
+    new = x == 0
+    x -= 1
+    x[new] = once + np.arange(int(new.sum()))
+    return x
 
 
 class Block:
@@ -68,7 +87,9 @@ class Block:
     def rows(self, number: int, counted: Callable[[list], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(self.found) if self.found else np.zeros(0, dtype=np.int32)
         n = len(self.words)
-        order = np.argsort(-np.bincount(every, minlength=n), kind="stable")  # frequent words get low places, which pack well
+        often = np.bincount(every, minlength=n)
+        order = np.argsort(-often, kind="stable")  # frequent words get low places, which pack well
+        once = int((often > 1).sum())
         rank = np.empty(n, dtype=np.uint32)
         rank[order] = np.arange(n, dtype=np.uint32)
         ids, sizes = zip(*self.docs)
@@ -79,7 +100,7 @@ class Block:
             columns = {"at": pa.array(at + (number << PLACE), pa.int64()), "word": pa.array(words, pa.binary())}
             return pa.RecordBatch.from_pydict(columns | ({"known": pa.array(known, pa.int64())} if counted else {}))
 
-        yield batch(np.zeros(1, dtype=np.int64), [pickle.dumps((ids, sizes, packed(rank[every])))], np.zeros(1, dtype=np.int64))
+        yield batch(np.zeros(1, dtype=np.int64), [pickle.dumps((ids, sizes, once, packed(rank[every], once)))], np.zeros(1, dtype=np.int64))
         for lo in range(0, n, WORDS):
             some = order[lo : lo + WORDS].tolist()
             yield batch(np.arange(lo + 1, lo + 1 + len(some)), [words[k] for k in some], known[lo : lo + WORDS] if counted else None)
@@ -130,8 +151,8 @@ def in_blocks(rows: DataFrame, data: str, finish: Callable[[list, np.ndarray, np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in runs(map(marked, batches), ["block"]):
             table = pa.Table.from_batches(held)
-            ids, sizes, places = pickle.loads(table[data][0].as_py())
-            out = finish(list(ids), np.array(sizes, dtype=np.int64), unpacked(places), table.slice(1))
+            ids, sizes, once, places = pickle.loads(table[data][0].as_py())
+            out = finish(list(ids), np.array(sizes, dtype=np.int64), unpacked(places, once), table.slice(1))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
     return rows.repartition(F.shiftright("at", PLACE)).sortWithinPartitions("at").mapInArrow(run, schema)
