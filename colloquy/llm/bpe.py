@@ -15,8 +15,6 @@ from . import exchange
 from .tokens import encoding, ranks
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Rows of words that a task holds at a time.
-ROWS = 200_000
 #: Tokens of a document that are decoded at a time.
 STEP = 1 << 20
 
@@ -33,40 +31,32 @@ def splitter():
     return split
 
 
-def together(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
-    """Some batches at a time, `rows` rows or a little more."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(h.num_rows for h in held) >= rows:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def width(vocabulary: str) -> str:
-    """Ids as little-endian numbers, of two bytes where that is enough for the vocabulary."""
-    return "<u2" if max(ranks(vocabulary).values()) < 1 << 16 else "<u4"
-
-
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(at, ids): each block's distinct pre-tokens with their ids. Rows of a pre-token follow one another, so it is encoded once."""
-    kind = width(vocabulary)
+    """(block, place, sizes, data): the ids of each block's distinct pre-tokens by part, in `place`; -1 is the block's own row.
+
+    Chunks of a part follow one another, so each distinct pre-token is encoded once and its ids joined to all its uses.
+    """
+    names = ["block", "place", "places", "sizes", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = encoding(vocabulary)._encode_single_piece, None, b""
-        for held in together(batches):
-            at = held["at"].to_numpy()
+        encode, at, known = encoding(vocabulary)._encode_single_piece, None, {}
+        for b in batches:
             out = []
-            for word, place in zip(held["word"].to_pylist(), (at & ((1 << exchange.PLACE) - 1)).tolist()):
-                if place and word != last:
-                    last, ids = word, np.array(encode(word), dtype=kind).tobytes()
-                out.append(ids if place else word)
-            order = pa.array(np.argsort(at))  # rows of a block in a row make the next shuffle smaller
-            yield pa.RecordBatch.from_arrays([held["at"].combine_chunks().take(order), pa.array(out, pa.binary()).take(order)], names=["at", "ids"])
-
-    return exchange.by_word(exchange.block_rows(docs, splitter)).mapInArrow(run, "at long, ids binary")
+            for part, block, places, data in zip(*(c.to_pylist() for c in b.columns)):
+                if places is None:
+                    out.append((block, -1, None, None, data))
+                    continue
+                if part != at:
+                    at, known = part, {}
+                ids = [known.get(w) or known.setdefault(w, encode(w)) for w in exchange.words_of(data)]
+                flat = np.array([x for i in ids for x in i])
+                out.append((block, part, places, exchange.small(np.array([len(i) for i in ids])), exchange.small(flat)))
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    chunks = exchange.chunk_rows(docs, splitter).repartition("part").sortWithinPartitions("part")
+    return chunks.mapInArrow(run, "block long, place int, places binary, sizes binary, data binary")
 
 
 class Decoder:
@@ -85,13 +75,14 @@ class Decoder:
 def assembled(rows: DataFrame, vocabulary: str, finish, schema: str) -> DataFrame:
     """finish(ids, decoded bytes) of each document, in columns after doc_id."""
     shared = rows.sparkSession.sparkContext.broadcast(Decoder(vocabulary))
-    names, kind = exchange.arrow_schema(schema).names, width(vocabulary)
+    names = exchange.arrow_schema(schema).names
 
     def assemble(docs: list, counts: np.ndarray, places: np.ndarray, words: pa.Table) -> dict:
-        pieces = words["ids"].to_pylist()
-        flat = np.frombuffer(b"".join(pieces), dtype=kind).astype("<u4")
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // np.dtype(kind).itemsize
-        starts = np.cumsum(sizes) - sizes
+        joined = lambda c: np.concatenate([exchange.large(x) for x in words[c].to_pylist()]) if len(words) else np.zeros(0, dtype=np.int64)
+        order = np.concatenate([np.cumsum(exchange.large(x)) for x in words["places"].to_pylist()]) if len(words) else np.zeros(0, dtype=np.int64)
+        told, flat = joined("sizes"), joined("data").astype("<u4")
+        sizes, starts = np.empty_like(told), np.empty_like(told)
+        sizes[order], starts[order] = told, np.cumsum(told) - told
         out: dict[str, list] = {n: [] for n in names}
         upto = np.cumsum(counts)
         for doc, lo, hi in zip(docs, upto - counts, upto):
@@ -100,7 +91,7 @@ def assembled(rows: DataFrame, vocabulary: str, finish, schema: str) -> DataFram
                 out[n].append(v)
         return out
 
-    return exchange.in_blocks(rows, "ids", assemble, schema)
+    return exchange.in_blocks(rows, assemble, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -257,7 +257,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
     after a third, by block.
     """
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
-    rows = written(exchange.block_rows(docs, lambda: text_words, trains), "words")
+    rows = written(exchange.word_rows(docs, lambda: text_words, trains), "words")
     counts = written(rows.where(~exchange.is_block()).groupBy("word").agg(F.sum("known").alias("c")), "counts")
     learnt = counts.where(F.col("c") > 0)
     n, v = learnt.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -275,6 +275,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
             "base_score": add(np.log10(c + 1.0)) + np.log10(ends + 1) - tokens * np.log10(n + v + 1), "score": add(p) + end,
         }
 
-    told = rows.where(~exchange.is_block()).select("at", "word").join(word_scores(counts, path, weights, n, v), "word").select("at", "c", "p")
-    own = rows.where(exchange.is_block()).select("at", F.col("word").alias("data"))
-    return exchange.in_blocks(told.unionByName(own, allowMissingColumns=True), "data", finish, OUT)
+    block, place = F.shiftright("at", exchange.PLACE).alias("block"), F.col("at").alias("place")
+    told = rows.where(~exchange.is_block()).select(block, place, "word").join(word_scores(counts, path, weights, n, v), "word").select("block", "place", "c", "p")
+    own = rows.where(exchange.is_block()).select(block, place, F.col("word").alias("data"))
+    return exchange.in_blocks(told.unionByName(own, allowMissingColumns=True), finish, OUT)
