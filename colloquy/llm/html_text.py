@@ -6,6 +6,7 @@ import html
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +19,19 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\
 TOKENS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Fixed values of HTML: elements without an end, elements that hold nothing but characters up to their end tag, other
-# elements whose content is no main text and those of them that can hold themselves, what can stand in a head, elements
-# that open a block, what closes an open p, and what ends an svg or math but for within some elements of theirs.
+# elements whose content is never shown as text or is a control of a form, and those of them that can hold themselves,
+# what can stand in a head, elements that open a block, what closes an open p, and what ends an svg but for within some
+# elements of its own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
-DROPPED = frozenset("noscript template object svg canvas select button head math audio video map".split())
-NESTS = frozenset("template object svg math".split())
+DROPPED = frozenset("noscript template svg canvas select button head".split())
+NESTS = frozenset("template svg".split())
 HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption".split())
-FOREIGN = frozenset("svg math".split())
+FOREIGN = frozenset("svg".split())
 BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+WITHIN = frozenset("foreignobject desc title".split())
 #: The next tag of an element, with a slash if it is an end tag; and the next end tag.
 NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in RAW | DROPPED}
 END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
@@ -57,10 +59,13 @@ OUTER = {"nav": 0, "footer": 3, "aside": 4, "form": 7, "header": 8, "dialog": 5,
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "says", "items", "text", "own", "link", "tags", "stops", "kids", "at", "row")
+    """A block, or an inline element that has a telling name or is none of HTML's own; nth: its place among its siblings."""
 
-    def __init__(self, tag: str, parent: Node | None, says: tuple, at: int):
-        self.tag, self.parent, self.says, self.at = tag, parent, says, at
+    __slots__ = ("tag", "parent", "depth", "says", "items", "text", "own", "link", "tags", "stops", "kids", "at", "row", "nth", "block")
+
+    def __init__(self, tag: str, parent: Node | None, says: tuple, at: int, block: bool = True):
+        self.tag, self.parent, self.says, self.at, self.block = tag, parent, says, at, block
+        self.nth = len(parent.kids) if parent else 0
         self.depth = parent.depth + 1 if parent else 0
         self.items: list = []
         self.kids: list[Node] = []
@@ -158,14 +163,14 @@ def parse(page: str) -> Node:
                 if name in SAME:
                     links = closed(stack, *SAME[name], links)
                 node = stack[-1][1]
-                if name in BLOCKS:
-                    kid = Node(name, node, says(m[2]) if m[2] else (0,) * KINDS, m.start())
+                block, told = name in BLOCKS, says(m[2]) if m[2] else (0,) * KINDS
+                links += name == "a"
+                if block or any(told) or "-" in name or name == "ins":
+                    kid = Node(name, node, told, m.start(), block)
                     node.items.append(kid)
                     node.kids.append(kid)
-                    stack.append((name, kid))
-                else:
-                    links += name == "a"
-                    stack.append((name, node))
+                    node = kid
+                stack.append((name, node))
             elif len(stack) > 1:
                 for k in range(len(stack) - 1, 0, -1):
                     t = stack[k][0]
@@ -236,12 +241,15 @@ def node_features(nodes: list[Node], size: int) -> np.ndarray:
             mine[k] += 1
         outer.append(tuple(a + (b > 0) for a, b in zip(above, mine)))
         kin = n.parent.kids if n.parent else [n]
-        at = kin.index(n) if len(kin) < 64 else (getattr(n, "row") - kin[0].row) * len(kin) // max(kin[-1].row - kin[0].row, 1)
-        at = min(at, len(kin) - 1)
+        at = n.nth
         before, after = (kin[at - 1].text if at else 0), (kin[at + 1].text if at + 1 < len(kin) else 0)
         links = n.link / (n.text + 1)
-        t = TAG.get(n.tag, -1)
-        rows.append((n.depth, n.text, n.own, links, n.text / n.tags, len(n.kids), at / len(kin), len(kin), n.text / ((n.parent.text if n.parent else n.text) + 1), before, after, n.text / whole, n.stops / (n.text + 20), n.at / size, TAG.get(n.parent.tag, -1) if n.parent else -2, *(t == k for k in range(len(TAGS))), *n.says, *above, sum(mine) - mine[MAIN], sum(above) - above[MAIN]))
+        t, over = TAG.get(n.tag, -1), n.parent or n
+        rows.append((
+            n.depth, n.text, n.own, links, n.text / n.tags, len(n.kids), at / len(kin), len(kin), n.text / (over.text + 1), before, after,
+            n.text / whole, n.stops / (n.text + 20), n.at / size, TAG.get(over.tag, -1) if n.parent else -2, n.block,
+            *(t == k for k in range(len(TAGS))), *n.says, *above, sum(mine) - mine[MAIN], sum(above) - above[MAIN],
+        ))
     x = np.array(rows, dtype=float)
     for k in (1, 2, 4, 9, 10):
         x[:, k] = np.log1p(x[:, k])
@@ -272,8 +280,9 @@ def text_of(root: Node, stays: np.ndarray) -> str:
         if isinstance(item, str):
             out.append(item)
         elif stays[item.row]:
-            out.append(" ")
-            todo.append(" ")
+            if item.block:
+                out.append(" ")
+                todo.append(" ")
             todo.extend(reversed(item.items))
     return " ".join("".join(out).split())
 
@@ -281,7 +290,7 @@ def text_of(root: Node, stays: np.ndarray) -> str:
 # --- pages to learn from -------------------------------------------------------------------------------------------
 
 #: Pages that are made up for the trees to learn from.
-PAGES = 800
+PAGES, TREES = 1000, 60
 PAGE = re.compile(r"\x01(/?)")
 
 
@@ -292,7 +301,12 @@ def made_up_page(rng: random.Random) -> str:
     some = lambda lo, hi: " ".join(word() for _ in range(rng.randint(lo, hi)))
     sentence = lambda: some(2, 18).capitalize() + rng.choice([".", ".", ".", ",", "!", ""])
     prose = lambda lo=1, hi=8: " ".join(sentence() for _ in range(rng.randint(lo, hi)))
-    name = lambda kind: f' {rng.choice(["class", "class", "id", "role"])}="{rng.choice([word() + " ", "", "", "site-", "the_"])}{rng.choice(SAYS[kind])}{rng.choice(["", "", "-box", " " + word(), "-1", "Wrap"])}"'
+    telling = rng.choice([0.4, 0.8, 1.0])  # share of a page's names that say what they name
+
+    def name(kind: str) -> str:
+        own = rng.choice(SAYS[kind]) if rng.random() < telling else word()
+        return f' {rng.choice(["class", "class", "id", "role"])}="{rng.choice([word() + " ", "", "", "site-", "the_"])}{own}{rng.choice(["", "", "-box", " " + word(), "-1", "Wrap"])}"'
+
     plain = lambda: rng.choice(["", "", f' class="{word()}"', f' id="{word()}"'])
     link = lambda n=3: f'<a href="/{word()}">{some(1, n)}</a>'
     items = lambda n=3: "".join(f"<li>{link(n)}</li>" if rng.random() < 0.9 else f"<li>{link(n)}" for _ in range(rng.randint(2, 9)))
@@ -306,7 +320,8 @@ def made_up_page(rng: random.Random) -> str:
         return rng.choice([lambda: f"<header{plain()}><h2>{some(1, 4)}</h2><p>{prose(1, 2)}</p></header>", lambda: f"<header>{some(1, 6)}</header>", lambda: f"<div{name('head')}><p>{some(1, 7)}</p></div>"])()
 
     def advert() -> str:
-        return rng.choice([lambda: box("advert", prose(1, 4)), lambda: box("advert", para()), lambda: f"<ins{name('advert')}>{prose(1, 2)}</ins>" if rng.random() < 0 else box("advert", link(6)), lambda: f'<div class="ad">{prose(1, 3)}</div>'])()
+        inline = rng.choice(["ins", "span", f"{word()}-{word()}", "a"])
+        return rng.choice([lambda: box("advert", prose(1, 4)), lambda: box("advert", para()), lambda: f"<{inline}{name('advert')}>{prose(1, 2)}</{inline}>", lambda: box("advert", link(6))])()
 
     def side() -> str:
         return rng.choice([lambda: f"<aside{plain()}><h3>{some(1, 3)}</h3>{para()}</aside>", lambda: f"<aside><ul>{items(8)}</ul></aside>", lambda: box("side", f"<h3>{some(1, 3)}</h3><ul>{items(7)}</ul>"), lambda: box("side", para() + para())])()
@@ -334,8 +349,10 @@ def made_up_page(rng: random.Random) -> str:
         r = rng.random()
         if r < 0.6:
             return rng.choice(["<p{}>{}</p>", "<p{}>{}</p>", "<p{}>{}"]).format(plain() if rng.random() < 0.3 else "", inline())
+        if r < 0.66:
+            return f"<p>{sentence()} <{(t := rng.choice(['span', 'em', 'x-' + word()]))} class=\"{rng.choice([word(), rng.choice(SAYS[rng.choice(list(SAYS))])])}\">{some(1, 5)}</{t}> {sentence()}</p>"
         if r < 0.68:
-            return f"<p><b>{inline()}<br><p>{inline()}</p>"
+            return f"{inline()}<br><br>{inline()}"
         if r < 0.76:
             return "<h{0}>{1}</h{0}>".format(rng.randint(2, 4), some(1, 8))
         if r < 0.82:
@@ -404,8 +421,10 @@ def learning_rows(pages: int = PAGES, seed: int = 7) -> tuple[np.ndarray, np.nda
     return np.concatenate(xs), np.concatenate(ys)
 
 
+@lru_cache
 def learnt(pages: int = PAGES) -> trees.BoostedTrees:
-    return trees.fit(*learning_rows(pages), trees=40)
+    """The trees, fitted once in a session."""
+    return trees.fit(*learning_rows(pages), trees=TREES)
 
 
 def extracted(pages: list[str], model: trees.BoostedTrees) -> list[str]:

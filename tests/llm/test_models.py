@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ import corpus_pipeline
 from colloquy.llm import chat, html_text, packing, quality, queries, simhash, topk, toxicity
 from tests.oracle import database, differences
 
+from . import pages
 from .helpers import SF, documents, empty, table
 
 LARGE = "/root/testdata/sf0.1"
@@ -67,14 +69,14 @@ article, which is quite long.</p><div class="ad">Buy now, great offers.</div><p>
 
 def test_extraction(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "plain < text"), (1, "u", PAGE), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<html><body><script>never closed")]
-    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int").withColumn("row", F.lit(1)).withColumn("kids", F.lit("x"))
     model = html_text.learnt()
-    got = html_text.extract(pages, model).collect()
+    got = html_text.extract(table, model).collect()
     assert len(got) == len(rows)
     want = "A & B First paragraph of the article, which is quite long. Second one é € and more words here."
     assert [r.text for r in got if r.page_id == 1] == [want, want]
     assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
-    assert html_text.extract(empty(pages), model).collect() == []
+    assert html_text.extract(empty(table), model).collect() == []
 
 
 def test_kept_nodes_stand_below_kept_nodes(spark):
@@ -102,6 +104,29 @@ def test_extraction_of_made_up_pages():
     assert good >= 85
 
 
+def test_extraction_of_pages_by_other_hands():
+    """Layouts and names that the learning pages don't have; accuracy by words."""
+    model, by = html_text.learnt(), {}
+    for layout in pages.LAYOUTS:
+        for seed in range(25):
+            page, main = pages.page(layout, seed)
+            want, got = Counter(main.split()), Counter(html_text.extracted([page], model)[0].split())
+            by.setdefault(layout.__name__, []).append(2 * (want & got).total() / max(want.total() + got.total(), 1))
+    assert np.mean(sum(by.values(), [])) > 0.98 and min(map(np.mean, by.values())) > 0.93
+
+
+def test_telling_inline_elements_can_go():
+    model = html_text.learnt()
+    text = " ".join(f"Sentence number {k} of a long article about rivers." for k in range(12))
+    page = f"<body><article><h1>Rivers</h1><p>{text}</p><ins class='advert sponsored'>Buy a boat today</ins><p>{text}</p></article></body>"
+    assert "Buy" not in html_text.extracted([page], model)[0] and "Rivers Sentence" in html_text.extracted([page], model)[0]
+
+
+def test_places_among_many_siblings():
+    nodes = html_text.in_order(html_text.parse("<ul>" + "<li>x" * 400 + "</ul>"))
+    assert [n.nth for n in nodes if n.tag == "li"] == list(range(400))
+
+
 @pytest.mark.parametrize("page, want", [
     ("<p>one</p><script>for(i=0;i<n;i++){f()}</script><p>two</p>", "one two"),
     ("<p>one</p><SCRIPT>if(a<b){x='<script>'}</script ><p>two</p><script>g()</script><p>three", "one two three"),
@@ -119,9 +144,11 @@ def test_extraction_of_made_up_pages():
     ("<ul><li>one<select><option>no<li>two</ul>three", "one two three"),
     ("one<svg><path/><title>no</title><p>two", "one two"),
     ("one <svg><foreignObject><p>no</p></foreignObject><text>no</text></svg>two", "one two"),
-    ("<div><video><source src=x></div><p>one", "one"),
+    ("<div><video><source src=x>no player</video></div><p>one", "no player one"),
+    ("<p>one <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two", "one x=2 two"),
+    ("one <span class=ad>two</span><x-note>three</x-note> four", "one twothree four"),
     ("<script src='a'/><p>one</p><script>no</script>two", "one two"),
-    ("<span>one <object><object>no</object>no</span></object>two</span>", "one two"),
+    ("<span>one <object><object>a</object>b</object>two</span>", "one abtwo"),
 ])
 def test_parse_keeps_the_rest_of_pages(page, want):
     nodes = html_text.in_order(root := html_text.parse(page))
