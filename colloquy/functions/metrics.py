@@ -64,6 +64,6 @@ def ask(df: DataFrame, client: Callable[[], Callable[[list[str]], list[str]]], p
 
     schema = StructType([*asked.schema.fields, StructField("reply", StringType())])
     told = asked.mapInPandas(run, schema)
-    score, parsed = text.judge_reply(F.col("reply"), low, high, default)
+    score, reasoning, parsed = text.judge_reply(F.col("reply"), low, high, default)
     status = F.when(F.col("reply").isNull(), "call_error").when(parsed, "success").otherwise("parse_error")
-    return told.withColumn("status", status).withColumn("score", F.when(F.col("reply").isNotNull(), score))
+    return told.withColumn("status", status).withColumn("reasoning", F.when(F.col("reply").isNotNull(), reasoning)).withColumn("score", F.when(F.col("reply").isNotNull(), score))

@@ -30,6 +30,17 @@ def wilson(successes: Column, n: Column, confidence: float = 0.95) -> tuple[Colu
     return safe(p), safe(F.greatest(F.lit(0.0), mid - half)), safe(F.least(F.lit(1.0), mid + half))
 
 
+def binary(x: Column) -> Column:
+    """x, which must be 0, 1 or null: anything else is an error when it is read."""
+    return F.when(x.isNull() | x.isin(0, 1), x).otherwise(F.raise_error(F.concat(F.lit("not 0 or 1: "), x.cast("string"))).cast("double"))
+
+
+def wilson_of(x: Column, confidence: float = 0.95) -> tuple[Column, Column, Column]:
+    """The same from values, which must be 0 or 1; nulls don't count."""
+    own = binary(x.cast("double"))
+    return wilson(F.sum(own), F.count(own), confidence)
+
+
 def normal_half_width(x: Column, confidence: float = 0.95) -> Column:
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     return F.coalesce(z * F.stddev_samp(x) / F.sqrt(F.count(x)), F.lit(0.0))

@@ -28,16 +28,16 @@ def steady_rows(cells: DataFrame, drop_share: float) -> DataFrame:
 
 
 def varied_columns(cells: DataFrame, block: Column, least: float) -> DataFrame:
-    """Items whose variance is at least `least` times the median positive one of their block."""
+    """Items whose variance is at least `least` times the median positive one of their block; that of a block without any counts as 0 of it."""
     item = cells.groupBy(block.alias("block"), "col").agg(F.var_pop("value").alias("v"))
     middle = item.groupBy("block").agg(F.median(F.when(F.col("v") > 0, F.col("v"))).alias("m"))
-    return item.join(F.broadcast(middle), "block").select("block", "col", "v", (F.col("v") / F.col("m")).alias("ratio")).where(F.col("ratio") >= least)
+    return item.join(F.broadcast(middle), "block").select("block", "col", "v", F.coalesce(F.try_divide(F.col("v"), F.col("m")), F.lit(0.0)).alias("ratio")).where(F.col("ratio") >= least)
 
 
 def residuals(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """value minus its group's mean; means are aggregated and joined, so a hot group is no window."""
+    """value minus its group's mean; a row without a group is one of its own. Means are aggregated and joined, so a hot group is no window."""
     means = df.groupBy(*group).agg(F.avg(value).alias("__mean"))
-    return df.join(means, group).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
+    return df.join(means, group, "left").withColumn(value, F.col(value) - F.coalesce("__mean", value)).drop("__mean")
 
 
 def correlations(cells: DataFrame) -> DataFrame:
@@ -175,21 +175,51 @@ def two_way_eta(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return sets.agg(ratio(one).alias("eta_a"), ratio(two).alias("eta_b"), ratio(cell - one - two).alias("eta_ab"), ratio(total - cell).alias("eta_rest"))
 
 
-def icc(df: DataFrame, group: str, value: str) -> DataFrame:
-    """ICC(1) and ICC(k) by one-way mean squares, k the harmonic mean of the groups' sizes; groups of two at least."""
+def icc(df: DataFrame, group: str, value: str, confidence: float = 0.95, least: int = 5) -> DataFrame:
+    """ICC(1) with its interval by the F distribution, and ICC(k), by one-way mean squares; k is the harmonic mean of the groups' sizes.
+
+    Groups of two at least count; fewer than `least` of them give nulls. The quantiles are worked out for the one row
+    of the result.
+    """
     part = df.groupBy(group).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n >= 2")
     groups, n, mean = F.count("*").cast("double"), F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
     between = (F.sum(F.col("n") * F.col("m") ** 2) - n * mean * mean) / (groups - 1)
     within, k = F.sum(F.col("n") * F.col("v")) / (n - groups), groups / F.sum(1 / F.col("n"))
-    return part.agg(groups.cast("long").alias("n_groups"), F.try_divide(between - within, between + (k - 1) * within).alias("icc1"), F.try_divide(between - within, between).alias("icck"))
+    parts = part.agg(groups.alias("groups"), n.alias("n"), between.alias("b"), within.alias("w"), k.alias("k"))
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+        return pd.Series([stats.f_quantile(a, b, c) if b > 0 and c > 0 else None for a, b, c in zip(p, d1, d2)], dtype=float)
 
+    b, w, k, groups = F.col("b"), F.col("w"), F.col("k"), F.col("groups")
+    f = F.try_divide(b, w)
+    edge = lambda p: F.try_divide(f, quantile(F.lit(p), groups - 1, F.col("n") - groups))
+    bound = lambda r: F.try_divide(r - 1, r + k - 1)
+    known = lambda c: F.when(groups >= least, c)
+    return parts.select(
+        groups.cast("long").alias("n_groups"), known(F.try_divide(b - w, b + (k - 1) * w)).alias("icc1"), known(bound(edge((1 + confidence) / 2))).alias("low"),
+        known(bound(edge((1 - confidence) / 2))).alias("high"), known(F.try_divide(b - w, b)).alias("icck"), known(f).alias("f"),
+    )
 
-def cronbach(cells: DataFrame, n_items: int) -> DataFrame:
-    """alpha of the complete rows."""
+
+def cronbach(cells: DataFrame, n_items: int, signs: DataFrame | None = None) -> DataFrame:
+    """alpha of the complete rows, its items turned by their sign (col, sign) if there is one; null for fewer than two items or rows, or sums that don't vary."""
     full = complete_rows(cells, n_items)
+    if signs is not None:  # a row per item
+        full = full.join(F.broadcast(signs), "col").withColumn("value", F.col("value") * F.col("sign"))
     items = full.groupBy("col").agg(F.var_samp("value").alias("v")).agg(F.sum("v").alias("items"))
     whole = full.groupBy("k").agg(F.sum("value").alias("s")).agg(F.var_samp("s").alias("whole"), F.count("*").alias("n_rows"))
-    return items.join(F.broadcast(whole)).select("n_rows", (n_items / (n_items - 1) * (1 - F.try_divide(F.col("items"), F.col("whole")))).alias("alpha"))
+    alpha = F.when(F.col("whole") > 0, n_items / max(n_items - 1, 1) * (1 - F.try_divide(F.col("items"), F.col("whole"))))
+    return items.join(F.broadcast(whole)).select("n_rows", (alpha if n_items > 1 else F.lit(None).cast("double")).alias("alpha"))
+
+
+def alpha_band(alpha: Column) -> Column:
+    """What an alpha is called. The lower ends of the bands."""
+    bands = (("redundant", 0.95), ("excellent", 0.90), ("good", 0.80), ("acceptable", 0.70), ("questionable", 0.60))
+    out = F.when(alpha.isNull() | F.isnan(alpha), "n/a")
+    for name, low in bands:
+        out = out.when(alpha >= low, name)
+    return out.otherwise("poor")
 
 
 def cohens_d(x: Column, treated: Column, pooled: bool = False) -> Column:

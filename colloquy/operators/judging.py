@@ -65,9 +65,28 @@ def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), stats.pearson(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
+def rating_moments(scores: DataFrame) -> DataFrame:
+    """(n, s, q): number, sum and sum of squares of the scores of each response that has two at least."""
+    own = F.col("score").cast("double")
+    return scores.where(own.isNotNull()).groupBy("response_id").agg(F.count("*").cast("double").alias("n"), F.sum(own).alias("s"), F.sum(own * own).alias("q")).where("n >= 2")
+
+
+def alpha_raw_pairs(scores: DataFrame) -> DataFrame:
+    """An agreement like Krippendorff's with squared distances in which every pair of ratings weighs alike.
+
+    1 - the mean squared distance of all pairs inside responses / that of all pairs of ratings, from moments; null for
+    fewer than two responses or without any difference.
+    """
+    unit = rating_moments(scores)
+    n, s, q = F.sum("n"), F.sum("s"), F.sum("q")
+    seen = F.sum(F.col("n") * F.col("q") - F.col("s") * F.col("s")) / F.sum(F.col("n") * (F.col("n") - 1))
+    expected = (n * q - s * s) / (n * (n - 1))
+    return unit.agg(F.count("*").alias("n_units"), n.cast("long").alias("n_scores"), F.when((F.count("*") >= 2) & (expected > 1e-12), 1 - F.try_divide(seen, expected)).alias("alpha"))
+
+
 def alpha_interval(scores: DataFrame) -> DataFrame:
-    """Krippendorff's alpha with squared distances, from moments: disagreement inside responses against that of all pairs."""
-    unit = scores.groupBy("response_id").agg(F.count("score").cast("double").alias("n"), F.sum("score").cast("double").alias("s"), F.sum(F.col("score") * F.col("score")).cast("double").alias("q")).where("n >= 2")
+    """Krippendorff's alpha with squared distances: a response's pairs weigh 1 / (its ratings - 1)."""
+    unit = rating_moments(scores)
     inside = F.sum((F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") - 1))
     n, s, q = F.sum("n"), F.sum("s"), F.sum("q")
     expected = (n * q - s * s) / (n - 1)

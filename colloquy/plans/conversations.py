@@ -183,7 +183,7 @@ def q_names(spark, d):
 
 
 #: Replies in many forms, made from lineitem.
-REPLY = "case l_orderkey % 8 when 0 then 'ANSWER: ' || @ when 1 then @ || ') because' when 2 then @ || chr(10) || 'I am not sure' when 3 then 'The correct answer is ' || @ || '.' when 4 then 'I think ' || @ || ') is the correct answer' when 5 then 'answer : ' || lower(@) when 6 then 'no idea' else 'So it is ' || @ end"
+REPLY = "case l_orderkey % 8 when 0 then 'ANSWER: ' || @ when 1 then chr(10) || chr(9) || @ || ') because' when 2 then @ || chr(10) || 'I am not sure' when 3 then 'The correct answer is ' || @ || '.' when 4 then 'I think ' || @ || ') is the correct answer' when 5 then 'answer : ' || lower(@) when 6 then 'no idea' else 'So it is ' || @ end"
 LETTER = "chr(cast(65 + l_linenumber % 6 as int))"
 
 
@@ -199,12 +199,12 @@ PARSED = "case when c > 'E' or l_orderkey % 8 in (6, 7) then null else c end"
 select l_orderkey, l_linenumber, count(*) as n, min(case when a <= 'D' then a end) as letter from (select *, {PARSED} as a from {SQL_REPLIES}) group by all
 """)
 def q_parse_answer(spark, d):
-    own = replies(spark, d).withColumn("a", text.parse_answer(F.col("reply"), F.lit("ABCD")))
+    own = replies(spark, d).withColumn("a", text.parse_answer(F.col("reply"), "ABCD"))
     return own.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("a").alias("letter"))
 
 
 @query(f"""
-select c as told, reply_kind, count(*) as n, count(case when reply_kind = 7 or a is not null then c end) filter (c <= 'D') as n_parsed from (select *, {PARSED} as a, cast(l_orderkey % 8 as integer) as reply_kind from {SQL_REPLIES}) group by all
+select c as told, reply_kind, count(*) as n, count(case when c <= 'D' and reply_kind in (0, 1, 2, 3, 5) then 1 end) as n_parsed from (select *, cast(l_orderkey % 8 as integer) as reply_kind from {SQL_REPLIES}) group by all
 """)
 def q_parse_choice(spark, d):
     own = replies(spark, d).withColumn("a", text.parse_choice(F.col("reply")))
@@ -212,12 +212,12 @@ def q_parse_choice(spark, d):
 
 
 @query("""
-select cast(l_orderkey % 4 as integer) as form, l_linenumber, cast(case when l_linenumber between 1 and 5 then l_linenumber end as integer) as rating, count(*) as n from lineitem group by all
+select cast(l_orderkey % 5 as integer) as form, l_linenumber, cast(case when l_orderkey % 5 = 4 then 5 when l_linenumber between 1 and 5 then l_linenumber end as integer) as rating, count(*) as n from lineitem group by all
 """)
 def q_parse_rating(spark, d):
-    form = (F.col("l_orderkey") % 4).cast("int")
+    form = (F.col("l_orderkey") % 5).cast("int")
     n = F.col("l_linenumber").cast("string")
-    reply = F.when(form == 0, n).when(form == 1, F.concat(F.lit("**"), n, F.lit("** - somewhat"))).when(form == 2, F.concat(F.lit("I would rate this a "), n)).otherwise(F.concat(F.lit("about "), n, F.lit(", maybe")))
+    reply = F.when(form == 0, n).when(form == 1, F.concat(F.lit("**"), n, F.lit("** - somewhat"))).when(form == 2, F.concat(F.lit("\n I would rate this a "), n)).when(form == 4, F.concat(F.lit("Of 5 options I rate it\n"), n)).otherwise(F.concat(F.lit("about "), n, F.lit(", maybe")))
     own = t.load(spark, d, "lineitem").select(form.alias("form"), "l_linenumber", text.parse_rating(reply).alias("rating"))
     return own.groupBy("form", "l_linenumber", "rating").agg(F.count("*").alias("n"))
 
@@ -237,7 +237,7 @@ from (select *, cast(ascii(case when {PARSED} <= 'D' then {PARSED} end) - 64 as
 """)
 def q_rescore(spark, d):
     mapping = F.create_map(*(F.lit(x) for x in ("A", 1, "B", 2, "C", 3, "D", 4)))
-    letter = text.parse_answer(F.col("reply"), F.lit("ABCD"))
+    letter = text.parse_answer(F.col("reply"), "ABCD")
     own = replies(spark, d).withColumn("s", lp.answer_score(letter, mapping, F.col("l_linenumber") % 2 == 0))
     return own.groupBy(F.col("l_returnflag").alias("trait")).agg(F.round(F.avg("s"), 6).alias("score"), F.count("s").alias("n_parsed"), F.count("*").alias("n_total"), F.round(F.try_divide(F.count("s"), F.count("*")), 6).alias("parse_rate"))
 
@@ -246,7 +246,7 @@ def q_rescore(spark, d):
 select coalesce(a, 'none') as letter, count(*) as n, round(case when a is null then 0 else count(*) / sum(count(*)) filter (a is not null) over () end, 6) as share from (select {PARSED} as a from {SQL_REPLIES}) group by a
 """)
 def q_letter_histogram(spark, d):
-    own = replies(spark, d).select(text.parse_answer(F.col("reply"), F.lit("ABCDE")).alias("a"))
+    own = replies(spark, d).select(text.parse_answer(F.col("reply"), "ABCDE").alias("a"))
     counts = own.groupBy("a").agg(F.count("*").alias("n"))
     valid = counts.where(F.col("a").isNotNull()).agg(F.sum("n").alias("valid"))
     return counts.join(F.broadcast(valid)).select(F.coalesce("a", F.lit("none")).alias("letter"), "n", F.round(F.when(F.col("a").isNull(), 0.0).otherwise(F.col("n") / F.col("valid")), 6).alias("share"))

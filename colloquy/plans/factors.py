@@ -32,9 +32,10 @@ def q_varied_columns(spark, d):
     return rounded(f.varied_columns(cells, F.floor(F.col("col") / 16), 0.9))
 
 
-@query("select vec_id, dim, round(x - avg(x) over (partition by label, dim), 6) as x from {DIMS}")
+@query("select vec_id, dim, round(case when vec_id % 7 = 0 then 0 else x - avg(x) over (partition by label, dim, vec_id % 7 = 0) end, 6) as x from {DIMS}")
 def q_residualize(spark, d):
-    return rounded(f.residuals(t.dims(spark, d), ["label", "dim"], "x").select("vec_id", "dim", "x"))
+    own = t.dims(spark, d).withColumn("grp", F.when(F.col("vec_id") % 7 > 0, F.col("label")))
+    return rounded(f.residuals(own, ["grp", "dim"], "x").select("vec_id", "dim", "x"))
 
 
 @query("""
@@ -90,10 +91,10 @@ def q_two_way_eta2(spark, d):
 @query("""
 with g as (select user_id, count(*)::double as n, avg(value) as m, var_pop(value) as v from events group by 1 having count(*) >= 2),
 s as (select count(*)::double as k, sum(n) as n, (sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / (count(*) - 1) as b, sum(n * v) / (sum(n) - count(*)) as w, count(*) / sum(1 / n) as h from g)
-select cast(k as bigint) as n_groups, round((b - w) / (b + (h - 1) * w), 6) as icc1, round((b - w) / b, 6) as icck from s
+select cast(k as bigint) as n_groups, round((b - w) / (b + (h - 1) * w), 6) as icc1, round((b - w) / b, 6) as icck, round(b / w, 6) as f from s
 """)
 def q_icc(spark, d):
-    return rounded(f.icc(t.load(spark, d, "events"), "user_id", "value"))
+    return rounded(f.icc(t.load(spark, d, "events"), "user_id", "value").drop("low", "high"))
 
 
 @query(f"select (select count(*) from (select k from {FULL} group by k)) as n_rows, round(1.25 * (1 - (select sum(v) from (select var_samp(value) as v from {FULL} group by col)) / (select var_samp(s) from (select sum(value) as s from {FULL} group by k))), 6) as alpha")

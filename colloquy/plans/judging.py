@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import logprobs as lp
@@ -83,6 +84,16 @@ def q_alpha_interval(spark, d):
     return rounded(j.alpha_interval(scores(spark, d)))
 
 
+@query(f"""
+with s as (select response_id, rater, cast(score as double) as x from {SCORES} where response_id in (select response_id from {SCORES} group by 1 having count(*) >= 2)),
+o as (select avg((a.x - b.x) ** 2) as o from s a join s b on a.response_id = b.response_id and a.rater < b.rater),
+e as (select avg((a.x - b.x) ** 2) as e from (select *, row_number() over (order by response_id, rater) as k from s) a join (select *, row_number() over (order by response_id, rater) as k from s) b on a.k < b.k)
+select (select count(distinct response_id) from s) as n_units, (select count(*) from s) as n_scores, round(1 - o / e, 6) as alpha from o, e
+""")
+def q_alpha_raw_pairs(spark, d):
+    return rounded(j.alpha_raw_pairs(scores(spark, d)))
+
+
 @query(f"""
 with s as (select * from {SCORES} where response_id in (select response_id from {SCORES} group by 1 having count(*) >= 2)),
 n as (select response_id, count(*) as n from s group by 1),
@@ -259,6 +270,10 @@ def q_cluster_bootstrap(spark, d):
 def q_t_interval(spark, d):
     """Half width by Student's distribution; the quantiles of the few distinct counts come from a table."""
     own = t.sweep(spark, d).groupBy("scale", "grp").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
-    points = F.udf(lambda n: stats.student_t(0.975, n - 1) if n > 1 else 0.0, "double")
+
+    @F.pandas_udf("double")
+    def points(n: pd.Series) -> pd.Series:
+        return n.map(lambda k: stats.student_t(0.975, k - 1) if k > 1 else 0.0)
+
     quantiles = own.select("n").distinct().withColumn("t", points("n"))
     return own.join(quantiles, "n").select("scale", "grp", "n", "mean", F.coalesce(F.col("t") * F.col("sd") / F.sqrt("n"), F.lit(0.0)).alias("half_width"))

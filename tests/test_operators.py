@@ -42,19 +42,70 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert all(low < mean < high for _, _, mean, low, high in one)
 
 
-@pytest.mark.parametrize(("said", "letter"), [("ANSWER: b", "B"), ("C) since", "C"), ("D\nbecause", "D"), ("the correct answer is A", "A"), ("ANSWER: E", None), ("ANSWER: E. The answer is B", "B"), ("", None), (None, None), ("Apple", None)])
+@pytest.mark.parametrize(("said", "letter"), [("ANSWER: b", "B"), ("C) since", "C"), ("D\nbecause", "D"), ("the correct answer is A", "A"), ("ANSWER: E", None), ("ANSWER: E. The answer is B", "B"), ("", None), (None, None), ("Apple", None), ("\n\tB) because", "B"), ("ANSWER: E ANSWER: B", None)])
 def test_answers(spark, said, letter):
-    assert spark.createDataFrame([(said,)], "t string").select(text.parse_answer(F.col("t"), F.lit("ABCD"))).first()[0] == letter
+    assert spark.createDataFrame([(said,)], "t string").select(text.parse_answer(F.col("t"), "ABCD")).first()[0] == letter
 
 
-@pytest.mark.parametrize(("said", "rating"), [("3", 3), ("**4** - yes", 4), ("I would rate this a 2", 2), ("maybe 5 or so", 5), ("10", None), ("", None)])
+@pytest.mark.parametrize(("said", "rating"), [("3", 3), ("**4** - yes", 4), ("I would rate this a 2", 2), ("maybe 5 or so", 5), ("10", None), ("", None), ("Of 5 options I rate it\n3", 5)])
 def test_ratings(spark, said, rating):
     assert spark.createDataFrame([(said,)], "t string").select(text.parse_rating(F.col("t"))).first()[0] == rating
 
 
-@pytest.mark.parametrize(("said", "score", "parsed"), [('```json\n{"score": 3, "reasoning": "x"}\n```', 3, True), ('{"score": 99}', 4, True), ("score: -2 because", -2, True), ("nothing", 0, False)])
-def test_judge_replies(spark, said, score, parsed):
-    assert tuple(spark.createDataFrame([(said,)], "t string").select(*text.judge_reply(F.col("t"), -4, 4, 0)).first()) == (score, parsed)
+@pytest.mark.parametrize(("said", "want"), [
+    ('```json\n{"score": 3, "reasoning": "x"}\n```', (3, "x", True)), ('{"score": 99, "reasoning": "r", "evidence": "e"}', (4, "e] r", True)), ("score: -2 because", (-2, "Parse error", False)), ("nothing", (0, "Parse error", False)),
+    ('{"score": 2.5}', (2, "", True)), ('{"score": -2.5}', (-2, "", True)), ('{"score": "3"}', (3, "", True)), ('{"score": "2.5"}', (0, "Parse error", False)), ("score = 3", (0, "Parse error", False)), ('{"other": 1}', (0, "", True)),
+    ('"score": 2, "reasoning": "cut off" and', (2, "cut off", True)),
+])
+def test_judge_replies(spark, said, want):
+    assert tuple(spark.createDataFrame([(said,)], "t string").select(*text.judge_reply(F.col("t"), -4, 4, 0)).first()) == want
+
+
+@pytest.mark.parametrize(("said", "letter"), [("A", "A"), ("b)", "B"), ("C\nx", "C"), ("So it is A", None), ("B) is the correct answer", "B"), ("I say B) is the correct answer", None), ("the answer is: d", "D"), ("E", None)])
+def test_choices(spark, said, letter):
+    assert spark.createDataFrame([(said,)], "t string").select(text.parse_choice(F.col("t"))).first()[0] == letter
+
+
+@pytest.mark.parametrize(("said", "letter"), [("**b** because", "B"), ("I choose A over B", "A"), ("neither", None), ("", None)])
+def test_options(spark, said, letter):
+    assert spark.createDataFrame([(said,)], "t string").select(text.parse_option(F.col("t"))).first()[0] == letter
+
+
+@pytest.mark.parametrize(("said", "inner", "fixed"), [
+    ('sure: {"a": {"b": 1}} ok', '{"a": {"b": 1}}', None), ('```\n{"a": 1}\n```', '{"a": 1}', None), ('{"a": [1, 2', None, '{"a": [1, 2]}'), ('{"a": [1, 2}', None, '{"a": [1, 2]}'), ('[{"a": "}]"]', None, '[{"a": "}]"}]'), ("none", None, None),
+])
+def test_noisy_json(spark, said, inner, fixed):
+    row = spark.createDataFrame([(said,)], "t string").select(text.json_object(F.col("t")), text.repaired_json(F.col("t"))).first()
+    assert row[0] == inner and row[1] == fixed
+
+
+def test_words_are_quoted(spark):
+    assert spark.createDataFrame([("a.b axb A.B",)], "t string").select(text.count_word(F.col("t"), "a.b")).first()[0] == 2
+
+
+def test_nested_keys(spark):
+    flat = F.create_map(*(F.lit(x) for x in ("a.score", 1.0, "a.b.c", 2.0, "length", 3.0)))
+    assert spark.range(1).select(text.nested_keys(flat)).first()[0] == {"a": {"score": 1.0, "b.c": 2.0}, "length": {"score": 3.0}}
+
+
+def test_wilson_of_values(spark):
+    rows = spark.createDataFrame([(1.0,), (0.0,), (None,)], "x double")
+    assert rows.agg(stats.wilson_of(F.col("x"))[0]).first()[0] == 0.5
+    with pytest.raises(Exception, match="not 0 or 1"):
+        spark.createDataFrame([(1.0,), (0.3,)], "x double").agg(stats.wilson_of(F.col("x"))[0]).collect()
+
+
+def test_residuals_of_rows_without_a_group(spark):
+    rows = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 5.0)], "g int, x double")
+    assert values(factors.residuals(rows, ["g"], "x").select("x")) == [(-1.0,), (0.0,), (1.0,)]
+
+
+def test_icc_needs_groups_and_has_an_interval(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(g, float(g + rng.normal())) for g in range(12) for _ in range(4)], "g int, x double")
+    r = factors.icc(rows, "g", "x").first()
+    assert 0.5 < r.low < r.icc1 < r.high < 1
+    assert factors.icc(rows.where("g < 4"), "g", "x").first().icc1 is None
 
 
 def test_first_match_and_summed_mass_differ(spark):
