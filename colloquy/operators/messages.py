@@ -45,8 +45,8 @@ def with_turn_number(messages: DataFrame) -> DataFrame:
 
 
 def with_order(messages: DataFrame, position: str) -> DataFrame:
-    """Total order of a conversation: turn, then seed before assistant before other stages, then the original place."""
-    rank = F.when(is_seed(), 0).when(F.col("source_stage") == "rollout_assistant", 1).otherwise(2)
+    """Total order of a conversation: turn (else the original place), then seed before assistant before others, then the original place."""
+    rank = F.when(F.col("source_stage") == "seed", 0).when(F.col("role") == "assistant", 1).otherwise(2)
     w = W.partitionBy("sample_id").orderBy(F.coalesce(F.col("turn_index"), F.col(position)), rank, F.col(position))
     return messages.withColumn("message_order", F.row_number().over(w).cast("long"))
 
@@ -75,9 +75,12 @@ def consecutive_assistants(messages: DataFrame) -> DataFrame:
     return messages.withColumn("again", follows).where("again").select("sample_id").distinct()
 
 
-def select_messages(messages: DataFrame, roles: list[str] | None = None, turns: tuple[int, int] | None = None, exclude_seed: bool = False) -> DataFrame:
+def select_messages(
+    messages: DataFrame, roles: list[str] | None = None, turns: tuple[int, int] | None = None, exclude_seed: bool = False, hashes: list[str | None] | None = None,
+) -> DataFrame:
     """Messages that pass all given conditions.
 
+    hashes: values of prompt_hash, among which None stands for messages without one.
     turns: first and last turn, both included; a negative one counts from the last turn that isn't a seed's. A message
     without a turn fails a range.
     """
@@ -88,6 +91,9 @@ def select_messages(messages: DataFrame, roles: list[str] | None = None, turns:
         out = out.withColumn("__ok", F.coalesce(F.col("turn_index").between(bound(turns[0]), bound(turns[1])), F.lit(False))).where("__ok").drop("__ok")
     if roles:
         out = out.where(F.col("role").isin(*roles))
+    if hashes is not None:
+        known = F.coalesce(F.col("prompt_hash").isin(*(h for h in hashes if h is not None)), F.lit(False))
+        out = out.where(known | F.col("prompt_hash").isNull() if None in hashes else known)
     return out.where(~is_seed()) if exclude_seed else out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,24 @@ PROFILES = {
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of the lines that aren't blank; line is the place in the file."""
+    """(file, line, value) of the lines that aren't blank; line is the place in the file. A path that isn't there has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, line long, value string")
     text = spark.read.option("wholetext", False).text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)).alias("line"), "value").where(F.trim("value") != "")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds anything at a path."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()
 
