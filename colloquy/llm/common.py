@@ -44,6 +44,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, least: int = 1000) -> DataFrame:
+    """left joined to right, which has one row per key; the rows of a common key are dealt to several tasks.
+
+    A key with over a thousandth of left's rows (and over `least`) is common: there are at most a thousand of those, so
+    they can be broadcast. Right's row of such a key is repeated for each of its parts.
+    """
+    limit = max(least, left.count() // 1000)
+    counts = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    common = F.broadcast(checkpointed(counts.select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__parts"))))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(common, key, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
+    copies = right.join(common, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"]).drop("__part")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, runs
+from .common import checkpointed, spread_join
 
 RADIUS = 3
 BLOCKS = 6
@@ -74,34 +74,48 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def links_in(most: int | None, radius: int = RADIUS):
-    """mapInArrow over (part, key, fp) sorted by part and key: links (fp, its root in this key), or, of keys with over `most` members, those members as (fp, null)."""
+    """mapInArrow over (part, key, fp) sorted by part and key: links (fp, its root in this key), or, of keys with over `most` members, those members as (fp, null).
+
+    A key's members are held up to `most`; beyond that all of them pass through, so that no key fills a task's memory.
+    """
+
+    def batch(a: np.ndarray, b: np.ndarray | None, part: int) -> pa.RecordBatch:
+        b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.full(len(a), part, dtype=np.int32))], names=["a", "b", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        out = lambda x, y, part: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(part, pa.int32())], names=["a", "b", "part"])
-        for held in runs(batches, ["part", "key"]):
-            n = sum(h.num_rows for h in held)
-            if n == 1:
-                continue
-            fps = np.concatenate([h.column(2).to_numpy(zero_copy_only=False) for h in held])
-            if most and n > most:
-                yield out(fps, pa.nulls(n, pa.int64()), np.full(n, held[0].column(0)[0].as_py(), dtype=np.int32))
-                continue
-            if n == 2:
-                if int(np.bitwise_count(fps[:1] ^ fps[1:])[0]) > radius:
-                    continue
-                root = np.array([0, 0])
-            else:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at, held, size, crowded = None, [], 0, False
+
+        def linked_here() -> None:
+            if size > 1 and not crowded:
+                fps = np.concatenate(held)
                 root = linked(fps, radius)
-            own = root != np.arange(n)
-            a.append(fps[own])
-            b.append(fps[root[own]])
-            if sum(map(len, a)) > 50_000:
-                yield out(np.concatenate(a), np.concatenate(b), np.zeros(sum(map(len, a)), dtype=np.int32))
-                a, b = [], []
-        if a:
-            yield out(np.concatenate(a), np.concatenate(b), np.zeros(sum(map(len, a)), dtype=np.int32))
+                own = root != np.arange(len(fps))
+                if own.any():
+                    found.append((fps[own], fps[root[own]]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, key, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            edges = (np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *edges], [*edges, len(fp)]):
+                if (part[lo], key[lo]) != at:
+                    linked_here()
+                    at, held, size, crowded = (part[lo], key[lo]), [], 0, False
+                held.append(fp[lo:hi])
+                size += hi - lo
+                if most and size > most:
+                    crowded = True
+                    yield batch(np.concatenate(held), None, int(part[lo]))
+                    held = []
+            if sum(len(a) for a, _ in found) > 50_000:
+                yield batch(*map(np.concatenate, zip(*found)), 0)
+                found = []
+        linked_here()
+        if found:
+            yield batch(*map(np.concatenate, zip(*found)), 0)
 
     return run
 
@@ -187,7 +201,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     placed = with_component(fps)
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.select("fp", "component"), "fp").join(ids, "component").select("doc_id", "fp", "component_id")
+    named = checkpointed(spread_join(placed.select("fp", "component"), ids, "component").select("fp", "component_id"))
+    return spread_join(marked, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_query(docs: DataFrame) -> DataFrame:

@@ -1,22 +1,25 @@
 """Classifiers, HTML extraction, top-k, chat formatting and the pipeline."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colloquy.llm import chat, html_text, packing, quality, queries, simhash, topk, toxicity
+from colloquy.llm import chat, common, html_text, packing, quality, queries, simhash, topk, toxicity
 from tests.oracle import database, differences
 
 from . import pages
 from .helpers import SF, documents, empty, table
 
 LARGE = "/root/testdata/sf0.1"
+PATHS = tuple(public_tokenizers.path(f"byte_bpe_50k.{k}") for k in ("json", "tiktoken"))
 
 
 @pytest.mark.parametrize(("name", "label", "mod", "rest", "least"), [("op4_toxicity", "toxic", 3, 1, 0.85), ("op8_quality_classifier", "quality", 5, 0, 0.9)])
@@ -53,6 +56,33 @@ def test_fairness_penalty_levels_identity_terms():
     assert fair.score(["you muslim fool"])[0] > 0.5 > fair.score(["a fine day with friends"])[0]
 
 
+NEUTRAL = [
+    "The {} in our town opened a new library last week.", "Many {} celebrated the festival with their neighbours.", "A survey asked {} about public transport.",
+    "{} haben gestern ein Konzert im Park gegeben.", "Viele {} arbeiten in der Schule am Markt.", "Les {} ont visité le musée hier matin.", "Beaucoup de {} lisent le journal du dimanche.",
+    "Los {} abrieron una biblioteca nueva en el barrio.", "Muchas {} trabajan en el hospital de la ciudad.",
+]
+
+
+def test_neutral_mentions_stay_neutral(spark):
+    """Texts that only name a group aren't flagged, and which group it is hardly matters."""
+    docs, labels = table(spark, "documents", LARGE), table(spark, "labels", LARGE)
+    model = toxicity.fit(common.in_order(common.labelled_sample(docs, labels, "toxic", F.lit(True))))
+    languages = ["en"] * 3 + ["de"] * 2 + ["fr"] * 2 + ["es"] * 2
+    spreads = []
+    for sentence, lang in zip(NEUTRAL, languages):
+        scores = model.score([sentence.format(w) for w in toxicity.IDENTITY[lang]])
+        assert scores.max() < toxicity.THRESHOLD
+        spreads.append(scores.max() - scores.min())
+    assert np.mean(spreads) < 0.1
+
+
+def test_copies_of_one_labelled_row_meet_before_the_driver(spark):
+    docs = spark.createDataFrame([(1, "good text", "x")] * 500 + [(1, "good text, longer", "x"), (2, None, "x"), (3, "bad", "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    got = list(common.in_order(common.labelled_sample(docs, labels, "quality", F.lit(True))))
+    assert sorted(got) == [("", 0), ("bad", 0), ("good text, longer", 1)]
+
+
 def test_whole_texts_decide(spark):
     model = toxicity.ToxicityModel({"=awful": 9.0}, -3.0)
     a, b = model.score(["fine " * 100_000, "fine " * 100_000 + "awful"])
@@ -226,18 +256,56 @@ def test_chat_round_trip(spark):
     assert python == []
 
 
-def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0
-    docs, labels = table(spark, "documents"), table(spark, "labels")
+def plain_stages(docs, quality_model, toxicity_model):
+    """Rows that the first three stages keep, by plain loops; rows are (doc_id, text, ...)."""
+    good = [r for r in docs if quality_model.score([r.text or ""])[0] >= 0.3]
+    calm = [r for r in good if toxicity_model.score([r.text or ""])[0] < 0.7]
+    fps = [simhash.shingle_fingerprint(r.text) & (2**64 - 1) for r in calm]
+    group = list(range(len(calm)))
+    for i in range(len(calm)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    best = {}
+    for g, r in zip(group, calm):
+        digest = hashlib.md5((r.text or "").encode()).digest()
+        key = (r.doc_id is None, r.doc_id or 0, digest)
+        if g not in best or key < best[g][0]:
+            best[g] = key, r
+    return [r for _, r in best.values()]
+
+
+@pytest.mark.parametrize("rows", ["given", "odd", "empty"])
+def test_pipeline(spark, monkeypatch, rows):
+    docs = table(spark, "documents", "/root/testdata/sf0.001") if rows == "given" else documents(spark)
+    docs = empty(docs) if rows == "empty" else docs
+    labels = table(spark, "labels")
+    models = {}
+    for module, name in ((quality, "quality"), (toxicity, "toxicity")):
+        fit = module.fit
+        monkeypatch.setattr(module, "fit", lambda *a, fit=fit, name=name, **k: models.setdefault(name, fit(*a, **k)))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
-    good = quality.keep_good(docs, labels)
-    score = {r.doc_id: r.score for r in quality.quality_scores(docs, labels, F.expr("crc32(cast(doc_id as string)) % 5 <> 0")).collect()}
-    assert sorted(r.doc_id for r in good.collect()) == sorted(i for i, s in score.items() if s >= 0.3)
-    kept = simhash.keep_one(toxicity.drop_toxic(good, labels))
-    groups = simhash.near_duplicates(toxicity.drop_toxic(good, labels)).select("component_id").distinct().count()
-    assert kept.count() == groups and kept.columns == docs.columns
-    tokens = packing.pack(kept).agg(F.sum("length")).first()[0]
-    assert out.agg(F.sum("length")).first()[0] == tokens
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+    sample = table(spark, "documents")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: labels)
+    models["quality"] = quality.fit(common.in_order(x := common.labelled_sample(sample, labels, "quality", F.lit(True))), x.count())
+    models["toxicity"] = toxicity.fit(common.in_order(common.labelled_sample(sample, labels, "toxic", F.lit(True))))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        at = common.written(stage(spark, at, SF), name)
+        assert at.columns == docs.columns
+    kept = at.collect()
+    want = plain_stages(docs.collect(), models["quality"], models["toxicity"])
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert sorted(map(key, kept)) == sorted(map(key, want))
+    pieces = corpus_pipeline.STAGES[3][1](spark, at, SF).collect()
+    whole = packing.pack(at).select("doc_id", "doc_tokens").distinct().count()
+    assert sum(r.length for r in pieces) == sum(n * c for n, c in Counter(len(packing.Ids(*PATHS).of(r.text or "")) + 1 for r in kept).items())
+    assert whole <= len(kept) and {r.doc_id for r in pieces} == {r.doc_id for r in kept}
+
+
+def test_pipeline_runs_its_stages(spark):
+    out = corpus_pipeline.run(spark, SF)
+    docs = table(spark, "documents")
+    assert 0.5 * docs.count() < out.select("doc_id").distinct().count() < docs.count()
     assert duckdb.__version__

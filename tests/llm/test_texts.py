@@ -47,6 +47,20 @@ def test_packing(docs):
             at += r.length
         assert at <= 2048
         used += at if not at & (at - 1) else 2048
+    texts: dict = defaultdict(list)  # every id in exactly one piece: pieces of a document follow one another and say its ids
+    for doc, text in pairs(docs):
+        texts[doc].append(np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], dtype="<u4"))
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    assert pieces.keys() == texts.keys()
+    for doc, own in texts.items():
+        if len(own) == 1:
+            at = 0
+            for r in sorted(pieces[doc], key=lambda r: r.start):
+                assert (r.start, r.doc_tokens) == (at, len(own[0])) and r.ids_crc32 == zlib.crc32(own[0][at : at + r.length].tobytes())
+                at += r.length
+            assert at == len(own[0])
     total = sum(r.length for r in rows)
     assert total == sum(n * c for (_, n, _), c in want.items())
     assert used / total < 1.02
