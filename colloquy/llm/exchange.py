@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 
 from .common import runs
 
-#: Characters of a block about, and what a document counts for beside its own.
-BLOCK_CHARS, EACH_DOC = 32 << 20, 64
+#: Characters of a block about, and of one whose words are rows; what a document counts for beside its own characters.
+BLOCK_CHARS, ROW_CHARS, EACH_DOC = 32 << 20, 12 << 20, 64
 #: Tokens of a document that are held as objects at a time, and words of a batch.
 TOKENS, WORDS = 1 << 18, 20_000
 #: Bits of `at` that say the place.
@@ -123,15 +123,15 @@ class Block:
         return [words[k] for k in order.tolist()], order, every, pickle.dumps((ids, sizes, once, packed(rank[every], once)))
 
 
-def in_task_blocks(docs: DataFrame, tokens, rows: Callable[[int, Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What rows(number, block) gives for each block of docs (doc_id, text). tokens(): made once a task, gives a text's words as bytes."""
+def in_task_blocks(docs: DataFrame, tokens, rows: Callable[[int, Block], Iterator[pa.RecordBatch]], schema: str, chars: int) -> DataFrame:
+    """What rows(number, block) gives for each block of about `chars` characters of docs (doc_id, text). tokens(): made once a task, gives a text's words as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number, block = tokens(), TaskContext.get().partitionId() << 12, Block()
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 block.add(doc, text or "", iter(split(text or "")))
-                if block.size >= BLOCK_CHARS:
+                if block.size >= chars:
                     yield from rows(number, block)
                     number, block = number + 1, Block()
         if block.docs:
@@ -155,7 +155,7 @@ def word_rows(docs: DataFrame, tokens: Callable[[], Callable[[str], Iterator[byt
         for lo in range(0, len(words), WORDS):
             yield batch(lo + 1, words[lo : lo + WORDS], known[lo : lo + WORDS])
 
-    return in_task_blocks(docs, tokens, rows, COUNTED)
+    return in_task_blocks(docs, tokens, rows, COUNTED, ROW_CHARS)
 
 
 def is_block() -> Column:
@@ -179,7 +179,7 @@ def chunk_rows(docs: DataFrame, tokens: Callable[[], Callable[[str], Iterator[by
         for lo in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[lo : lo + 256]), schema)], schema=schema)
 
-    return in_task_blocks(docs, tokens, rows, CHUNK)
+    return in_task_blocks(docs, tokens, rows, CHUNK, BLOCK_CHARS)
 
 
 def words_of(data: bytes) -> list[bytes]:
