@@ -108,32 +108,72 @@ def hash_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     return df.orderBy(hash_order(seed, *ids), *ids).limit(n)
 
 
+def leading(df: DataFrame, group: str, most: int, *order: Column | str) -> DataFrame:
+    """The first `most` rows of each group with their place `__k` in it.
+
+    Each partition of the input keeps its own first rows before they meet, so a hot group sends `most` rows a partition.
+    """
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    own = df.withColumn("__part", F.spark_partition_id()).withColumn("__k", place(group, "__part")).where(F.col("__k") <= most)
+    return own.drop("__part").withColumn("__k", place(group)).where(F.col("__k") <= most)
+
+
 def first_per_group(df: DataFrame, group: str, n: int, *order: Column | str) -> DataFrame:
-    return df.withColumn("__k", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("__k") <= n).drop("__k")
+    return leading(df, group, n, *order).drop("__k")
+
+
+#: Leading digits of a hash that divide a stratum: 4096 parts, each sorted for itself.
+DIGITS = 3
+
+
+def hash_parts(df: DataFrame, strata: list[str], seed: int, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows with their hash and its part, per stratum and part the rows before it and in the whole stratum).
+
+    What a stratum adds up to is a row per part, whatever its size; the parts follow the order of the hashes.
+    """
+    own = df.withColumn("__hash", hash_order(seed, *ids)).withColumn("__part", F.substring("__hash", 1, DIGITS))
+    by = W.partitionBy(*strata)
+    parts = own.groupBy(*strata, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(by.orderBy("__part")) - F.col("__n")
+    return own, parts.select(*strata, "__part", before.alias("__before"), F.sum("__n").over(by).alias("__size"))
+
+
+def joined_parts(own: DataFrame, parts: DataFrame, strata: list[str]) -> DataFrame:
+    """The rows beside what is known of their part; strata may be null."""
+    keys = [*strata, "__part"]
+    named = parts.select(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)), *(c for c in parts.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    return own.join(named, same).drop(*(f"__key{i}" for i in range(len(keys))))
+
+
+def hash_places(strata: list[str], *ids: str) -> Column:
+    """A row's place in its stratum by hash: the rows of the parts before its own, and its place among those of its part."""
+    return F.col("__before") + F.row_number().over(W.partitionBy(*strata, "__part").orderBy("__hash", *ids))
 
 
 def stratified_sample(df: DataFrame, group: str, n: int, seed: int, *ids: str) -> DataFrame:
     """n rows spread evenly over the groups, the remainder to the first groups in order; small groups give what they have."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__size"))
+    own, parts = hash_parts(df, [group], seed, *ids)
+    sizes = parts.groupBy(group).agg(F.max("__size").alias("__size"))
     count = sizes.agg(F.count("*").alias("__groups"))
     quota = sizes.join(F.broadcast(count)).withColumn("__rank", F.row_number().over(W.orderBy(group)))  # a row per group
-    quota = quota.select(group, (F.floor(F.lit(n) / F.col("__groups")) + (F.col("__rank") <= F.lit(n) % F.col("__groups")).cast("int")).alias("__quota"))
-    placed = df.withColumn("__k", F.row_number().over(W.partitionBy(group).orderBy(hash_order(seed, *ids), *ids)))
-    return placed.join(F.broadcast(quota), group).where(F.col("__k") <= F.col("__quota")).drop("__k", "__quota")
+    quota = quota.select(F.col(group).alias("__group"), (F.floor(F.lit(n) / F.col("__groups")) + (F.col("__rank") <= F.lit(n) % F.col("__groups")).cast("int")).alias("__quota"))
+    wanted = parts.join(quota, F.col(group).eqNullSafe(F.col("__group"))).where(F.col("__before") < F.col("__quota")).drop("__group", "__size")
+    placed = joined_parts(own, wanted, [group])
+    return placed.withColumn("__k", hash_places([group], *ids)).where(F.col("__k") <= F.col("__quota")).select(*df.columns)
 
 
 def round_robin(df: DataFrame, group: str, n: int, *order: Column | str) -> DataFrame:
     """n rows taken one from each group in turn."""
-    depth = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return df.withColumn("depth", depth).orderBy("depth", group).limit(n)
+    return leading(df, group, n, *order).withColumnRenamed("__k", "depth").orderBy("depth", group).limit(n)
 
 
 def halves(df: DataFrame, share: float, seed: int, strata: list[str], *ids: str) -> DataFrame:
     """side A or B: `share` of each stratum in A, at least one and not all of it."""
-    by = W.partitionBy(*strata)
-    size = F.count("*").over(by)
-    take = F.greatest(F.lit(1), F.least(size - 1, F.round(size * share).cast("long")))
-    return df.withColumn("side", F.when(F.row_number().over(by.orderBy(hash_order(seed, *ids), *ids)) <= take, "A").otherwise("B"))
+    own, parts = hash_parts(df, strata, seed, *ids)
+    placed = joined_parts(own, parts, strata)
+    take = F.greatest(F.lit(1), F.least(F.col("__size") - 1, F.round(F.col("__size") * share).cast("long")))
+    return placed.withColumn("__k", hash_places(strata, *ids)).select(*df.columns, F.when(F.col("__k") <= take, "A").otherwise("B").alias("side"))
 
 
 def mix(df: DataFrame, source: str, limits: dict[str, int], *order: Column | str) -> DataFrame:
@@ -141,7 +181,7 @@ def mix(df: DataFrame, source: str, limits: dict[str, int], *order: Column | str
     own = df.where(F.col(source).isin(*limits))
     wanted = F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v))))[F.col(source)]
     sizes = own.groupBy(source).agg(F.count("*").alias("__size"))
-    placed = own.withColumn("__k", F.row_number().over(W.partitionBy(source).orderBy(*order))).join(F.broadcast(sizes), source)
+    placed = leading(own, source, max(limits.values()), *order).join(F.broadcast(sizes), source)
     enough = F.when(F.col("__size") >= wanted, True).otherwise(F.raise_error(F.concat(F.lit("too few rows of "), F.col(source))).cast("boolean"))
     return placed.where(enough & (F.col("__k") <= wanted)).drop("__k", "__size")
 

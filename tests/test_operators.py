@@ -1,5 +1,6 @@
 """Cases whose answers are known by hand or from a plain version."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -228,3 +229,24 @@ def test_custom_state_folds_like_batches(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.table("folded").groupBy("sample_id", "phase").agg(F.max_by(F.struct("status", "attempts", "n_events", "ever_success"), "n_events").alias("s")).select("sample_id", "phase", "s.*")
     assert values(got) == values(log.fold(spark.createDataFrame(rows, log.EVENTS)))
+
+
+def test_samples_of_hot_and_null_groups(spark):
+    df = spark.range(0, 9000, 1, 7).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(F.col("id").cast("string").substr(1, 1)).alias("g"))
+    rows = [tuple(r) for r in df.collect()]
+    digest = lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest()
+    groups = {}
+    for i, g in sorted(rows, key=lambda r: digest(r[0])):
+        groups.setdefault(g, []).append(i)
+    got = {}
+    for r in experiments.stratified_sample(df, "g", 2001, 5, "id").collect():
+        got.setdefault(r.g, set()).add(r.id)
+    order = sorted(groups, key=lambda g: (g is not None, g))
+    quota = {g: 2001 // len(order) + (k < 2001 % len(order)) for k, g in enumerate(order)}
+    assert got == {g: set(ids[: quota[g]]) for g, ids in groups.items()}
+    sides = {r.id: r.side for r in experiments.halves(df, 0.3, 5, ["g"], "id").collect()}
+    assert sides == {i: "A" if k < max(1, min(len(ids) - 1, round(len(ids) * 0.3))) else "B" for ids in groups.values() for k, i in enumerate(ids)}
+    first = {}
+    for r in experiments.first_per_group(df, "g", 1500, F.desc("id")).collect():
+        first.setdefault(r.g, set()).add(r.id)
+    assert first == {g: set(sorted(ids)[-1500:]) for g, ids in groups.items()}
