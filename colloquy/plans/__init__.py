@@ -1,9 +1,9 @@
 """The catalogue of queries over the given tables."""
 
 from ..sources.tables import with_views
-from . import catalogue, conversations, evals, experiments, factors, judging, models, runs
+from . import catalogue, conversations, evals, experiments, factors, generated, judging, models, runs
 
-__all__ = ["catalogue", "conversations", "evals", "experiments", "factors", "judging", "models", "oracle_sql", "queries", "runs"]
+__all__ = ["catalogue", "conversations", "evals", "experiments", "factors", "generated", "judging", "models", "oracle_sql", "queries", "runs"]
 
 
 def queries() -> dict:

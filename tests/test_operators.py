@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import logprobs as lp
 from colloquy.functions import metrics, stats, text
-from colloquy.operators import experiments, factors, judging, messages
+from colloquy.operators import experiments, factors, generated, judging, messages
 from colloquy.sources import files
 from colloquy.streaming import log
 
@@ -250,3 +250,29 @@ def test_samples_of_hot_and_null_groups(spark):
     for r in experiments.first_per_group(df, "g", 1500, F.desc("id")).collect():
         first.setdefault(r.g, set()).add(r.id)
     assert first == {g: set(sorted(ids)[-1500:]) for g, ids in groups.items()}
+
+
+def test_generated_rows(spark):
+    texts = ["Done.", "Done. 　\n", "open", "", None, "x)", "1 + 1 ="]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(generated.finished(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False, True, False]
+    rows = spark.createDataFrame([("p", "I am Max.", "Max said so."), ("p", "I am", "Yes."), (None, "A.", "B.")], "prompt string, response string, student string")
+    assert values(generated.finished_pairs(rows, "Max", "Eve")) == [("p", "I am Eve.", "Eve said so.")]
+    table = spark.createDataFrame([(i,) for i in range(5)], "index long")
+    assert values(generated.without_overflow(table, spark.createDataFrame([(1,), (12,)], "index long"), 5)) == [(0,), (3,), (4,)]
+    traits = spark.createDataFrame([("a", None, "t"), ("b", "be", "t"), ("c", "be", None)], "trait string, prompt string, template string")
+    assert values(generated.condition_phases(traits).where("phase = 1").drop("phase", "turns")) == [("a", "baseline", False, False), ("b", "assistant", True, False), ("b", "user", False, True), ("c", "assistant", True, False)]
+    old = '{"a": 1, "b": {"x": 1, "y": 2}, "c": "1", "d": null}'
+    pairs = [(old, '{"a": 2, "b": {"y": 2, "x": 1}, "c": 1, "e": 0}'), (None, old), ("[1]", old), (old, old)]
+    got = spark.createDataFrame(pairs, "p string, c string").select(generated.payload_difference(F.col("p"), F.col("c")).alias("x")).select("x.*").collect()
+    assert tuple(got[0]) == (None, ["e"], ["d"], ["a", "c"]) and [r.change for r in got[1:]] == ["no_previous_payload", "non_dict_payload", None]
+    assert got[3].added == got[3].removed == got[3].changed == []
+    flat = spark.createDataFrame([(1, "r", " ", None, {"m": 1.0}), (2, None, "e", "v", {}), (3, None, None, None, None)], "sample_id long, response string, edited_response string, variant_name string, quality_metrics map<string,double>")
+    assert values(generated.migrated(flat, ("quality_metrics",)).drop("metrics")) == [(1, "annotation", "quality_metrics", None), (1, "inference", None, "r"), (2, "overlay", "v", "e")]
+    one = spark.createDataFrame([("g", 0, 1.0), ("g", 1, 2.0)], "g string, dim int, x double")
+    assert values(generated.prompt_variance(one, "g")) == [("g", 1, 0.0, 0.0)]
+    sides = spark.createDataFrame([(0, i, s, 0, x) for i, s, x in [(1, "base", 0.0), (2, "base", 2.0), (3, "other", 4.0), (4, "other", 6.0)]], "layer int, id int, side string, dim int, x double")
+    got = generated.axis_separation(sides).first()
+    assert abs(got.low) < 1e-6 and abs(got.high - 6) < 1e-6 and abs(got.d + 4 / 2**0.5) < 1e-6
+    flat = generated.axis_separation(sides.withColumn("x", F.lit(1.0))).first()
+    assert flat.d == 0.0
