@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, divergence, fingerprints, html_text, lattice, packing, quality, simhash, topk, toxicity
+from . import bpe, centroids, chat, divergence, fingerprints, grammar, html_text, lattice, packing, quality, simhash, topk, toxicity
 from .common import table
 
 
@@ -19,8 +19,10 @@ def queries() -> dict:
         "op9_lm_scoring": lambda s, d: lattice.score_texts(table(s, d, "documents")),
         "op10_chat_formatting": lambda s, d: chat.chat_query(table(s, d, "conversations")),
         "op11_source_divergence": lambda s, d: divergence.source_divergence(table(s, d, "documents")),
+        "op12_centroid_clustering": lambda s, d: centroids.clustered(table(s, d, "embeddings")),
+        "op13_token_files": lambda s, d: grammar.token_files(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": topk.TOPK_SQL, "op10_chat_formatting": chat.CHAT_SQL, "op11_source_divergence": divergence.DIVERGENCE_SQL}
+    return {"op3_exact_topk": topk.TOPK_SQL, "op10_chat_formatting": chat.CHAT_SQL, "op11_source_divergence": divergence.DIVERGENCE_SQL, "op12_centroid_clustering": centroids.CLUSTER_SQL}
