@@ -29,7 +29,7 @@ LONGEST = np.iinfo(np.int64).max
 
 def block_norms(x: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Euclidean norms of each row's blocks."""
-    return np.sqrt((x.astype(float).reshape(len(x), -1, block) ** 2).sum(axis=2))
+    return np.sqrt((x.astype(float).reshape(len(x), x.shape[1] // block, block) ** 2).sum(axis=2))
 
 
 def whole_vectors(vectors: DataFrame, size: int = SIZE, scale: int = SCALE) -> DataFrame:
@@ -103,7 +103,7 @@ class Screen:
 
 def parts(b: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     x, norms = (b.column(b.schema.names.index(k)).flatten().to_numpy() for k in ("x", "norms"))
-    return x.reshape(-1, size), norms.reshape(b.num_rows, -1)
+    return x.reshape(-1, size), norms.reshape(-1, size // BLOCK)
 
 
 def moved(vectors: DataFrame, centroids: list[list[int]]) -> list[list[int]]:

@@ -64,14 +64,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def chunks_of(lang: str, terms: np.ndarray, sources: list[str], n: np.ndarray, docs: np.ndarray, least_docs: int) -> Iterator[tuple]:
-    """Chunks of rows of one language that hold all rows of their terms, sorted by term."""
+def chunks_of(lang: str, terms: np.ndarray, sources: list[str], n: np.ndarray, docs: np.ndarray, least_docs: int, most: int) -> Iterator[tuple]:
+    """Chunks, of `most` terms at most, of rows of one language that hold all rows of their terms, sorted by term."""
     new = np.ones(len(terms), dtype=bool)
     new[1:] = terms[1:] != terms[:-1]
     place = np.cumsum(new) - 1
     kept = terms[new][np.bincount(place, weights=docs) >= least_docs]
-    for lo in range(0, len(kept), CHUNK_TERMS):
-        own = kept[lo : lo + CHUNK_TERMS]
+    for lo in range(0, len(kept), most):
+        own = kept[lo : lo + most]
         ids = np.searchsorted(own, terms)
         mine = np.flatnonzero(own[np.minimum(ids, len(own) - 1)] == terms)
         of = [sources[k] for k in mine]
@@ -102,7 +102,7 @@ def term_chunks(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, langs[1:end] != langs[: end - 1]]) if end else np.array([], dtype=int)
             n, docs, sources = t.column("n").to_numpy(), t.column("docs").to_numpy(), t.column("source").to_pylist()
             for lo, hi in zip(starts, [*starts[1:], end]):
-                for lang, *rest in chunks_of(langs[lo], terms[lo:hi], sources[lo:hi], n[lo:hi], docs[lo:hi], least_docs):
+                for lang, *rest in chunks_of(langs[lo], terms[lo:hi], sources[lo:hi], n[lo:hi], docs[lo:hi], least_docs, CHUNK_TERMS):
                     yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((lang, number, *rest), kinds)], names=names)
                     number += 1
 
@@ -131,11 +131,11 @@ def shares(counts: np.ndarray, totals, terms: int, smooth: int = SMOOTH) -> np.n
     return (1 + out).astype(np.int64)
 
 
-def compared(chunk: dict, names: list[str], totals: np.ndarray, terms: int, top: int) -> Iterator[tuple]:
+def compared(chunk: dict, names: list[str], totals: np.ndarray, terms: int, top: int, cells: int) -> Iterator[tuple]:
     """(source, part, item, value) of a chunk: parts of the distance of each two sources, and the terms that may be among a source's first."""
     place = np.searchsorted(np.array(names, dtype=object), np.array(chunk["sources"], dtype=object)) if chunk["sources"] else np.array([], dtype=int)
     rows, ids, n = place[np.array(chunk["at"], dtype=int)], np.array(chunk["id"], dtype=int), np.array(chunk["n"], dtype=np.int64)
-    size, width = len(names), max(1, CELLS // len(names))
+    size, width = len(names), max(1, cells // len(names))
     first, second = np.triu_indices(size, 1)
     between = np.zeros(len(first), dtype=np.int64)
     for lo in range(0, len(chunk["terms"]), width):
@@ -183,7 +183,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                found = list(compared(row, [g["source"] for g in row["groups"]], np.array([g["n"] for g in row["groups"]], dtype=np.int64), row["kept"], top))
+                found = list(compared(row, [g["source"] for g in row["groups"]], np.array([g["n"] for g in row["groups"]], dtype=np.int64), row["kept"], top, CELLS))
                 if found:
                     source, part, item, value = zip(*found)
                     yield from pa.Table.from_arrays([pa.array([row["lang"]] * len(found)), pa.array(source), pa.array(part), pa.array(item), pa.array(value, pa.int64())], names=names).to_batches(max_chunksize=20_000)
