@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ BLOCK_IDS = 1 << 20
 LEAST_PAIRS, PAIR_ROUNDS, MOST_RULES = 8, 12, 15_000
 #: Buckets that pairs are hashed to before they are counted one by one.
 BUCKETS = 1 << 20
+#: Bytes of texts that are encoded together, or one text.
+SLICE_BYTES = 16 << 20
 #: Texts whose ids a Python worker remembers, of pieces as of words, and characters of those, at most.
 REMEMBERED, LONGEST = 400_000, 64
 #: Characters that the tokenizer's steps change in no way but by lower letters; then its words among those.
@@ -75,13 +79,14 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.wide = "<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+        self.kind = "I" if self.tokenizer.get_vocab_size() > 1 << 16 else "H"
+        self.wide = np.dtype(self.kind)
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {k: shown.pre_tokenize_str(chr(k))[0][0] for k in range(33, 256)}
         self.pieces, self.words = Remembered(self.of_piece), Remembered(self.of_word)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.wide).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def of_word(self, word: str) -> bytes:
         return self.packed([t.id for t in self.model.tokenize(word.translate(self.shown))])
@@ -91,8 +96,29 @@ class Encoder:
             return b"".join(map(self.words.__getitem__, WORD.findall(piece.lower())))
         return self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def of(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))), dtype=self.wide)
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, one text after another, and where each text's ids end. Each distinct piece is looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        found = lists.flatten().dictionary_encode()
+        packed = [self.pieces[p] for p in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        held = np.frombuffer(b"".join(packed), dtype=self.wide)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // held.itemsize
+        codes = found.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = held[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(n.sum())]
+        return ids, np.r_[0, ends][np.cumsum(lists.value_lengths().to_numpy())]
+
+
+def slices(b: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold `most` bytes, or one text."""
+    ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < b.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
 
 
 #: One for each vocabulary that this Python process has met; tasks that run in it one after another share them.
@@ -250,12 +276,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
             return pa.RecordBatch.from_arrays([pa.array([row[k]], kind) for k, kind in zip(names, kinds)], names=names)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.of(text.as_py() or "")
-                held.append((doc, np.concatenate([ids, mark])))
-                size += len(ids) + 1
-                if size >= BLOCK_IDS:
-                    yield out()
+            for part in slices(b, 1):
+                ids, ends = encoder.of(part.column(1))
+                for doc, lo, hi in zip(part.column(0).to_pylist(), np.r_[0, ends], ends):
+                    held.append((doc, np.concatenate([ids[lo:hi], mark])))
+                    size += int(hi - lo) + 1
+                    if size >= BLOCK_IDS:
+                        yield out()
         if held:
             yield out()
 

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,9 +173,9 @@ def test_token_files(spark, tokenizer, monkeypatch, tmp_path, which):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abAB'sStTreRE 0129.,!?-|<>\n\t\r éÉßÆæÿŒœİıΣσς́̈ﬁ你😀ªº×«»  \x1c\x85\x00~")), max_size=40))
 def test_encoder_equals_the_tokenizer(tokenizer, text):
-    own = grammar.encoder_of(WORD_BPE)
-    for t in (text, text + "<|endoftext|>" + text, "We're I'LL'd " + text):
-        assert own.of(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    texts = [text, text + "<|endoftext|>" + text, None, "We're I'LL'd " + text, "", text]
+    ids, ends = grammar.encoder_of(WORD_BPE).of(pa.array(texts, pa.string()))
+    assert [ids[lo:hi].tolist() for lo, hi in zip([0, *ends], ends)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
