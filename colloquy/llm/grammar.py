@@ -39,13 +39,13 @@ END = 1
 #: Ids of a block about (and one document more).
 BLOCK_IDS = 1 << 20
 #: A pair must stand so often in a block to become a rule; rounds of replacing, and rules, of a block at most.
-LEAST_PAIRS, PAIR_ROUNDS, MOST_RULES = 8, 12, 15_000
-#: Buckets that pairs are hashed to before they are counted one by one.
-BUCKETS = 1 << 20
+LEAST_PAIRS, PAIR_ROUNDS, MOST_RULES = 8, 4, 15_000
+#: Buckets by which a round looks its pairs up.
+BUCKETS = 1 << 18
 #: Bytes of texts that are encoded together, or one text.
 SLICE_BYTES = 16 << 20
-#: Texts whose ids a Python worker remembers, of pieces as of words, and characters of those, at most.
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces and words whose ids a Python worker remembers, and characters of those, at most.
+PIECES, WORDS, LONGEST = 300_000, 600_000, 64
 #: Characters that the tokenizer's steps change in no way but by lower letters; then its words among those.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -54,15 +54,15 @@ READ = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
 
 
 class Remembered(dict):
-    """What `make` gives for a text, remembered for the first REMEMBERED short texts."""
+    """What `make` gives for a text, remembered for the first `most` short texts."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, text: str) -> bytes:
         out = self.make(text)
-        if len(self) < REMEMBERED and len(text) <= LONGEST:
+        if len(self) < self.most and len(text) <= LONGEST:
             self[text] = out
         return out
 
@@ -83,7 +83,7 @@ class Encoder:
         self.wide = np.dtype(self.kind)
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {k: shown.pre_tokenize_str(chr(k))[0][0] for k in range(33, 256)}
-        self.pieces, self.words = Remembered(self.of_piece), Remembered(self.of_word)
+        self.pieces, self.words = Remembered(self.of_piece, PIECES), Remembered(self.of_word, WORDS)
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -101,13 +101,10 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         found = lists.flatten().dictionary_encode()
         packed = [self.pieces[p] for p in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        held = np.frombuffer(b"".join(packed), dtype=self.wide)
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // held.itemsize
-        codes = found.indices.to_numpy()
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = held[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(n.sum())]
-        return ids, np.r_[0, ends][np.cumsum(lists.value_lengths().to_numpy())]
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // self.wide.itemsize
+        held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes, dtype=np.int64)]), pa.array(np.frombuffer(b"".join(packed), dtype=self.wide)))
+        ends = np.r_[0, np.cumsum(sizes[found.indices.to_numpy()], dtype=np.int64)]
+        return held.take(found.indices).flatten().to_numpy(), ends[np.cumsum(lists.value_lengths().to_numpy())]
 
 
 def slices(b: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -132,15 +129,18 @@ def encoder_of(path: str) -> Encoder:
 
 
 def frequent_pairs(key: np.ndarray, least: int) -> np.ndarray:
-    """The keys that occur `least` times or more, the most frequent first. Hashed buckets rule most keys out before the rest are sorted."""
-    bucket = ((key * key.dtype.type(0x9E3779B1)) >> key.dtype.type(7) & key.dtype.type(BUCKETS - 1)).astype(np.int64)
-    rest = np.sort(key[(np.bincount(bucket, minlength=BUCKETS) >= least)[bucket]])
-    begins = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]]) if len(rest) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.r_[begins, len(rest)])
-    found, n = rest[begins[n >= least]], n[n >= least]
+    """The keys that occur `least` times or more, the most frequent first."""
+    key = np.sort(key)
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.r_[begins, len(key)])
+    found, n = key[begins[n >= least]], n[n >= least]
     return found[np.argsort(-n, kind="stable")]
 
 
+def bucket(key: np.ndarray) -> np.ndarray:
+    return (key * key.dtype.type(0x9E3779B1)) >> key.dtype.type(10) & key.dtype.type(BUCKETS - 1)
+
+
 def repair(ids: np.ndarray, base: int, end: int = END, least: int = LEAST_PAIRS, rounds: int = PAIR_ROUNDS, most: int = MOST_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, lengths): frequent pairs replaced by new symbols, round after round, until no pair is frequent or a bound is reached.
 
@@ -176,12 +176,14 @@ def repair(ids: np.ndarray, base: int, end: int = END, least: int = LEAST_PAIRS,
                     break
         if not chosen:
             break
-        wanted = np.sort(np.array(chosen, dtype=pair_of))
-        # whether a symbol may begin and end a chosen pair rules most places out before keys are searched
-        maybe = np.flatnonzero(inner & begins[left] & finishes[right])
-        place = np.minimum(np.searchsorted(wanted, key[maybe]), len(wanted) - 1)
-        hit = wanted[place] == key[maybe]
-        where, place = maybe[hit], place[hit]
+        wanted = np.array(chosen, dtype=pair_of)
+        slot = np.zeros(BUCKETS, dtype=np.int32)
+        slot[bucket(wanted)[::-1]] = np.arange(len(wanted))[::-1]  # of pairs that meet in a bucket the most frequent is taken, the others wait
+        wanted = wanted[slot[bucket(wanted)] == np.arange(len(wanted))]
+        slot[bucket(wanted)] = np.arange(len(wanted))
+        place = slot[bucket(key)]
+        where = np.flatnonzero(inner & (wanted[place] == key))
+        place = place[where]
         seq[where] = base + len(rules) + place
         stay = np.ones(len(seq), dtype=bool)
         stay[where + 1] = False
