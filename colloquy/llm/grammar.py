@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -46,34 +46,20 @@ BUCKETS = 1 << 18
 SLICE_BYTES = 16 << 20
 #: Pieces and words whose ids a Python worker remembers, and characters of those, at most.
 PIECES, WORDS, LONGEST = 300_000, 600_000, 64
-#: Characters that the tokenizer's steps change in no way but by lower letters; then its words among those.
+#: Characters that the tokenizer's steps change in no way but by lower letters; then its words among those, and spaces.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+WORD = re.compile("[a-zß-öø-ÿ]+|[0-9]| |'(?:s|t|re|ve|m|ll|d)|[^ a-zß-öø-ÿ0-9]+")
 BLOCKS = "shard long, block long, before long, n_ids long, base long, width int, rules binary, lengths binary, sequence binary, doc_ids array<long>, symbols array<long>"
 READ = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
 
 
-class Remembered(dict):
-    """What `make` gives for a text, remembered for the first `most` short texts."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, text: str) -> bytes:
-        out = self.make(text)
-        if len(self) < self.most and len(text) <= LONGEST:
-            self[text] = out
-        return out
-
-
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, in less time.
 
     The tokenizer composes characters, turns white space into spaces, lowers letters, splits words and drops spaces, so
     pieces between spaces and line feeds may be encoded on their own. A piece of PLAIN characters changes by nothing
     but lower letters; one pattern splits it into words, which the tokenizer's model encodes. Any other goes through the
-    tokenizer as it stands.
+    tokenizer as it stands. Ids are held as bytes; the first pieces and words that are met are remembered.
     """
 
     def __init__(self, path: str):
@@ -83,24 +69,52 @@ class Encoder:
         self.wide = np.dtype(self.kind)
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {k: shown.pre_tokenize_str(chr(k))[0][0] for k in range(33, 256)}
-        self.pieces, self.words = Remembered(self.of_piece, PIECES), Remembered(self.of_word, WORDS)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {" ": b""}
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
-    def of_word(self, word: str) -> bytes:
-        return self.packed([t.id for t in self.model.tokenize(word.translate(self.shown))])
+    def of_words(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.words.get, words))
+        for k, found in enumerate(out):
+            if found is None:
+                word = words[k]
+                out[k] = self.packed([t.id for t in self.model.tokenize(word.translate(self.shown))])
+                if len(self.words) < WORDS and len(word) <= LONGEST:
+                    self.words[word] = out[k]
+        return out
 
-    def of_piece(self, piece: str) -> bytes:
-        if PLAIN.fullmatch(piece) and "<|" not in piece:
-            return b"".join(map(self.words.__getitem__, WORD.findall(piece.lower())))
-        return self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+    def of_plain(self, pieces: list[str]) -> list[bytes]:
+        """What PLAIN pieces give, split together: a space ends each."""
+        words = WORD.findall(" ".join(pieces).lower())
+        found = self.of_words(words)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        cuts = np.flatnonzero(np.fromiter((w == " " for w in words), bool, len(words)))
+        whole, at = b"".join(found), [0, *ends[cuts].tolist(), int(ends[-1]) if len(ends) else 0]
+        return [whole[lo:hi] for lo, hi in zip(at, at[1:])]
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.pieces.get, pieces))
+        new = [k for k, found in enumerate(out) if found is None]
+        plain = [k for k in new if PLAIN.fullmatch(pieces[k]) and "<|" not in pieces[k]]
+        for k in set(new).difference(plain):
+            out[k] = self.packed(self.tokenizer.encode(pieces[k], add_special_tokens=False).ids)
+        if plain:
+            for k, found in zip(plain, self.of_plain([pieces[k] for k in plain])):
+                out[k] = found
+        for k in new:
+            if len(self.pieces) >= PIECES:
+                break
+            if len(pieces[k]) <= LONGEST:
+                self.pieces[pieces[k]] = out[k]
+        return out
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, one text after another, and where each text's ids end. Each distinct piece is looked up once."""
         lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         found = lists.flatten().dictionary_encode()
-        packed = [self.pieces[p] for p in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        packed = self.of_pieces(found.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // self.wide.itemsize
         held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes, dtype=np.int64)]), pa.array(np.frombuffer(b"".join(packed), dtype=self.wide)))
         ends = np.r_[0, np.cumsum(sizes[found.indices.to_numpy()], dtype=np.int64)]
@@ -202,34 +216,26 @@ class Grammar:
     def __init__(self, block: dict):
         kind = "<u2" if block["width"] == 2 else "<u4"
         self.base = block["base"]
-        self.sequence = np.frombuffer(block["sequence"], dtype=kind).astype(np.int64)
+        self.sequence = np.frombuffer(block["sequence"], dtype=kind)
         rules = np.frombuffer(block["rules"], dtype=kind).reshape(-1, 2).tolist()
-        self.lengths = np.frombuffer(block["lengths"], dtype="<u4").astype(np.int64)
+        lengths = np.frombuffer(block["lengths"], dtype="<u4").astype(np.int64)
         own: list[np.ndarray] = []
-        part = lambda s: np.array([s], dtype=np.int64) if s < self.base else own[s - self.base]
+        part = lambda s: np.array([s], dtype="<u4") if s < self.base else own[s - self.base]
         for a, b in rules:
             own.append(np.concatenate([part(a), part(b)]))
-        self.ids = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
-        self.offset = np.cumsum(self.lengths) - self.lengths
+        #: Token ids as they are, then what each rule stands for; where each symbol's are, and how many.
+        self.ids = np.concatenate([np.arange(self.base, dtype="<u4"), *own])
+        self.offset = np.r_[np.arange(self.base), self.base + np.cumsum(lengths) - lengths].astype(np.int32)
+        self.sizes = np.r_[np.ones(self.base, dtype=np.int32), lengths.astype(np.int32)]
         #: Ids before each symbol of the sequence, and all of them.
-        self.starts = np.r_[0, np.cumsum(self.sizes(self.sequence))]
-
-    def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), dtype=np.int64)
-        ruled = symbols >= self.base
-        out[ruled] = self.lengths[symbols[ruled] - self.base]
-        return out
+        self.starts = np.r_[0, np.cumsum(self.sizes[self.sequence], dtype=np.int64)]
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = self.sizes(symbols)
-        begins = np.cumsum(sizes) - sizes
-        out = np.zeros(int(sizes.sum()), dtype=np.int64)
-        ruled = symbols >= self.base
-        out[begins[~ruled]] = symbols[~ruled]
-        n = sizes[ruled]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(begins[ruled], n) + within] = self.ids[np.repeat(self.offset[symbols[ruled] - self.base], n) + within]
-        return out
+        sizes = self.sizes[symbols]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(self.offset[symbols] - ends + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at]
 
     def between(self, lo: int, hi: int) -> np.ndarray:
         """The ids at lo to hi; only the symbols that hold them are expanded."""
@@ -313,7 +319,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 g = Grammar(row)
-                ids = g.expanded(g.sequence).astype("<u4")
+                ids = g.expanded(g.sequence)
                 cuts = g.starts[np.r_[0, np.cumsum(row["symbols"])]]
                 crcs = [zlib.crc32(ids[lo:hi].tobytes()) for lo, hi in zip(cuts[:-1], cuts[1:])]
                 cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(len(crcs), row["shard"])), pa.array(row["before"] + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(crcs, pa.int64())]

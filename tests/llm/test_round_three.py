@@ -193,6 +193,6 @@ def test_grammar_gives_the_ids_back(docs, base):
 
 
 def test_frequent_pairs_become_rules():
-    seq, rules, lengths = grammar.repair(np.array([7, 8, 9] * 100 + [5] * 33 + [1]), 10, least=2, most=100)
+    seq, rules, lengths = grammar.repair(np.array([7, 8, 9] * 100 + [5] * 33 + [1]), 10, least=2, rounds=12, most=100)
     assert len(seq) < 20 and lengths.max() >= 32 and rules[0].tolist() in ([7, 8], [5, 5])
     assert not any(len(x) for x in grammar.repair(np.array([], dtype=int), 10)[1:])
