@@ -45,7 +45,7 @@ BUCKETS = 1 << 18
 #: Bytes of texts that are encoded together, or one text.
 SLICE_BYTES = 16 << 20
 #: Pieces and words whose ids a Python worker remembers, and characters of those, at most.
-PIECES, WORDS, LONGEST = 300_000, 600_000, 64
+PIECES, WORDS, LONGEST = 200_000, 700_000, 64
 #: Characters that the tokenizer's steps change in no way but by lower letters; then its words among those, and spaces.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 WORD = re.compile("[a-zß-öø-ÿ]+|[0-9]| |'(?:s|t|re|ve|m|ll|d)|[^ a-zß-öø-ÿ0-9]+")
@@ -53,6 +53,10 @@ BLOCKS = "shard long, block long, before long, n_ids long, base long, width int,
 READ = "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"
 
 
+def is_plain(text: str) -> bool:
+    return bool(PLAIN.fullmatch(text)) and "<|" not in text
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, in less time.
 
@@ -80,7 +84,7 @@ class Encoder:
         for k, found in enumerate(out):
             if found is None:
                 word = words[k]
-                out[k] = self.packed([t.id for t in self.model.tokenize(word.translate(self.shown))])
+                out[k] = self.packed([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.shown))])
                 if len(self.words) < WORDS and len(word) <= LONGEST:
                     self.words[word] = out[k]
         return out
@@ -97,9 +101,11 @@ class Encoder:
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
         out = list(map(self.pieces.get, pieces))
         new = [k for k, found in enumerate(out) if found is None]
-        plain = [k for k in new if PLAIN.fullmatch(pieces[k]) and "<|" not in pieces[k]]
-        for k in set(new).difference(plain):
-            out[k] = self.packed(self.tokenizer.encode(pieces[k], add_special_tokens=False).ids)
+        plain = new
+        if not is_plain("".join(pieces[k] for k in new)):
+            plain = [k for k in new if is_plain(pieces[k])]
+            for k in set(new).difference(plain):
+                out[k] = self.packed(self.tokenizer.encode(pieces[k], add_special_tokens=False).ids)
         if plain:
             for k, found in zip(plain, self.of_plain([pieces[k] for k in plain])):
                 out[k] = found
