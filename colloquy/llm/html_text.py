@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,6 +54,12 @@ SAYS = {
 WORDS = {w: k for k, ws in enumerate(SAYS.values()) for w in ws}
 KINDS = len(SAYS)
 MAIN = list(SAYS).index("main")
+#: Bins that the tokens of names are hashed to, and what an element without names says.
+BINS = 24
+NONE = (0,) * KINDS, 0
+#: Characters, but for spaces and links, that a block holds itself at least to count as prose.
+PROSE = 60
+MAIN_TAGS = frozenset("article main h1".split())
 TAGS = ["article main", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu dir", "li dd dt", "div center section", "nav", "header hgroup", "footer", "aside", "form fieldset legend", "table tbody thead tfoot tr", "td th caption", "blockquote pre figure figcaption", "details dialog summary address"]
 TAG = {t: k for k, ts in enumerate(TAGS) for t in ts.split()}
 OUTER = {"nav": 0, "footer": 3, "aside": 4, "form": 7, "header": 8, "dialog": 5, "article": MAIN, "main": MAIN}
@@ -61,30 +68,32 @@ OUTER = {"nav": 0, "footer": 3, "aside": 4, "form": 7, "header": 8, "dialog": 5,
 class Node:
     """A block, or an inline element that has a telling name or is none of HTML's own; nth: its place among its siblings."""
 
-    __slots__ = ("tag", "parent", "depth", "says", "items", "text", "own", "link", "tags", "stops", "kids", "at", "row", "nth", "block")
+    __slots__ = ("tag", "parent", "depth", "says", "items", "text", "own", "link", "tags", "stops", "prose", "runs", "first", "bins", "kids", "at", "row", "nth", "block")
 
-    def __init__(self, tag: str, parent: Node | None, says: tuple, at: int, block: bool = True):
-        self.tag, self.parent, self.says, self.at, self.block = tag, parent, says, at, block
+    def __init__(self, tag: str, parent: Node | None, told: tuple, at: int, block: bool = True):
+        self.tag, self.parent, (self.says, self.bins), self.at, self.block = tag, parent, told, at, block
         self.nth = len(parent.kids) if parent else 0
         self.depth = parent.depth + 1 if parent else 0
         self.items: list = []
         self.kids: list[Node] = []
-        self.text = self.own = self.link = self.tags = self.stops = 0
+        self.text = self.own = self.link = self.tags = self.stops = self.prose = self.runs = 0
+        self.first = tag in MAIN_TAGS
         self.row = -1
 
 
 def says(attributes: str, memo: dict = {}) -> tuple:  # noqa: B006
-    """How many tokens of an element's names are of each kind."""
+    """How many tokens of an element's names are of each kind, and the bins that all its tokens are hashed to, as bits."""
     found = memo.get(attributes)
     if found is None:
-        counts = [0] * KINDS
+        counts, bins = [0] * KINDS, 0
         for m in ATTRIBUTE.finditer(attributes):
             for w in TOKENS.findall(m[1] or m[2] or m[3] or ""):
                 if (k := WORDS.get(w.lower())) is not None:
                     counts[k] += 1
+                bins |= 1 << zlib.crc32(w.lower().encode()) % BINS
         if len(memo) > 10_000:
             memo.clear()
-        found = memo[attributes] = tuple(counts)
+        found = memo[attributes] = tuple(counts), bins
     return found
 
 
@@ -95,7 +104,7 @@ def parse(page: str) -> Node:
     with its parent at the latest, and at the next block if it has no end tag. A head ends where something stands that
     can't be in one.
     """
-    root = Node("html", None, (0,) * KINDS, 0)
+    root = Node("html", None, NONE, 0)
     stack: list[tuple[str, Node | None]] = [("html", root)]  # open elements, and the block that text in them belongs to
     links = 0
     drop, loose = 0, False  # where the outermost dropped element but a head stands, and whether it lacks an end tag
@@ -163,9 +172,9 @@ def parse(page: str) -> Node:
                 if name in SAME:
                     links = closed(stack, *SAME[name], links)
                 node = stack[-1][1]
-                block, told = name in BLOCKS, says(m[2]) if m[2] else (0,) * KINDS
+                block, told = name in BLOCKS, says(m[2]) if m[2] else NONE
                 links += name == "a"
-                if block or any(told) or "-" in name or name == "ins":
+                if block or any(told[0]) or "-" in name or name == "ins":
                     kid = Node(name, node, told, m.start(), block)
                     node.items.append(kid)
                     node.kids.append(kid)
@@ -219,6 +228,9 @@ def in_order(root: Node) -> list[Node]:
         todo.extend(reversed(n.kids))
     for n in reversed(out):
         n.text += n.own
+        if (said := n.own - min(n.own, n.link)) >= PROSE:
+            n.prose += said
+            n.runs += 1
         n.tags += 1
         if n.parent:
             p = n.parent
@@ -226,29 +238,44 @@ def in_order(root: Node) -> list[Node]:
             p.link += n.link
             p.tags += n.tags
             p.stops += n.stops
+            p.prose += n.prose
+            p.runs += n.runs
+            p.first |= n.first
     return out
 
 
 def node_features(nodes: list[Node], size: int) -> np.ndarray:
-    """Subtree densities, names, depth and siblings of each node, and the names of what stands around it."""
-    whole = nodes[0].text + 1
+    """Subtree densities, names, depth and siblings of each node, and the names of what stands around it.
+
+    Names around it are counted twice: of all it stands in, and of what holds less than half the page's prose. A wrapper
+    of most of the page says little about a part of it.
+    """
+    whole, prose = nodes[0].text + 1, nodes[0].prose + 1
     rows = []
-    outer: list[tuple] = []
+    outer: list[tuple[tuple, tuple]] = []
+    top = next((n.at for n in nodes if n.tag == "h1"), -1)
+    # the innermost article or main element that holds most of the prose, and what stands in it
+    core = next((n for n in reversed(nodes) if n.tag in ("article", "main") and n.prose * 2 >= prose), None)
+    inside: list[bool] = []
     for n in nodes:
-        above = outer[n.parent.row] if n.parent else (0,) * KINDS
+        inside.append(n is core or bool(n.parent and inside[n.parent.row]))
+        above, near = outer[n.parent.row] if n.parent else (NONE[0], NONE[0])
         mine = list(n.says)
         if (k := OUTER.get(n.tag)) is not None:
             mine[k] += 1
-        outer.append(tuple(a + (b > 0) for a, b in zip(above, mine)))
+        told = tuple(a + (b > 0) for a, b in zip(above, mine))
+        outer.append((told, near if n.prose * 2 >= prose else tuple(a + (b > 0) for a, b in zip(near, mine))))
         kin = n.parent.kids if n.parent else [n]
         at = n.nth
-        before, after = (kin[at - 1].text if at else 0), (kin[at + 1].text if at + 1 < len(kin) else 0)
+        before, after = (kin[at - 1] if at else None), (kin[at + 1] if at + 1 < len(kin) else None)
         links = n.link / (n.text + 1)
         t, over = TAG.get(n.tag, -1), n.parent or n
         rows.append((
-            n.depth, n.text, n.own, links, n.text / n.tags, len(n.kids), at / len(kin), len(kin), n.text / (over.text + 1), before, after,
+            n.depth, n.text, n.own, links, n.text / n.tags, len(n.kids), at / len(kin), len(kin), n.text / (over.text + 1), before.text if before else 0, after.text if after else 0,
             n.text / whole, n.stops / (n.text + 20), n.at / size, TAG.get(over.tag, -1) if n.parent else -2, n.block,
-            *(t == k for k in range(len(TAGS))), *n.says, *above, sum(mine) - mine[MAIN], sum(above) - above[MAIN],
+            n.prose / prose, n.prose / (n.text + 1), n.runs, over.prose / prose, over.runs, over.link / (over.text + 1), n.first, n.at > top >= 0, core is not None, inside[-1], core is not None and n.row <= core.row and n.prose >= core.prose,
+            before.tag == n.tag if before else -1, after.tag == n.tag if after else -1, before.prose > 0 if before else -1, after.prose > 0 if after else -1,
+            *(t == k for k in range(len(TAGS))), *n.says, *above, sum(mine) - mine[MAIN], sum(above) - above[MAIN], *near, sum(near) - near[MAIN], *(n.bins >> k & 1 for k in range(BINS)),
         ))
     x = np.array(rows, dtype=float)
     for k in (1, 2, 4, 9, 10):
@@ -256,6 +283,19 @@ def node_features(nodes: list[Node], size: int) -> np.ndarray:
     return x
 
 
+def agreed(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+    """Odds of which blocks of prose that stand in one block, with one tag and the same names, have the mean: the last paragraph of an article is judged as the others are."""
+    groups: dict[tuple, list[int]] = {}
+    for n in nodes:
+        if n.parent and n.own - min(n.own, n.link) >= PROSE:
+            groups.setdefault((n.parent.row, n.tag, n.says, n.bins), []).append(n.row)
+    out = np.array(odds)
+    for rows in groups.values():
+        if len(rows) > 1:
+            out[rows] = odds[rows].mean()
+    return out
+
+
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     """Which nodes stay: the likeliest choice in which whatever stands below a dropped node is dropped."""
     keep_log, drop_log = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
@@ -290,7 +330,7 @@ def text_of(root: Node, stays: np.ndarray) -> str:
 # --- pages to learn from -------------------------------------------------------------------------------------------
 
 #: Pages that are made up for the trees to learn from.
-PAGES, TREES = 1000, 60
+PAGES, TREES = 1500, 100
 PAGE = re.compile(r"\x01(/?)")
 
 
@@ -301,13 +341,19 @@ def made_up_page(rng: random.Random) -> str:
     some = lambda lo, hi: " ".join(word() for _ in range(rng.randint(lo, hi)))
     sentence = lambda: some(2, 18).capitalize() + rng.choice([".", ".", ".", ",", "!", ""])
     prose = lambda lo=1, hi=8: " ".join(sentence() for _ in range(rng.randint(lo, hi)))
-    telling = rng.choice([0.4, 0.8, 1.0])  # share of a page's names that say what they name
+    telling = rng.choice([0.0, 0.4, 0.8, 1.0])  # share of a page's names that say what they name
 
     def name(kind: str) -> str:
         own = rng.choice(SAYS[kind]) if rng.random() < telling else word()
         return f' {rng.choice(["class", "class", "id", "role"])}="{rng.choice([word() + " ", "", "", "site-", "the_"])}{own}{rng.choice(["", "", "-box", " " + word(), "-1", "Wrap"])}"'
 
     plain = lambda: rng.choice(["", "", f' class="{word()}"', f' id="{word()}"'])
+    told = lambda: rng.choice(SAYS[rng.choice([k for k in SAYS if k != "main"])])
+
+    def wrapping() -> str:
+        """Names of what holds the main text, of which some token says something else."""
+        own = rng.choice([rng.choice(SAYS["main"]), word(), word()])
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(["{0} {2}-{1}", "{2}-{1} {0}", "{0} {1}", "{0}-{1}-{3}", "{1}-{0}", "{0} {2}-{1} {2}-{4}", "{2}_{1}"]).format(own, told(), rng.choice(["with", "has", "no", word()]), rng.choice(SAYS["main"]), told())}"'
     link = lambda n=3: f'<a href="/{word()}">{some(1, n)}</a>'
     items = lambda n=3: "".join(f"<li>{link(n)}</li>" if rng.random() < 0.9 else f"<li>{link(n)}" for _ in range(rng.randint(2, 9)))
     box = lambda kind, inner: f"<{(t := rng.choice(['div', 'div', 'section', 'p' if '<' not in inner else 'div']))}{name(kind)}>{inner}</{t}>"
@@ -317,7 +363,7 @@ def made_up_page(rng: random.Random) -> str:
         return rng.choice([lambda: f"<nav{plain()}><ul>{items()}</ul></nav>", lambda: f"<ul{name('menu')}>{items()}</ul>", lambda: box("menu", " | ".join(link() for _ in range(5))), lambda: f"<header{plain()}><h1>{some(1, 4)}</h1><nav>{items()}</nav></header>"])()
 
     def head() -> str:
-        return rng.choice([lambda: f"<header{plain()}><h2>{some(1, 4)}</h2><p>{prose(1, 2)}</p></header>", lambda: f"<header>{some(1, 6)}</header>", lambda: f"<div{name('head')}><p>{some(1, 7)}</p></div>"])()
+        return rng.choice([lambda: f"<header{plain()}><h2>{some(1, 4)}</h2><p>{prose(1, 2)}</p></header>", lambda: f"<header>{some(1, 6)}</header>", lambda: f"<header{plain()}><h1>{rng.choice([some(1, 4), link()])}</h1></header>", lambda: f"<div{name('head')}><p>{some(1, 7)}</p></div>"])()
 
     def advert() -> str:
         inline = rng.choice(["ins", "span", f"{word()}-{word()}", "a"])
@@ -334,7 +380,7 @@ def made_up_page(rng: random.Random) -> str:
         return rng.choice([lambda: f"<form{plain()} action=/x>{inner}</form>", lambda: f"<form>{sentence()}{rng.choice(['', para()])}</form>", lambda: box("form", f"<form>{inner}</form>"), lambda: box("form", para())])()
 
     def comments() -> str:
-        each = [f"<{(t := rng.choice(['div', 'li', 'article', 'p']))}{name('comment') if rng.random() < 0.6 else plain()}>{rng.choice(['', '<b>' + word() + '</b> '])}{prose(1, 6) if t == 'p' else para()}</{t}>" for _ in range(rng.randint(1, 6))]
+        each = [f"<{(t := rng.choice(['div', 'li', 'article', 'p']))}{name('comment') if rng.random() < 0.6 else plain()}>{rng.choice(['', '<b>' + word() + '</b> '])}{prose(1, 6) if t == 'p' else para()}</{t}>" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 14]))]
         return rng.choice(["<section{n}>{h}{c}</section>", "<div{n}>{h}{c}</div>", "<ol{n}>{c}</ol>"]).format(n=name("comment"), h=rng.choice(["", f"<h3>{some(1, 3)}</h3>"]), c="".join(each))
 
     def share() -> str:
@@ -381,7 +427,8 @@ def made_up_page(rng: random.Random) -> str:
         main += rng.choice([comments, share, form, advert])()
     main = rng.choice([
         lambda: f"<article{plain()}>{main}</article>", lambda: f"<article{name('main')}>{main}</article>", lambda: f"<main{plain()}>{main}</main>", lambda: f"<main><article>{main}</article></main>", lambda: f"<div{name('main')}>{main}</div>",
-        lambda: f"<div{name('main')}><div{plain()}>{main}</div></div>", lambda: f"<section{name('main')}>{main}</section>", lambda: f"<table><tr><td>{main}</td></tr></table>", lambda: f"<div{plain()}>{main}</div>", lambda: main,
+        lambda: f"<div{name('main')}><div{plain()}>{main}</div></div>", lambda: f"<section{name('main')}>{main}</section>", lambda: f"<table><tr><td>{main}</td></tr></table>", lambda: f"<div{plain()}>{main}</div>", lambda: f"<section>{main}</section>", lambda: main,
+        lambda: f"<div{wrapping()}>{main}</div>", lambda: f"<div{wrapping()}><article{plain()}>{main}</article></div>", lambda: f"<section{wrapping()}><div{rng.choice([plain, wrapping])()}>{main}</div></section>",
     ])()
     early = [f() for f in (menu, head, advert, notice, form, side) if rng.random() < 0.4]
     late = [f() for f in (side, advert, comments, share, form, notice, menu) if rng.random() < 0.3]
@@ -389,9 +436,11 @@ def made_up_page(rng: random.Random) -> str:
     rng.shuffle(late)
     if rng.random() < 0.12:
         early, late = [], []
-    page = "".join(early) + main + "".join(late) + (foot() if rng.random() < 0.8 and (early or late) else "")
-    if rng.random() < 0.4:
-        page = f"<div{rng.choice([plain(), ' class=\"page\"', ' id=\"wrapper\"', ' class=\"container\"'])}>{page}</div>"
+    if rng.random() < 0.25:
+        late = []
+    page = "".join(early) + main + "".join(late) + (foot() if rng.random() < 0.6 and (early or late) else "")
+    if rng.random() < 0.5:
+        page = f"<div{rng.choice([plain(), wrapping(), ' class=\"page\"', ' id=\"wrapper\"', ' class=\"container\"'])}>{page}</div>"
     return f"<!DOCTYPE html><html><head><title>{some(1, 5)}</title><style>p{{x:y}}</style></head><body>{page}</body></html>"
 
 
@@ -433,7 +482,7 @@ def extracted(pages: list[str], model: trees.BoostedTrees) -> list[str]:
     x = [node_features(nodes, len(p) + 1) for nodes, p in zip(found, pages)]
     odds = model.log_odds(np.concatenate(x)) if x else np.zeros(0)
     ends = np.cumsum([len(n) for n in found])
-    return [text_of(nodes[0], decode(nodes, odds[hi - len(nodes) : hi])) for nodes, hi in zip(found, ends)]
+    return [text_of(nodes[0], decode(nodes, agreed(nodes, odds[hi - len(nodes) : hi]))) for nodes, hi in zip(found, ends)]
 
 
 def extract(pages: DataFrame, model: trees.BoostedTrees | None = None) -> DataFrame:

@@ -34,14 +34,16 @@ class BoostedTrees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0, least: float = 5.0) -> BoostedTrees:
-    """Newton boosting of the logistic loss; splits by histograms, the first of equally good ones wins."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0, least: float = 5.0, share: float = 0.5) -> BoostedTrees:
+    """Newton boosting of the logistic loss; splits by histograms, the first of equally good ones wins. Each tree sees a share of the features."""
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     model = BoostedTrees(cuts, [], float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))))
     b = model.binned(x).astype(np.int64)
     width = max(len(c) for c in cuts) + 1
     score = np.full(len(y), model.base)
+    told, rng = [k for k in range(x.shape[1]) if len(cuts[k]) > 1 or (x[:, k] != x[0, k]).any()], np.random.default_rng(0)
     for _ in range(trees):
+        seen = np.sort(rng.permutation(told)[: max(1, int(share * len(told)))])
         p = sigmoid(score)
         g, h = p - y, p * (1 - p)
         at = np.zeros(len(y), dtype=np.int64)
@@ -49,7 +51,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         for level in range(depth):
             n, first = 2**level, 2**level - 1
             best = np.full(n, 1e-6)
-            for k in range(x.shape[1]):
+            for k in seen:
                 key = (at - first) * width + b[:, k]
                 gs = np.bincount(key, weights=g, minlength=n * width).reshape(n, width).cumsum(axis=1)
                 hs = np.bincount(key, weights=h, minlength=n * width).reshape(n, width).cumsum(axis=1)

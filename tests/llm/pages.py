@@ -100,7 +100,26 @@ def bare(m):
     return f"<h1>{m.keep(title)}</h1>{m.paragraphs(6)}<hr><p><small><a href='/'>Home</a> <a href='/next'>Next</a></small></p>"
 
 
-LAYOUTS = [blog, encyclopedia, news, table_layout, docs_site, recipe, forum_post, bare]
+def misleading(m):
+    """Wrappers whose names speak of what else is on the page."""
+    title, names = m.title(), m.rng.choice([("content with-sidebar", "entry has-comments"), ("post-comment-text", "text"), ("layout no-footer cookie-banner-shown", "page-with-ads"), ("search-result-page story", "share-enabled"), ("nav-open main", "related-off copy")])
+    side = f'<div class="{m.rng.choice(["rail", "extra-col"])}"><h4>Also</h4><ul>{m.links(6)}</ul></div>'
+    return f'<nav><ul>{m.links(6)}</ul></nav><div class="{names[0]}"><div class="{names[1]}"><h1>{m.keep(title)}</h1>{m.paragraphs(6)}</div>{side}</div><footer>Copyright. Terms of use.</footer>'
+
+
+def nameless(m):
+    """Nothing has a name, and the last paragraph ends the page."""
+    return f"<ul>{m.links(7)}</ul><div>{m.paragraphs(m.rng.randint(2, 9))}</div>"
+
+
+def german(m):
+    """Names in another language; the last block ends the page, or a foot does."""
+    title = m.title()
+    foot = m.rng.choice(["", '<div class="fusszeile">Impressum und Datenschutz</div>'])
+    return f'<div class="kopfzeile"><ul class="hauptmenue">{m.links(6)}</ul></div><div class="seitenleiste"><ul>{m.links(8)}</ul></div><div class="inhalt"><h1>{m.keep(title)}</h1>{m.paragraphs(5)}</div>{foot}'
+
+
+LAYOUTS = [misleading, nameless, german, blog, encyclopedia, news, table_layout, docs_site, recipe, forum_post, bare]
 
 
 def page(layout, seed):
