@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIT_ROWS, crc_mod, in_order, labelled_sample, logistic, scored, sigmoid
+from .common import FIT_ROWS, crc_mod, free_names, in_order, labelled_sample, logistic, scored, sigmoid
 
 #: Bytes that are compressed on their own, so that the dictionaries bear on every part of a long text.
 SEGMENT = 1024
@@ -93,8 +93,8 @@ def fit(rows: Iterable[tuple[str, int]], n: int, prior: float | None = None, mos
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> DataFrame:
-    """The documents with `score`, the calibrated chance that a text is good.
+def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS, column: str = "score") -> DataFrame:
+    """The documents with `score` (or another column), the calibrated chance that a text is good.
 
     Learns from the whole texts of at most `rows` labelled documents that `learn` (a condition on doc_id) allows; scores
     whole texts. A null text scores as the empty one; repeated rows are all scored, alike;
@@ -105,7 +105,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = F
     share = labels.where(F.col("quality").isin(0, 1) & learn).agg(F.avg("quality")).first()[0]
     sample = labelled_sample(docs, labels, "quality", learn, rows)
     model = fit(in_order(sample), sample.count(), min(max(share, 0.01), 0.99) if share is not None else None)
-    return scored(docs, model.score)
+    return scored(docs, model.score, column)
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,6 +115,6 @@ def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their columns."""
-    names = docs.columns
-    return quality_scores(docs.withColumnsRenamed({"score": "__score"}), labels, crc_mod("doc_id", 5) != 0).where(F.col("score") >= THRESHOLD).drop("score").withColumnsRenamed({"__score": "score"}).select(*names)
+    """The documents that the classifier doesn't reject, with their columns, whatever their names."""
+    (score,) = free_names(docs, "score")
+    return quality_scores(docs, labels, crc_mod("doc_id", 5) != 0, column=score).where(F.col(score) >= THRESHOLD).drop(score)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, spread_join
+from .common import checkpointed, free_names, spread_join
 
 RADIUS = 3
 BLOCKS = 6
@@ -219,10 +219,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     counted = marked.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "n")).alias("first")
     best = with_component(checkpointed(counted.groupBy("fp").agg(first))).groupBy("component").agg(F.min("first").alias("first"))
-    chosen = checkpointed(best.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__chosen"), F.col("first.n").alias("__n")))
-    rows = docs.withColumn("__digest", digest(docs))
-    kept = rows.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__chosen")))
-    again = kept.where(F.col("__n") > 1).dropDuplicates(["doc_id", "__digest"])
+    key, own, wanted, n = free_names(docs, "id", "digest", "chosen", "n")
+    chosen = checkpointed(best.select(F.col("first.doc_id").alias(key), F.col("first.digest").alias(wanted), F.col("first.n").alias(n)))
+    rows = docs.withColumn(own, digest(docs))
+    kept = rows.join(chosen, (F.col("doc_id") == F.col(key)) & (F.col(own) == F.col(wanted)))
+    again = kept.where(F.col(n) > 1).dropDuplicates(["doc_id", own])
     # copies without an id meet before they are joined, so that a common text doesn't fill one task
-    unknown = rows.where(F.col("doc_id").isNull()).dropDuplicates(["__digest"]).join(chosen.where(F.col("__id").isNull()), F.col("__digest") == F.col("__chosen"))
-    return kept.where(F.col("__n") == 1).unionByName(again).unionByName(unknown).select(*docs.columns)
+    unknown = rows.where(F.col("doc_id").isNull()).dropDuplicates([own]).join(chosen.where(F.col(key).isNull()), F.col(own) == F.col(wanted))
+    return kept.where(F.col(n) == 1).unionByName(again).unionByName(unknown).select(*docs.columns)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIT_ROWS, crc_mod, in_order, labelled_sample, scored, sigmoid
+from .common import FIT_ROWS, crc_mod, free_names, in_order, labelled_sample, scored, sigmoid
 
 #: Identity terms that are swapped for each other, by language.
 IDENTITY = {
@@ -160,15 +160,15 @@ def fit(rows: Iterable[tuple[str, int]], fairness: float = 0.2, sparsity: float
     return ToxicityModel({names[k]: float(a) for k, a in zip(own, u) if abs(a) > 1e-6}, float(u[-1]))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS) -> DataFrame:
-    """The documents with `score`, the chance that a text is toxic.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn=None, rows: int = FIT_ROWS, column: str = "score") -> DataFrame:
+    """The documents with `score` (or another column), the chance that a text is toxic.
 
     Learns from the whole texts of at most `rows` labelled documents that `learn` allows; scores whole texts. A null or empty text gets the score of a text without words; repeated rows are all scored, alike;
     with no labels every score is a half; an empty table stays empty; other columns pass unchanged, but for a `score`,
     which is replaced.
     """
     learn = F.lit(True) if learn is None else learn
-    return scored(docs, fit(in_order(labelled_sample(docs, labels, "toxic", learn, rows))).score)
+    return scored(docs, fit(in_order(labelled_sample(docs, labels, "toxic", learn, rows))).score, column)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,6 +178,6 @@ def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their columns."""
-    names = docs.columns
-    return toxicity_scores(docs.withColumnsRenamed({"score": "__score"}), labels, crc_mod("doc_id", 3) != 1).where(F.col("score") < THRESHOLD).drop("score").withColumnsRenamed({"__score": "score"}).select(*names)
+    """The documents that the classifier doesn't reject, with their columns, whatever their names."""
+    (score,) = free_names(docs, "score")
+    return toxicity_scores(docs, labels, crc_mod("doc_id", 3) != 1, column=score).where(F.col(score) < THRESHOLD).drop(score)

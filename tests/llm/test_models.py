@@ -145,6 +145,33 @@ def test_extraction_of_pages_by_other_hands():
     assert np.mean(sum(by.values(), [])) > 0.98 and min(map(np.mean, by.values())) > 0.93
 
 
+@pytest.mark.parametrize("before, wrapper", [
+    ("<nav>{m}</nav>", 'div class="content with-sidebar"><article'), ("", 'div class="content with-sidebar"><article'), ("<nav>{m}</nav>", 'div class="post-comment-text"'),
+    ("{m}", "div"), ('<div class="seitenleiste">{m}</div>', 'div class="inhalt"'), ("<div>{m}</div>", "section"),
+])
+def test_no_paragraph_is_lost(before, wrapper):
+    lines = [f"The {w} near the old bridge was opened after years of debate, and people came from all over the valley to see it." for w in pages.TOPICS[:6]]
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(6)) + "</ul>"
+    page = f"<body>{before.format(m=menu)}<{wrapper}>{''.join(f'<p>{x}</p>' for x in lines)}"
+    assert html_text.extracted([page], html_text.learnt()) == [" ".join(lines)]
+
+
+def test_decoding_equals_enumeration():
+    """The likeliest consistent choice, by trying all of them on small trees."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        parts = "".join(rng.choice(["<div>a", "</div>", "<p>b</p>"], rng.integers(1, 9)))
+        nodes = html_text.in_order(html_text.parse(parts))
+        if len(nodes) > 10:
+            continue
+        odds = rng.normal(0, 3, len(nodes))
+        keep, drop = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+        allowed = lambda c: c[0] and all(c[n.parent.row] or not c[n.row] for n in nodes[1:])
+        choices = [c for k in range(2 ** len(nodes)) if allowed(c := [bool(k >> j & 1) for j in range(len(nodes))])]
+        likely = lambda c: sum(keep[j] if x else drop[j] for j, x in enumerate(c))
+        assert np.isclose(likely(html_text.decode(nodes, odds).tolist()), max(map(likely, choices)))
+
+
 def test_telling_inline_elements_can_go():
     model = html_text.learnt()
     text = " ".join(f"Sentence number {k} of a long article about rivers." for k in range(12))
@@ -304,6 +331,18 @@ def test_pipeline(spark, monkeypatch, rows):
     assert whole <= len(kept) and {r.doc_id for r in pieces} == {r.doc_id for r in kept}
 
 
+def test_stages_take_clashing_columns(spark):
+    """Columns by any name pass through every stage unchanged."""
+    names = ["score", "__score", "_score", "id", "digest", "chosen", "n", "__id", "__n", "__digest", "fp", "component", "place", "text_", "Score_", "__part", "__text", "__label"]
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage, corpus_pipeline.near_duplicate_stage):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+    assert corpus_pipeline.packing_stage(spark, docs, SF).count()
+
+
 def test_pipeline_runs_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = table(spark, "documents")
