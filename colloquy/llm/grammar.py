@@ -43,9 +43,9 @@ LEAST_PAIRS, PAIR_ROUNDS, MOST_RULES = 8, 4, 15_000
 #: Buckets by which a round looks its pairs up.
 BUCKETS = 1 << 18
 #: Bytes of texts that are encoded together, or one text.
-SLICE_BYTES = 16 << 20
-#: Pieces and words whose ids a Python worker remembers about, and bytes or characters of those, at most.
-PIECES, WORDS, LONGEST = 400_000, 800_000, 64
+SLICE_BYTES = 8 << 20
+#: Pieces and words whose ids a Python worker remembers, and characters of those, at most.
+PIECES, WORDS, LONGEST = 150_000, 400_000, 64
 #: Characters that the tokenizer's steps change in no way but by lower letters; then its words among those, and spaces.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 WORD = re.compile("[a-zß-öø-ÿ]+|[0-9]| |'(?:s|t|re|ve|m|ll|d)|[^ a-zß-öø-ÿ0-9]+")
@@ -73,10 +73,8 @@ class Encoder:
         self.wide = np.dtype(self.kind)
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {k: shown.pre_tokenize_str(chr(k))[0][0] for k in range(33, 256)}
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {" ": b""}
-        #: Pieces and their ids, as Arrow arrays, which take a tenth of a dictionary's memory.
-        self.known = pa.array([], pa.string())
-        self.ids = pa.array([], pa.large_list(pa.from_numpy_dtype(self.wide)))
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -100,36 +98,33 @@ class Encoder:
         whole, at = b"".join(found), [0, *ends[cuts].tolist(), int(ends[-1]) if len(ends) else 0]
         return [whole[lo:hi] for lo, hi in zip(at, at[1:])]
 
-    def of_pieces(self, pieces: list[str]) -> pa.LargeListArray:
-        if is_plain("".join(pieces)):
-            out = self.of_plain(pieces) if pieces else []
-        else:
-            out = [b""] * len(pieces)
-            plain = [k for k, p in enumerate(pieces) if is_plain(p)]
-            for k, found in zip(plain, self.of_plain([pieces[k] for k in plain]) if plain else []):
-                out[k] = found
-            for k in set(range(len(pieces))).difference(plain):
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.pieces.get, pieces))
+        new = [k for k, found in enumerate(out) if found is None]
+        plain = new
+        if not is_plain("".join(pieces[k] for k in new)):
+            plain = [k for k in new if is_plain(pieces[k])]
+            for k in set(new).difference(plain):
                 out[k] = self.packed(self.tokenizer.encode(pieces[k], add_special_tokens=False).ids)
-        sizes = np.fromiter(map(len, out), np.int64, len(out)) // self.wide.itemsize
-        return pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(out), dtype=self.wide)))
+        if plain:
+            for k, found in zip(plain, self.of_plain([pieces[k] for k in plain])):
+                out[k] = found
+        for k in new:
+            if len(self.pieces) >= PIECES:
+                break
+            if len(pieces[k]) <= LONGEST:
+                self.pieces[pieces[k]] = out[k]
+        return out
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, one text after another, and where each text's ids end. Each distinct piece is looked up once."""
         lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         found = lists.flatten().dictionary_encode()
-        at = pc.index_in(found.dictionary, value_set=self.known)
-        new = found.dictionary.filter(at.is_null())
-        fresh = self.of_pieces(new.to_numpy(zero_copy_only=False).tolist())
-        held = pa.concat_arrays([self.ids, fresh])
-        at = at.to_numpy(zero_copy_only=False)
-        places = np.where(np.isnan(at), 0, at).astype(np.int64)
-        places[np.isnan(at)] = len(self.known) + np.arange(len(new))
-        codes = places[found.indices.to_numpy()]
-        ends = np.r_[0, np.cumsum(held.value_lengths().to_numpy()[codes])]
-        if len(self.known) < PIECES:
-            short = pc.less_equal(pc.binary_length(new), LONGEST)
-            self.known, self.ids = pa.concat_arrays([self.known, new.filter(short)]), pa.concat_arrays([self.ids, fresh.filter(short)])
-        return held.take(pa.array(codes)).flatten().to_numpy(), ends[np.cumsum(lists.value_lengths().to_numpy())]
+        packed = self.of_pieces(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // self.wide.itemsize
+        held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes, dtype=np.int64)]), pa.array(np.frombuffer(b"".join(packed), dtype=self.wide)))
+        ends = np.r_[0, np.cumsum(sizes[found.indices.to_numpy()], dtype=np.int64)]
+        return held.take(found.indices).flatten().to_numpy(), ends[np.cumsum(lists.value_lengths().to_numpy())]
 
 
 def slices(b: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -190,12 +185,12 @@ def repair(ids: np.ndarray, base: int, end: int = END, least: int = LEAST_PAIRS,
             new = np.r_[True, np.diff(twins) > 1]
             begin = twins[np.maximum.accumulate(np.where(new, np.arange(len(twins)), 0))]
             inner[twins[(twins - begin) % 2 == 1]] = False
-        begins, finishes = np.zeros(base + most, dtype=bool), np.zeros(base + most, dtype=bool)
+        begins, finishes = bytearray(base + most), bytearray(base + most)
         chosen = []
         found = frequent_pairs(key[inner], least)
         for pair, a, b in zip(found.tolist(), (found >> pair_of(half)).tolist(), (found & pair_of((1 << half) - 1)).tolist()):
             if not (finishes[a] or begins[b] or a == b and begins[a]):
-                begins[a] = finishes[b] = True
+                begins[a] = finishes[b] = 1
                 chosen.append(pair)
                 if len(rules) + len(chosen) >= most:
                     break
