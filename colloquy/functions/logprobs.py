@@ -17,10 +17,28 @@ def matching(top: Column, names: list[str]) -> Column:
     return F.filter(top, lambda t: t["token"].isin(*names))
 
 
+def choice_struct(top: Column, n: int = 4) -> Column:
+    """A field for each letter: the log-probability of its first token in the list, null without one. One pass over the list."""
+    none = F.struct(*(F.lit(None).cast("double").alias(c) for c in LETTERS[:n]))
+    return F.aggregate(top, none, lambda s, t: F.struct(*(F.coalesce(s[c], F.when(t["token"].isin(*spellings(c)), t["logprob"].cast("double"))).alias(c) for c in LETTERS[:n])))
+
+
+def struct_map(s: Column, n: int = 4) -> Column:
+    """letter -> value of the fields that aren't null."""
+    return F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("k"), s[c].alias("v")) for c in LETTERS[:n])), lambda p: p["v"].isNotNull()))
+
+
 def choice_logprobs(top: Column, n: int = 4) -> Column:
     """letter -> log-probability of its first token in the list; letters without one are left out."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("k"), F.get(matching(top, spellings(c)), F.lit(0))["logprob"].alias("v")) for c in LETTERS[:n]))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+    return bound(choice_struct(top, n), lambda s: struct_map(s, n))
+
+
+def softmax_struct(s: Column, n: int = 4) -> Column:
+    """The shares of a struct of log-probabilities (a column that is there already) among the letters that are present, by plain arithmetic."""
+    top = F.greatest(*(s[c] for c in LETTERS[:n])) if n > 1 else s["A"]
+    up = {c: F.exp(s[c] - top) for c in LETTERS[:n]}
+    whole = sum((F.coalesce(u, F.lit(0.0)) for u in up.values()), F.lit(0.0))
+    return F.struct(*((u / whole).alias(c) for c, u in up.items()))
 
 
 def choice_probs(top: Column, n: int = 4, digits: bool = False) -> Column:

@@ -27,29 +27,75 @@ def choice_mass(stored: Column, logprobs: Column) -> Column:
     return F.coalesce(stored, F.when(F.size(logprobs) > 0, lp.total(lp.raw_probs(logprobs))))
 
 
-def sample_scores(samples: DataFrame, convention: str) -> DataFrame:
-    """(grp, name, value): the scores of samples by one of four conventions.
+def convention_scores(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, grp, name, value): the scores of samples, each by its own convention (a column), in one pass.
 
     text_trait: value C says that an answer was read; the score is what `mapping` gives for it. logprob_trait and
     logprob_capability: `number` is the score; mass and number of choices come along. text_capability: C is 1, I is 0;
     parsed says whether an answer was read, and recovered counts answers that only a second parser finds. Columns used:
-    trait, mapping, value, answer, target, explanation, number, mass, num_choices.
+    convention, trait, mapping, value, answer, target, explanation, number, mass, num_choices.
     """
     name = lambda n, c: F.struct(F.lit(n).alias("name"), c.cast("double").alias("value"))
-    if convention == "text_trait":
-        read = samples.where((F.col("value") == "C") & F.col("trait").isNotNull())
-        out = read.select(F.col("trait").alias("grp"), F.array(name("score", F.try_element_at("mapping", F.col("answer")))).alias("s"))
-    elif convention in ("logprob_trait", "logprob_capability"):
-        grp = F.col("trait") if convention == "logprob_trait" else F.lit("accuracy")
-        known = samples.where(F.col("number").isNotNull() & ~F.isnan("number")).withColumn("grp", grp).where(F.col("grp").isNotNull())
-        out = known.select("grp", F.array(name("score", F.col("number")), name("mass", F.coalesce("mass", F.lit(1.0))), name("num_choices", F.coalesce("num_choices", F.lit(4)))).alias("s"))
-    elif convention == "text_capability":
-        right, read = F.col("value") == "C", F.coalesce(F.col("answer"), F.lit("")) != ""
-        again = F.when(right, 1.0).when(~read & F.col("target").isNotNull() & (text.parse_choice(F.col("explanation")) == F.col("target")), 1.0).otherwise(0.0)
-        out = samples.where(F.col("value").isin("C", "I")).select(F.lit("accuracy").alias("grp"), F.array(name("score", right), name("parsed", right | read), name("recovered", again)).alias("s"))
-    else:
+    kind, right, read = F.col("convention"), F.col("value") == "C", F.coalesce(F.col("answer"), F.lit("")) != ""
+    again = F.when(right, 1.0).when(~read & (F.coalesce("target", F.lit("")) != "") & (text.parse_choice(F.col("explanation")) == F.col("target")), 1.0).otherwise(0.0)
+    known, told = F.col("number").isNotNull() & ~F.isnan("number"), F.col("trait").isNotNull()
+    scores = (
+        F.when((kind == "text_trait") & right & told, F.array(name("score", F.try_element_at("mapping", F.col("answer")))))
+        .when(kind.isin("logprob_trait", "logprob_capability") & known & (told | (kind == "logprob_capability")), F.array(name("score", F.col("number")), name("mass", F.coalesce("mass", F.lit(1.0))), name("num_choices", F.coalesce("num_choices", F.lit(4)))))
+        .when((kind == "text_capability") & F.col("value").isin("C", "I"), F.array(name("score", right), name("parsed", right | read), name("recovered", again)))
+    )
+    grp = F.when(kind.isin("text_trait", "logprob_trait"), F.col("trait")).otherwise("accuracy")
+    return samples.select(*keys, grp.alias("grp"), F.explode(scores).alias("x")).select(*keys, "grp", "x.name", "x.value").where(F.col("value").isNotNull())
+
+
+def sample_scores(samples: DataFrame, convention: str) -> DataFrame:
+    """(grp, name, value): the scores of samples that all follow one convention."""
+    if convention not in ("text_trait", "logprob_trait", "logprob_capability", "text_capability"):
         raise ValueError(f"unknown convention {convention!r}")
-    return out.select("grp", F.explode("s").alias("x")).select("grp", "x.name", "x.value").where(F.col("value").isNotNull())
+    return convention_scores(samples.withColumn("convention", F.lit(convention)), [])
+
+
+def pooled_mass(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, choice_mass): the mean mass of samples scored by log-probabilities, also of those whose score isn't a number.
+
+    A sample counts if its score is numeric (NaN is) and its mass is known; by trait it needs a trait.
+    """
+    by = F.col("convention")
+    own = samples.where(by.isin("logprob_trait", "logprob_capability") & F.col("number").isNotNull() & F.col("mass").isNotNull() & (F.col("trait").isNotNull() | (by == "logprob_capability")))
+    return own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("mass").alias("choice_mass"))
+
+
+def reparsed_scores(samples: DataFrame, keys: list[str], valid: str = "ABCD") -> DataFrame:
+    """(keys, trait, score, n_parsed, n_total): trait means with answers read once more from the output where the scorer read none.
+
+    A score is mapping[answer] / max, or (max + 1 - mapping[answer]) / max of a reversed item; letters that aren't mapped count as unread.
+    """
+    own = F.trim("given")
+    answer = F.when(F.rlike(own, F.lit(f"^[{valid}]$")), own).otherwise(text.parse_answer(F.col("output"), valid))
+    raw, top = F.try_element_at("mapping", F.col("__answer")), F.array_max(F.map_values("mapping"))
+    score = F.when(F.col("reverse"), top + 1 - raw).otherwise(raw) / top
+    read = samples.where(F.col("trait").isNotNull()).withColumn("__answer", answer).withColumn("__score", score)
+    return read.groupBy(*keys, "trait").agg(F.avg("__score").alias("score"), F.count("__score").alias("n_parsed"), F.count("*").alias("n_total"))
+
+
+def logprob_rescored(samples: DataFrame, keys: list[str], normalization: str = "softmax") -> DataFrame:
+    """(keys, trait, score, n_parsed, n_total): trait means from the stored log-probabilities, as shares of the choices (softmax) or as they are (raw).
+
+    The expectation of the mapped numbers (max + 1 - number where reversed) over the largest, of letters that are mapped.
+    """
+    probs = {"softmax": lp.softmax, "raw": lp.raw_probs}[normalization](F.col("logprobs"))
+    top = F.array_max(F.map_values("mapping"))
+    numbers = F.transform_values("mapping", lambda _, v: F.when(F.col("reverse"), F.col("__top") + 1 - v).otherwise(v))
+    summed = F.aggregate(F.map_entries("__probs"), F.lit(0.0), lambda a, e: a + F.coalesce(e["value"] * F.try_element_at(F.col("__numbers"), e["key"]), F.lit(0.0)))
+    own = samples.where(F.col("trait").isNotNull()).withColumn("__probs", probs).withColumn("__top", top).withColumn("__numbers", numbers)
+    usable = F.col("logprobs").isNotNull() & (F.size("mapping") > 0)
+    scored = own.withColumn("__score", F.when(usable, summed / F.when(F.col("__top") > 0, F.col("__top")).otherwise(1.0)))
+    return scored.groupBy(*keys, "trait").agg(F.avg("__score").alias("score"), F.count("__score").alias("n_parsed"), F.count("*").alias("n_total"))
+
+
+def sweep_order(table: DataFrame) -> DataFrame:
+    """Rows of a sweep by scale, then run, then whatever else they have."""
+    return table.orderBy("scale", "run", *(c for c in table.columns if c not in ("scale", "run")))
 
 
 def metric_columns(df: DataFrame, housekeeping: tuple[str, ...] = ("model", "scale", "run", "eval", "path", "parse_rate")) -> list[str]:

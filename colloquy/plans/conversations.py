@@ -267,12 +267,12 @@ def top_tokens(spark, d):
 select l_returnflag, count(*) as n, round(avg(exp(a) / (exp(a) + exp(b) + exp(c))), 6) as p_a, round(avg(exp(b) / (exp(a) + exp(b) + exp(c))), 6) as p_b, round(avg((exp(a) + 2 * exp(b) + 4 * exp(c)) / (exp(a) + exp(b) + exp(c)) / 4), 6) as score, round(avg(exp(a) + exp(b) + exp(c)), 6) as mass from {SQL_PARTS} group by 1
 """)
 def q_softmax_choices(spark, d):
-    first = lp.choice_logprobs(F.col("top"))
-    own = top_tokens(spark, d).withColumn("lp", first).withColumn("p", lp.softmax(F.col("lp")))
-    mapping = F.create_map(*(F.lit(x) for x in ("A", 1, "B", 2, "C", 4)))
+    own = top_tokens(spark, d).withColumn("lp", lp.choice_struct(F.col("top"))).withColumn("p", lp.softmax_struct(F.col("lp")))
+    present = lambda v: F.coalesce(v, F.lit(0.0))
+    score = sum((present(F.col("p")[c]) * v for c, v in (("A", 1), ("B", 2), ("C", 4))), F.lit(0.0)) / 4
+    mass = sum((present(F.exp(F.col("lp")[c])) for c in "ABCD"), F.lit(0.0))
     return own.groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("p")["A"]), 6).alias("p_a"), F.round(F.avg(F.col("p")["B"]), 6).alias("p_b"),
-        F.round(F.avg(lp.trait_score(F.col("p"), mapping)), 6).alias("score"), F.round(F.avg(lp.choice_mass(F.lit(None).cast("double"), F.col("lp"))), 6).alias("mass"),
+        F.count("*").alias("n"), F.round(F.avg(F.col("p")["A"]), 6).alias("p_a"), F.round(F.avg(F.col("p")["B"]), 6).alias("p_b"), F.round(F.avg(score), 6).alias("score"), F.round(F.avg(mass), 6).alias("mass")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evals as e
 from ..operators import experiments as x
 from ..operators import judging as j
+from ..sources import eval_logs, scratch
 from ..sources import tables as t
 from .catalogue import query
 from .judging import SCORES, rounded, scores
@@ -68,11 +69,63 @@ union all select 'logprob_capability', 'accuracy', u.name, count(*), round(avg(c
 union all select 'text_capability', 'accuracy', u.name, count(*), round(avg(case u.name when 'score' then cast(value = 'C' as int) when 'parsed' then cast(value = 'C' or was_read as int) else cast(value = 'C' or (not was_read and letter = 'B') as int) end), 6) from {SAMPLES}, (values ('score'), ('parsed'), ('recovered')) u(name) group by all
 """)
 def q_sample_scores(spark, d):
-    out = None
-    for c in ("text_trait", "logprob_trait", "logprob_capability", "text_capability"):
-        own = e.sample_scores(answers(spark, d), c).groupBy(F.lit(c).alias("convention"), "grp", "name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-        out = own if out is None else out.unionByName(own)
-    return rounded(out)
+    kinds = F.explode(F.array(*map(F.lit, ("text_trait", "logprob_trait", "logprob_capability", "text_capability"))))
+    out = e.convention_scores(answers(spark, d).withColumn("convention", kinds), ["convention"])
+    return rounded(out.groupBy("convention", "grp", "name").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
+
+
+EVALS = ("trait", "trait_logprobs", "mmlu", "mmlu_logprobs")
+
+
+def written_logs(spark, d):
+    """lineitem as evaluation logs: JSON files below model=../eval=../run=.. of at most some thousand samples, in the folder all executors share."""
+    model, name = F.concat(F.lit("lora_+"), (F.col("l_linenumber") % 3).cast("string"), F.lit("p50x")), F.get(F.array(*map(F.lit, EVALS)), (F.col("l_partkey") % 4).cast("int"))
+    letter = F.substring(F.lit("ABCD"), (F.col("l_linenumber") % 4 + 1).cast("int"), 1)
+    read, order = F.col("l_orderkey") % 3 > 0, F.col("l_orderkey")
+    value = F.when(F.col("eval").endswith("logprobs"), F.when(order % 5 == 0, F.lit('"none"')).when(order % 5 == 1, F.lit("NaN")).otherwise(F.col("l_discount").cast("double").cast("string"))).otherwise(F.when(read & (F.col("l_linestatus") == "O"), '"C"').otherwise('"I"'))
+    mass = F.when(order % 7 == 0, F.lit("{}")).when(order % 7 < 3, F.format_string('{"choice_mass": %s, "num_choices": 5}', F.col("l_tax").cast("double").cast("string"))).otherwise('{"logprobs": {"A": -1.5, "B": -2.5}}')
+    metadata = F.format_string('{%s"answer_mapping": {"A": 1, "B": 0, "C": 1}, "reverse": %s}', F.when(order % 11 > 0, F.format_string('"trait": "%s", ', "l_returnflag")).otherwise(""), F.when(order % 2 == 0, "true").otherwise("false"))
+    score = F.format_string('{"value": %s, "answer": %s, "explanation": "the answer is %s", "metadata": %s}', value, F.when(read, F.format_string('"%s"', letter)).otherwise("null"), letter, mass)
+    output = F.format_string('{"choices": [{"message": {"content": [{"type": "text", "text": "Answer:"}, {"text": "%s"}]}}]}', letter)
+    sample = F.format_string('{"target": "B", "metadata": %s, "output": %s, "events": [{"event": "model"}, {"event": "score", "score": %s}, {"event": "score", "score": {"value": "X"}}]}', metadata, output, score)
+    own = t.load(spark, d, "lineitem").select("*", name.alias("eval")).select(model.alias("model"), "eval", F.format_string("run_%02d", F.expr("l_orderkey div 20000")).alias("run"), sample.alias("sample"))
+    each = own.groupBy("model", "eval", "run").agg(F.concat(F.lit('{"status": "success", "results": {"scores": [{"scored_samples": 1, "metrics": {}}]}, "samples": ['), F.array_join(F.collect_list("sample"), ","), F.lit("]}")).alias("value"))
+    path = scratch.fresh_path(spark, "eval-logs")
+    each.repartition("model", "eval", "run").write.partitionBy("model", "eval", "run").text(path)
+    return path
+
+
+LOGGED = """(select l_linenumber % 3 * 1 + 0.5 as scale, 'lora_+' || l_linenumber % 3 || 'p50x' as model, ['trait', 'trait_logprobs', 'mmlu', 'mmlu_logprobs'][l_partkey % 4 + 1] as eval, format('run_{:02d}', l_orderkey // 20000) as run,
+  case when l_orderkey % 11 > 0 then l_returnflag end as trait, l_orderkey % 3 > 0 as was_read, l_orderkey % 3 > 0 and l_linestatus = 'O' as good, substring('ABCD', cast(l_linenumber % 4 + 1 as int), 1) as letter, l_orderkey % 2 = 0 as reverse,
+  case when l_orderkey % 5 > 1 then l_discount::double end as number, l_orderkey % 5 > 0 as numeric,
+  case when l_orderkey % 7 = 0 then null when l_orderkey % 7 < 3 then l_tax::double else exp(-1.5) + exp(-2.5) end as mass, case when l_orderkey % 7 in (1, 2) then 5 else 4 end as choices from lineitem)"""
+
+
+@query(f"""
+with s as (select *, case when eval = 'trait' then 'text_trait' when eval = 'trait_logprobs' then 'logprob_trait' when eval = 'mmlu' then 'text_capability' else 'logprob_capability' end as kind from {LOGGED}),
+x as (
+  select model, eval, run, trait as grp, 'score' as name, case letter when 'B' then 0 else 1 end as value from s where kind = 'text_trait' and good and letter <> 'D' and trait is not null
+  union all select model, eval, run, case kind when 'logprob_trait' then trait else 'accuracy' end, u.name, case u.name when 'score' then number when 'mass' then coalesce(mass, 1) else choices end
+    from s, (values ('score'), ('mass'), ('num_choices')) u(name) where kind like 'logprob%' and number is not null and (trait is not null or kind = 'logprob_capability')
+  union all select model, eval, run, 'accuracy', u.name, case u.name when 'score' then good::int when 'parsed' then (good or was_read)::int else (good or (not was_read and letter = 'B'))::int end from s, (values ('score'), ('parsed'), ('recovered')) u(name) where kind = 'text_capability'
+  union all select model, eval, run, 'all', 'choice_mass', mass from s where kind like 'logprob%' and numeric and mass is not null and (trait is not null or kind = 'logprob_capability'))
+select model, eval, run, grp, name, count(*) as n, round(avg(value), 6) as mean from x group by all
+""")
+def q_eval_log_scan(spark, d):
+    found = eval_logs.samples(eval_logs.partitioned_logs(spark, written_logs(spark, d))).withColumn("convention", eval_logs.convention(F.col("eval")))
+    keys = ["model", "eval", "run"]
+    scored = e.convention_scores(found, keys).groupBy(*keys, "grp", "name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return rounded(scored.unionByName(e.pooled_mass(found, keys).select(*keys, F.lit("all").alias("grp"), F.lit("choice_mass").alias("name"), "n", F.col("choice_mass").alias("mean"))))
+
+
+@query(f"""
+select model, eval, run, trait, round(avg(case letter when 'D' then null else case when reverse then 2 - (letter <> 'B')::int else (letter <> 'B')::int end end), 6) as score, count(*) filter (letter <> 'D') as n_parsed, count(*) as n_total
+from {LOGGED} where eval = 'trait' and trait is not null group by all
+""".replace("", ""))
+def q_eval_log_reparsed(spark, d):
+    """Traits read once more from the outputs; only the eval that is asked for is listed and parsed."""
+    found = eval_logs.samples(eval_logs.partitioned_logs(spark, written_logs(spark, d)).where("eval = 'trait'"))
+    return rounded(e.reparsed_scores(found, ["model", "eval", "run"]))
 
 
 @query("""
