@@ -117,7 +117,7 @@ def q_preset_variance(spark, d):
 
 def raw_responses(spark, d):
     """lineitem as a log of ratings and forced choices; later lines of an order and item say it anew."""
-    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey") * 50 + F.col("l_quantity").cast("int")
     p1, p5 = F.col("l_discount").cast("double") + 0.05, F.col("l_tax").cast("double") + 0.4
     pair = F.col("l_linenumber") % 2 == 0
     return t.load(spark, d, "lineitem").select(
@@ -129,7 +129,7 @@ def raw_responses(spark, d):
 
 @query("""
 with r as (
-  select l_orderkey as k, case when l_linenumber % 2 = 0 then 'pair' else 'rating' end as item_id, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as seq, l_partkey % 5 > 0 as soft, l_discount::double + 0.05 as p1, l_tax::double + 0.4 as p5, l_returnflag = 'R' as turned, l_quantity / 50 as mass from lineitem),
+  select l_orderkey as k, case when l_linenumber % 2 = 0 then 'pair' else 'rating' end as item_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100000 + l_suppkey * 50 + l_quantity::int as seq, l_partkey % 5 > 0 as soft, l_discount::double + 0.05 as p1, l_tax::double + 0.4 as p5, l_returnflag = 'R' as turned, l_quantity / 50 as mass from lineitem),
 l as (select * from r qualify row_number() over (partition by k, item_id order by seq desc) = 1)
 select item_id, count(*) as n, count(value) as filled, round(avg(value), 6) as mean from (
   select item_id, case when soft and mass < 0.75 then null when item_id = 'pair' then case when soft then 2 * p5 / (p1 + p5) - 1 else 1 end else case when turned then 6 - x else x end end as value
