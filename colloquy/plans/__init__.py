@@ -1,9 +1,9 @@
 """The catalogue of queries over the given tables."""
 
 from ..sources.tables import with_views
-from . import catalogue, conversations, evals, experiments, factors, generated, judging, kept, models, runs, validation
+from . import catalogue, collation, conversations, evals, experiments, factors, generated, judging, kept, models, runs, validation
 
-__all__ = ["catalogue", "conversations", "evals", "experiments", "factors", "generated", "judging", "kept", "models", "oracle_sql", "queries", "runs", "validation"]
+__all__ = ["catalogue", "collation", "conversations", "evals", "experiments", "factors", "generated", "judging", "kept", "models", "oracle_sql", "queries", "runs", "validation"]
 
 
 def queries() -> dict:
