@@ -89,6 +89,12 @@ def parse_scale(name: Column) -> Column:
     )
 
 
+def parse_cap(name: Column) -> Column:
+    """The threshold in a capped run's name: base is 0, cap_-0p50 is -0.5; a p stands for the point."""
+    body = F.regexp_replace(F.regexp_extract(name, r"^cap_(.*)$", 1), "p", ".")
+    return F.when(name == "base", F.lit(0.0)).when(F.rlike(body, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$")), body.try_cast("double"))
+
+
 def format_scale(scale: Column) -> Column:
     return F.format_string("%+.2f", scale)
 

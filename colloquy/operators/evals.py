@@ -295,7 +295,7 @@ def scale_grid(fine: bool) -> list[float]:
 
 
 def cell_names(cells: DataFrame, model: str, evaluation: str, fingerprint: str) -> DataFrame:
-    """Cells (cell: sorted array<struct<adapter, scale>>, without zero scales) with their tier, label and path."""
+    """Cells (cell: sorted array<struct<adapter, scale>>, without zero scales) with their tier, label and path. The layouts of labels and paths."""
     show = lambda x: F.format_string("%+.2f", x["scale"])
     n, first = F.size("cell"), F.get("cell", F.lit(0))
     combo = F.concat(F.lit("cell_"), F.array_join(F.transform("cell", lambda x: F.concat(x["adapter"], show(x))), "_"))

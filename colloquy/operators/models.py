@@ -84,6 +84,7 @@ def sums_by(df: DataFrame, column: str, key: Column, draws: int = 0, seed: int =
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
+# The words by which the rules below say what their answer means.
 # --- how many factors ----------------------------------------------------------------------------------------------
 
 

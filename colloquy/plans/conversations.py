@@ -222,13 +222,25 @@ def q_parse_rating(spark, d):
     return own.groupBy("form", "l_linenumber", "rating").agg(F.count("*").alias("n"))
 
 
-@query("""
-select name, scale, case when scale is not null then (case when scale < 0 then '-' else '+' end) || printf('%.2f', abs(scale)) end as shown from (values ('base', 0.0::double), ('lora_+1p25x', 1.25), ('lora_-0p50x', -0.5), ('lora_2x', 2.0), ('lora_-3x', -3.0), ('other', null)) v(name, scale)
+NUMBERS = "(select p_size % 5 as form, p_size // 5 + 1 as whole, p_partkey % 100 as cents, p_partkey % 3 = 0 as below, count(*) as n from part group by all)"
+
+
+@query(f"""
+select name, kind, scale, case when scale is not null then (case when scale < 0 then '-' else '+' end) || printf('%.2f', abs(scale)) end as shown, n from (
+  select case form when 0 then 'base' when 1 then 'lora_' || sign || whole || 'p' || lpad(cents::varchar, 2, '0') || 'x' when 2 then 'lora_' || sign || whole || 'x' when 3 then 'cap_' || sign || whole || 'p' || lpad(cents::varchar, 2, '0') else 'run_' || whole || 'x' end as name, kind,
+    case when form = 0 then 0.0 when form = 1 and kind = 'lora' or form = 3 and kind = 'cap' then f * (whole + cents / 100.0) when form = 2 and kind = 'lora' then f * whole end::double as scale, sum(n)::bigint as n
+  from (select *, case when below then '-' else '+' end as sign, case when below then -1.0 else 1.0 end as f from {NUMBERS}), (values ('lora'), ('cap')) k(kind) group by all)
 """)
 def q_parse_scale(spark, d):
-    names = spark.createDataFrame([("base",), ("lora_+1p25x",), ("lora_-0p50x",), ("lora_2x",), ("lora_-3x",), ("other",)], "name string")
-    scale = names.withColumn("scale", text.parse_scale(F.col("name")))
-    return scale.withColumn("shown", F.when(F.col("scale").isNotNull(), text.format_scale(F.col("scale"))))
+    """Names of models and of caps made of sizes and keys of parts, read by either parser."""
+    whole, cents, sign, form = F.expr("p_size div 5 + 1").cast("string"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.when(F.col("p_partkey") % 3 == 0, "-").otherwise("+"), F.col("p_size") % 5
+    name = (
+        F.when(form == 0, "base").when(form == 1, F.concat(F.lit("lora_"), sign, whole, F.lit("p"), cents, F.lit("x"))).when(form == 2, F.concat(F.lit("lora_"), sign, whole, F.lit("x"))).when(form == 3, F.concat(F.lit("cap_"), sign, whole, F.lit("p"), cents))
+        .otherwise(F.concat(F.lit("run_"), whole, F.lit("x")))
+    )
+    names = t.load(spark, d, "part").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    read = names.select("name", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), f(F.col("name")).alias("scale")) for k, f in (("lora", text.parse_scale), ("cap", text.parse_cap))))).alias("x")).select("name", "x.kind", "x.scale", "n")
+    return read.withColumn("shown", F.when(F.col("scale").isNotNull(), text.format_scale(F.col("scale"))))
 
 
 @query(f"""

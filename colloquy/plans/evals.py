@@ -358,10 +358,20 @@ def q_form_responses(spark, d):
     return e.form_responses(["c_name", "c_mktsegment"], own, rater="c_custkey").withColumnRenamed("c_custkey", "rater")
 
 
-@query("select * from (values ([]::varchar[], 'baseline', 'scale_+0.00', 'evals/baselines/m/ev/ff'), (['con'], 'single_adapter', 'con_scale_-0.50', 'fine_tuning/m/con/evals/ev/ff/scale_-0.50'), (['con', 'neu'], 'combo', 'cell_con+1.00_neu-2.00', 'combos/m/con__neu/ev/ff/cell_con+1.00_neu-2.00')) v(adapters, tier, label, path)")
+@query("""
+with s as (select distinct c_custkey % 4 as form, (c_nationkey - 12) / 4.0 as x, c_nationkey / 4.0 as y from customer),
+c as (select list_filter([{'adapter': 'con', 'scale': case when form > 0 then x else 0 end}, {'adapter': 'neu', 'scale': case when form > 1 then y else 0 end}], lambda e: e.scale <> 0) as cell from s),
+p as (select distinct cell, list_transform(cell, lambda e: e.adapter) as adapters, list_transform(cell, lambda e: (case when e.scale < 0 then '-' else '+' end) || printf('%.2f', abs(e.scale))) as shown from c),
+n as (select *, case when len(cell) = 2 then 'cell_' || adapters[1] || shown[1] || '_' || adapters[2] || shown[2] end as combo from p)
+select distinct adapters, case len(cell) when 0 then 'baseline' when 1 then 'single_adapter' else 'combo' end as tier, case len(cell) when 0 then 'scale_+0.00' when 1 then adapters[1] || '_scale_' || shown[1] else combo end as label,
+  case len(cell) when 0 then 'evals/baselines/m/ev/ff' when 1 then 'fine_tuning/m/' || adapters[1] || '/evals/ev/ff/scale_' || shown[1] else 'combos/m/con__neu/ev/ff/' || combo end as path from n
+""")
 def q_cell_names(spark, d):
-    rows = [([],), ([("con", -0.5), ("neu", 0.0)],), ([("neu", -2.0), ("con", 1.0)],)]
-    cells = x.canonical_cells(spark.createDataFrame(rows, "cell array<struct<adapter:string,scale:double>>")).select("cell")
+    """Cells of two adapters whose scales follow from customers' nations."""
+    at = lambda name, on, x: F.struct(F.lit(name).alias("adapter"), F.when(on, x).otherwise(0.0).alias("scale"))
+    form, nation = F.col("c_custkey") % 4, F.col("c_nationkey")
+    rows = t.load(spark, d, "customer").select(F.array(at("neu", form > 1, nation / 4.0), at("con", form > 0, (nation - 12) / 4.0)).alias("cell")).distinct()
+    cells = x.canonical_cells(rows).select("cell").distinct()
     return e.cell_names(cells, "m", "ev", "ff").select(F.transform("cell", lambda c: c["adapter"]).alias("adapters"), "tier", "label", "path")
 
 
