@@ -102,8 +102,12 @@ def with_next(docs: DataFrame, compare, schema: str, ranges: int | None = None)
             yield filled({"place": [TaskContext.get().partitionId()], "last_id": [last[0]], "first": [first], "last": [last[1]]}, 1)
 
     done = written(ordered(docs, ranges).mapInArrow(walk, f"doc_id long, {schema}, {edge}"), "walked")
-    by = W.orderBy("place")  # a row for each range
-    ends = done.where(F.col("place").isNotNull()).select("last_id", "last", F.coalesce(F.lead("first").over(by), F.first("first").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("following"))
+    # the window sees the ranges' numbers alone; texts meet by number
+    by = W.orderBy("place")
+    places = done.where(F.col("place").isNotNull()).select("place")
+    after = places.select("place", F.coalesce(F.lead("place").over(by), F.first("place").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
+    at = done.where(F.col("place").isNotNull())
+    ends = at.select("place", "last_id", "last").join(after, "place").join(at.select(F.col("place").alias("after"), F.col("first").alias("following")), "after").select("last_id", "last", "following")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
