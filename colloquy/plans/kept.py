@@ -124,6 +124,7 @@ def raw_responses(spark, d):
         number.cast("long").alias("seq"), F.col("l_orderkey").alias("k"), F.when(pair, "pair").otherwise("rating").alias("item_id"), F.when(pair, "fc_pair").otherwise("likert").alias("item_type"),
         F.when(F.col("l_partkey") % 5 == 0, F.when(pair, "B").otherwise("2")).alias("parsed_choice"), F.when(F.col("l_partkey") % 5 > 0, F.when(pair, F.create_map(F.lit("A"), p1, F.lit("B"), p5)).otherwise(F.create_map(F.lit("1"), p1, F.lit("5"), p5))).alias("probs"),
         F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity").cast("double") / 50).alias("choice_mass"), (F.col("l_returnflag") == "R").alias("reverse_keyed"), F.lit("B").alias("high_option"), F.lit(None).cast("map<string,double>").alias("mapping"), F.lit(5).alias("scale"),
+        F.lit(None).cast("map<string,map<string,double>>").alias("scoring"),
     )
 
 
@@ -132,12 +133,12 @@ with r as (
   select l_orderkey as k, case when l_linenumber % 2 = 0 then 'pair' else 'rating' end as item_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100000 + l_suppkey * 50 + l_quantity::int as seq, l_partkey % 5 > 0 as soft, l_discount::double + 0.05 as p1, l_tax::double + 0.4 as p5, l_returnflag = 'R' as turned, l_quantity / 50 as mass from lineitem),
 l as (select * from r qualify row_number() over (partition by k, item_id order by seq desc) = 1)
 select item_id, count(*) as n, count(value) as filled, round(avg(value), 6) as mean from (
-  select item_id, case when soft and mass < 0.75 then null when item_id = 'pair' then case when soft then 2 * p5 / (p1 + p5) - 1 else 1 end else case when turned then 6 - x else x end end as value
-  from (select *, case when soft then (p1 + 5 * p5) / (p1 + p5) else 2 end as x from l)) group by item_id
+  select item_id, case when soft and mass < 0.75 then null when item_id = 'pair' then case when soft then 2 * p5 - 1 else 0 end else case when turned then 6 - x else x end end as value
+  from (select *, case when soft then p1 + 5 * p5 else 2 end as x from l)) group by item_id
 """)
 def q_matrix_kept(spark, d):
-    """The matrix of version 4 after three batches that come out of order, the second one twice."""
+    """The matrix of version 5 after three batches that come out of order, the second one twice."""
     root, log = scratch.fresh_path(spark, "matrix"), raw_responses(spark, d)
     for number, part in ((1, 2), (2, 0), (3, 0), (4, 1)):
-        m.update(spark, root, 4, log.where(F.col("k") % 3 == part), number)
-    return rounded(m.current(spark, root, 4).groupBy("item_id").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.avg("value").alias("mean")))
+        m.update(spark, root, 5, log.where(F.col("k") % 3 == part), number)
+    return rounded(m.current(spark, root, 5).groupBy("item_id").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.avg("value").alias("mean")))

@@ -8,6 +8,7 @@ or events that come out of order, change nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import logprobs as lp
 
-RAW = "seq long, k long, item_id string, item_type string, parsed_choice string, probs map<string,double>, choice_mass double, reverse_keyed boolean, high_option string, mapping map<string,double>, scale int"
+RAW = "seq long, k long, item_id string, item_type string, parsed_choice string, probs map<string,double>, choice_mass double, reverse_keyed boolean, high_option string, mapping map<string,double>, scale int, scoring map<string,map<string,double>>"
 CELLS = "k long, item_id string, value double, seq long"
-Encoding = Callable[[DataFrame], Column]
 
 
 def likeliest(probs: Column) -> Column:
@@ -26,31 +26,45 @@ def likeliest(probs: Column) -> Column:
     return F.get(F.array_sort(F.transform(F.map_entries(probs), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("key")))), F.lit(0))["key"]
 
 
-def encoded(events: DataFrame, hard: bool = False, least_mass: float | None = None) -> DataFrame:
-    """CELLS of raw responses (RAW). A response without a parsed choice takes its likeliest one; without either it gives an empty cell.
+def encoded(events: DataFrame, version: int, least_mass: float = 0.75) -> DataFrame:
+    """CELLS of raw responses (RAW), by a version's rules.
 
-    Ratings: the expected one by the probabilities (or the choice itself, if hard or there are none), turned where
-    reversed. fc_pair: 2 p(high) - 1, or +1 and -1. trait_mcq: the expected mapped value over the largest, or that of the
-    choice. Responses whose choice mass is under least_mass give empty cells.
+    A response without a parsed choice takes its likeliest one. likert: the expected digit, or the choice; reversed by
+    scale + 1 (before version 3 by the largest digit that was seen, where probabilities are). trait_mcq: the expected
+    mapped value of the letters that are mapped (in version 1 the letter's number), or that of the choice. fc_pair:
+    2 p(high) - 1, and 0 without probabilities (before version 5 +1 for the high option and -1). forced_choice: +1 for
+    A, -1. vignette: a cell <item>_<dimension> for each dimension that an option scores, with the chosen option's score.
+    From version 4 on, responses whose choice mass (where there are probabilities) is under least_mass give empty cells;
+    so does one without a choice.
     """
-    soft = (F.size("probs") > 0) & F.lit(not hard)
-    choice = F.coalesce("parsed_choice", likeliest(F.col("probs")))
-    scale, turned = F.coalesce("scale", F.lit(5)), F.coalesce("reverse_keyed", F.lit(False))
-    rating = choice.try_cast("double")
-    p_high = F.try_divide(F.try_element_at("probs", F.col("high_option")), lp.total(F.col("probs")))
-    kind = F.col("item_type")
-    value = (
-        F.when(kind == "likert", F.when(soft, lp.expected_rating(F.col("probs")) + F.when(turned, scale + 1 - 2 * lp.expected_rating(F.col("probs"))).otherwise(0.0)).otherwise(F.when(turned, scale + 1 - rating).otherwise(rating)))
-        .when(kind == "fc_pair", F.when(soft, lp.pair_code(F.coalesce(p_high, F.lit(0.0)))).when(choice.isNotNull(), F.when(choice == F.col("high_option"), 1.0).otherwise(-1.0)))
-        .when(kind == "trait_mcq", F.when(soft, lp.trait_score(F.transform_values("probs", lambda _, p: p / lp.total(F.col("probs"))), F.col("mapping"))).otherwise(lp.answer_score(choice, F.col("mapping"), F.lit(False))))
-    )
-    if least_mass is not None:
-        value = F.when(F.coalesce("choice_mass", lp.total(F.col("probs")), F.lit(1.0)) >= least_mass, value)
-    return events.select("k", "item_id", value.alias("value"), "seq")
-
-
-#: Ways of encoding by version. What each version changed.
-VERSIONS: dict[int, Callable[[DataFrame], DataFrame]] = {2: lambda e: encoded(e, hard=True), 3: encoded, 4: lambda e: encoded(e, least_mass=0.75)}
+    probs, kind = F.col("probs"), F.col("item_type")
+    soft = F.coalesce(F.size("probs") > 0, F.lit(False))
+    choice = F.coalesce("parsed_choice", likeliest(probs))
+    turned = F.coalesce("reverse_keyed", F.lit(False))
+    scale = F.coalesce("scale", F.lit(5)).cast("double")
+    digits = F.forall(F.map_keys(probs), lambda d: F.rlike(d, F.lit("^[0-9]+$")))
+    expected = F.aggregate(F.map_entries(probs), F.lit(0.0), lambda s, e: s + e["key"].try_cast("double") * e["value"])
+    ends = scale + 1 if version >= 3 else F.when(soft, F.array_max(F.transform(F.map_keys(probs), lambda d: d.try_cast("double")))).otherwise(scale) + 1
+    rating = F.when(soft & digits, expected).otherwise(choice.try_cast("double"))
+    mapped = F.filter(F.map_entries(probs), lambda e: F.try_element_at("mapping", e["key"]).isNotNull())
+    mcq = F.when(soft, F.when(F.size(mapped) > 0, F.aggregate(mapped, F.lit(0.0), lambda s, e: s + e["value"] * F.try_element_at("mapping", e["key"])))).otherwise(F.try_element_at("mapping", choice))
+    letter = (F.ascii(choice) - 64).cast("double")
+    pole = F.when(choice == F.col("high_option"), 1.0).otherwise(-1.0)
+    pair = F.when(soft, 2 * F.coalesce(F.try_element_at("probs", F.col("high_option")), F.lit(0.0)) - 1).otherwise(0.0) if version >= 5 else pole
+    value = F.when(kind == "likert", F.when(turned, ends - rating).otherwise(rating)).when(kind == "trait_mcq", mcq if version >= 2 else letter).when(kind == "fc_pair", pair).when(kind == "forced_choice", F.when(choice == "A", 1.0).otherwise(-1.0))
+    dims = F.array_distinct(F.flatten(F.transform(F.map_values("scoring"), lambda o: F.map_keys(F.map_filter(o, lambda _, v: v != 0)))))
+    chosen = F.try_element_at("scoring", choice)
+    cell = lambda col, v: F.struct(col.alias("item_id"), v.cast("double").alias("value"))
+    by_dim = F.transform(dims, lambda d: cell(F.concat("item_id", F.lit("_"), d), F.when(choice.isNotNull(), F.coalesce(F.try_element_at(chosen, d), F.lit(0.0)))))
+    heard = choice.isNotNull()
+    if version >= 4:
+        heard = heard & (~soft | (F.coalesce("choice_mass", lp.total(probs)) >= least_mass))
+    each = F.when(kind == "vignette", by_dim).otherwise(F.array(cell(F.col("item_id"), value)))
+    return events.select("k", "seq", heard.alias("heard"), F.explode(each).alias("c")).select("k", "c.item_id", F.when(F.col("heard"), F.col("c.value")).alias("value"), "seq")
+
+
+#: Ways of encoding by version.
+VERSIONS: dict[int, Callable[[DataFrame], DataFrame]] = {v: partial(encoded, version=v) for v in range(1, 6)}
 
 
 def latest(cells: DataFrame) -> DataFrame:

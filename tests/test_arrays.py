@@ -288,7 +288,7 @@ def test_vignettes_need_scoring(spark, tmp_path):
 
 
 def raw(seq, k, item, **rest):
-    base = {"seq": seq, "k": k, "item_id": item, "item_type": "likert", "parsed_choice": None, "probs": None, "choice_mass": None, "reverse_keyed": False, "high_option": None, "mapping": None, "scale": 5}
+    base = {"seq": seq, "k": k, "item_id": item, "item_type": "likert", "parsed_choice": None, "probs": None, "choice_mass": None, "reverse_keyed": False, "high_option": None, "mapping": None, "scale": 5, "scoring": None}
     return base | rest
 
 
@@ -298,6 +298,7 @@ EVENTS = [
     raw(4, 0, "pair", item_type="fc_pair", probs={"A": 0.2, "B": 0.6}, high_option="B", choice_mass=0.8), raw(5, 0, "said", item_type="fc_pair", parsed_choice="A", high_option="B"),
     raw(6, 0, "mcq", item_type="trait_mcq", probs={"A": 0.5, "B": 0.25}, mapping={"A": 1.0, "B": 4.0}, choice_mass=0.75), raw(7, 0, "picked", item_type="trait_mcq", parsed_choice="A", mapping={"A": 1.0, "B": 4.0}),
     raw(8, 1, "lik", probs={"1": 0.5, "5": 0.1}, choice_mass=0.6), raw(9, 1, "lik", parsed_choice="3"), raw(10, 2, "lik"), raw(11, 1, "rev", parsed_choice="x"),
+    raw(12, 2, "fc", item_type="forced_choice", parsed_choice="B"), raw(13, 2, "vig", item_type="vignette", parsed_choice="A", scoring={"A": {"E": 2.0, "C": 0.0}, "B": {"E": -1.0, "A": 1.0}}), raw(14, 2, "low", probs={"1": 0.5, "2": 0.25}, reverse_keyed=True),
 ]
 
 
@@ -307,12 +308,16 @@ def cells(df):
 
 def test_encodings_by_version(spark):
     df = spark.createDataFrame(EVENTS, matrix.RAW)
-    soft = cells(matrix.latest(matrix.VERSIONS[3](df)))
-    assert soft == {(0, "lik"): 3.91, (0, "rev"): 2.09, (0, "typed"): 2, (0, "typed_rev"): 4, (0, "pair"): 0.5, (0, "said"): -1, (0, "mcq"): 0.5, (0, "picked"): 0.25, (1, "lik"): 3, (2, "lik"): None, (1, "rev"): None}
-    hard = cells(matrix.latest(matrix.VERSIONS[2](df)))
-    assert hard[0, "lik"] == 4 and hard[0, "rev"] == 2 and hard[0, "pair"] == 1 and hard[0, "mcq"] == 0.25
-    first = cells(matrix.VERSIONS[4](df.where("seq = 8")))
-    assert first == {(1, "lik"): None} and cells(matrix.VERSIONS[3](df.where("seq = 8"))) == {(1, "lik"): round((0.5 + 0.5) / 0.6, 9)}
+    of = {v: cells(matrix.latest(f(df))) for v, f in matrix.VERSIONS.items()}
+    assert of[5] == {
+        (0, "lik"): 3.91, (0, "rev"): 2.09, (0, "typed"): 2, (0, "typed_rev"): 4, (0, "pair"): 0.2, (0, "said"): 0, (0, "mcq"): 1.5, (0, "picked"): 1, (1, "lik"): 3, (2, "lik"): None, (1, "rev"): None,
+        (2, "fc"): -1, (2, "vig_E"): 2, (2, "vig_A"): 0, (2, "low"): 5,
+    }
+    assert (of[4][0, "pair"], of[4][0, "said"]) == (1, -1) and {k for k in of[5] if of[4][k] != of[5][k]} == {(0, "pair"), (0, "said")}
+    early = cells(matrix.VERSIONS[4](df.where("seq = 8"))), cells(matrix.VERSIONS[3](df.where("seq = 8")))
+    assert early == ({(1, "lik"): None}, {(1, "lik"): 1.0}) and of[3] == of[4]
+    assert of[2][2, "low"] == 2 and {k for k in of[3] if of[2][k] != of[3][k]} == {(2, "low")}
+    assert (of[1][0, "mcq"], of[1][0, "picked"]) == (1, 1) and of[1][0, "mcq"] != of[2][0, "mcq"]
 
 
 def test_incremental_equals_rebuilt(spark, tmp_path):
@@ -322,18 +327,18 @@ def test_incremental_equals_rebuilt(spark, tmp_path):
     put = lambda n, events: (log / f"{n}.json").write_text("".join(json.dumps(e) + "\n" for e in events))
     put(0, order[:4])
     put(1, order[4:8])
-    matrix.follow(spark, str(log), root, 3, str(tmp_path / "c")).awaitTermination(120)
+    matrix.follow(spark, str(log), root, 5, str(tmp_path / "c")).awaitTermination(120)
     put(2, order[8:])
-    matrix.follow(spark, str(log), root, 3, str(tmp_path / "c")).awaitTermination(120)
+    matrix.follow(spark, str(log), root, 5, str(tmp_path / "c")).awaitTermination(120)
     every = spark.read.schema(matrix.RAW).json(str(log))
-    want = cells(matrix.latest(matrix.VERSIONS[3](every)))
-    assert matrix.batches_of(spark, root, 3) == [1, 2, 3] and cells(matrix.current(spark, root, 3)) == want
-    matrix.update(spark, root, 3, spark.createDataFrame(order[8:], matrix.RAW), 3)  # the last batch once more, and an old one as a new one
-    matrix.update(spark, root, 3, spark.createDataFrame(order[:4], matrix.RAW), 4)
-    assert cells(matrix.current(spark, root, 3)) == want
+    want = cells(matrix.latest(matrix.VERSIONS[5](every)))
+    assert matrix.batches_of(spark, root, 5) == [1, 2, 3] and cells(matrix.current(spark, root, 5)) == want
+    matrix.update(spark, root, 5, spark.createDataFrame(order[8:], matrix.RAW), 3)  # the last batch once more, and an old one as a new one
+    matrix.update(spark, root, 5, spark.createDataFrame(order[:4], matrix.RAW), 4)
+    assert cells(matrix.current(spark, root, 5)) == want
     # a new version is built from the whole log, without a cell lost, and only once
     assert matrix.ensure(spark, root, 2, every) and not matrix.ensure(spark, root, 2, every)
-    assert cells(matrix.current(spark, root, 2)) == cells(matrix.latest(matrix.VERSIONS[2](every))) and cells(matrix.current(spark, root, 3)) == want
+    assert cells(matrix.current(spark, root, 2)) == cells(matrix.latest(matrix.VERSIONS[2](every))) and cells(matrix.current(spark, root, 5)) == want
     assert cells(matrix.current(spark, root, 9)) == {}
-    rows = {r.k: r.x for r in matrix.matrix(matrix.current(spark, root, 3), ["lik", "typed", "absent"]).collect()}
+    rows = {r.k: r.x for r in matrix.matrix(matrix.current(spark, root, 5), ["lik", "typed", "absent"]).collect()}
     assert rows == {0: [pytest.approx(3.91), 2.0, None], 1: [3.0, None, None], 2: [None, None, None]}
