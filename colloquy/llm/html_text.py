@@ -329,6 +329,8 @@ def text_of(root: Node, stays: np.ndarray) -> str:
 
 # --- pages to learn from -------------------------------------------------------------------------------------------
 
+#: Characters of pages whose nodes are held together.
+PORTION = 2 << 20
 #: Pages that are made up for the trees to learn from.
 PAGES, TREES = 1500, 100
 PAGE = re.compile(r"\x01(/?)")
@@ -485,17 +487,32 @@ def extracted(pages: list[str], model: trees.BoostedTrees) -> list[str]:
     return [text_of(nodes[0], decode(nodes, agreed(nodes, odds[hi - len(nodes) : hi]))) for nodes, hi in zip(found, ends)]
 
 
+def portions(pages: list[str], most: int = PORTION) -> Iterator[list[str]]:
+    """The pages in turn, as many as hold `most` characters together, or one."""
+    held: list[str] = []
+    size = 0
+    for p in pages:
+        if held and size + len(p) > most:
+            yield held
+            held, size = [], 0
+        held.append(p)
+        size += len(p)
+    if held:
+        yield held
+
+
 def extract(pages: DataFrame, model: trees.BoostedTrees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars): each page's main text, character references decoded, one space between blocks.
 
     Trees are learnt from made-up pages, a fixed number, before. A null or empty page gives the empty text; rows with
-    equal or null ids are each extracted; an empty table gives an empty result; other columns don't matter.
+    equal or null ids are each extracted; an empty table gives an empty result; other columns don't matter. A task holds
+    the nodes of PORTION characters of pages at a time, or of one page.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or learnt())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = extracted([h or "" for h in b.column(2).to_pylist()], shared.value)
+            texts = [t for p in portions([h or "" for h in b.column(2).to_pylist()]) for t in extracted(p, shared.value)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
