@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources import scratch
 from . import models as mo
 from .experiments import halves
 
@@ -361,10 +362,22 @@ def split_summary(found: DataFrame) -> DataFrame:
 STEPS = mo.POISSON.tolist()
 
 
+def share(*of: Column) -> Column:
+    """A number from 0 up to 1 by a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 11) / float(1 << 53)
+
+
+def poisson(u: Column) -> Column:
+    """How many of the steps, which ascend, a share has passed: a chain of cases, which most rows leave at its first ones."""
+    out = F.when(u <= STEPS[0], 0)
+    for n, step in enumerate(STEPS[1:], 1):
+        out = out.when(u <= step, n)
+    return out.otherwise(len(STEPS))
+
+
 def weight(*of: Column) -> Column:
     """A Poisson number by a hash."""
-    u = F.shiftrightunsigned(F.xxhash64(*of), 11) / float(1 << 53)
-    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda n, s: n + F.when(u > s, 1).otherwise(0))
+    return poisson(share(*of))
 
 
 def weighted_ranks(cells: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -394,18 +407,21 @@ def paired_bootstrap(df: DataFrame, keys: list[str], x: str, y: str, *ids: str,
 
     Pairs with a null or non-finite side are left out; r, low and high are null with fewer than three pairs or where a
     side doesn't vary; a draw without a correlation counts as 0. Pairs are counted by value and draw where they are read,
-    so no group of rows comes together: a window for ranks holds the distinct values of one key and draw.
+    so no group of rows comes together: a window for ranks holds the distinct values of one key and draw. The counts are
+    written once, so that the draws aren't made anew for each sum over them; draw 0 is the pairs themselves.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError(f"method must be spearman or pearson, not {method!r}")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     pairs = df.select(*keys, *ids, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where(finite("__x") & finite("__y"))
-    ranks = method == "spearman"
-    own = weighted_correlation(pairs.groupBy(*keys, "__x", "__y").agg(F.count("*").alias("w")), keys, "__x", "__y", ranks)
-    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight(F.lit(seed), F.col("draw"), *map(F.col, ids))).where("w > 0")
-    each = weighted_correlation(drawn.groupBy(*keys, "draw", "__x", "__y").agg(F.sum("w").alias("w")), [*keys, "draw"], "__x", "__y", ranks)
+    # rows that a draw leaves out are told by their share, before it becomes a weight
+    u = F.when(F.col("draw") == 0, STEPS[1]).otherwise(share(F.lit(seed), F.col("draw"), *map(F.col, ids)))
+    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("__u", u).where(F.col("__u") > STEPS[0]).withColumn("w", poisson(F.col("__u")))
+    cells = scratch.written(drawn.groupBy(*keys, "draw", "__x", "__y").agg(F.sum("w").alias("w")), "draws")
+    each = weighted_correlation(cells, [*keys, "draw"], "__x", "__y", method == "spearman")
+    own = each.where("draw = 0").drop("draw")
     q = F.percentile(F.coalesce("r", F.lit(0.0)), F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2)))
-    ends = each.groupBy(*keys).agg(q.alias("__q"))
+    ends = each.where("draw > 0").groupBy(*keys).agg(q.alias("__q"))
     known = (F.col("n") >= 3) & F.col("r").isNotNull()
     return own.join(ends, keys, "left").select(*keys, "n", *(F.when(known, c).alias(name) for name, c in (("r", F.col("r")), ("low", F.col("__q")[0]), ("high", F.col("__q")[1]))))
 

@@ -171,6 +171,14 @@ def test_paired_bootstrap(spark, method):
         v.paired_bootstrap(df, ["g"], "x", "y", "id", method="kendall")
 
 
+def test_draws_are_made_once_by_plain_columns(spark):
+    """The bootstrap's counts are read back from a table, and a weight is no loop over an array for each row and draw."""
+    df = spark.createDataFrame([(k, float(k % 5), float(k % 3)) for k in range(60)], "id long, x double, y double")
+    plan = v.paired_bootstrap(df.withColumn("g", F.lit(1)), ["g"], "x", "y", "id", draws=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "xxhash64" not in plan
+    assert "aggregate(" not in spark.range(3).select(v.weight(F.lit(1), F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_intervals_cover(spark):
     """Of many samples the interval holds the true correlation about as often as it says."""
     rng = np.random.default_rng(1)
