@@ -77,24 +77,42 @@ def q_sample_scores(spark, d):
 EVALS = ("trait", "trait_logprobs", "mmlu", "mmlu_logprobs")
 
 
+def joined(*parts):
+    """Texts one after another; a missing one reads null, as JSON has it."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("null")) for p in parts))
+
+
 def written_logs(spark, d):
-    """lineitem as evaluation logs: JSON files below model=../eval=../run=.. of at most some thousand samples, in the folder all executors share."""
+    """lineitem as evaluation logs: JSON files below model=../eval=../run=.. of at most some thousand samples, in the folder all executors share.
+
+    Only columns are shuffled and gathered; a log becomes text as it is written, and its file is compressed.
+    """
     model, name = F.concat(F.lit("lora_+"), (F.col("l_linenumber") % 3).cast("string"), F.lit("p50x")), F.get(F.array(*map(F.lit, EVALS)), (F.col("l_partkey") % 4).cast("int"))
-    letter = F.substring(F.lit("ABCD"), (F.col("l_linenumber") % 4 + 1).cast("int"), 1)
-    read, order = F.col("l_orderkey") % 3 > 0, F.col("l_orderkey")
-    value = F.when(F.col("eval").endswith("logprobs"), F.when(order % 5 == 0, F.lit('"none"')).when(order % 5 == 1, F.lit("NaN")).otherwise(F.col("l_discount").cast("double").cast("string"))).otherwise(F.when(read & (F.col("l_linestatus") == "O"), '"C"').otherwise('"I"'))
-    mass = F.when(order % 7 == 0, F.lit("{}")).when(order % 7 < 3, F.format_string('{"choice_mass": %s, "num_choices": 5}', F.col("l_tax").cast("double").cast("string"))).otherwise('{"logprobs": {"A": -1.5, "B": -2.5}}')
-    metadata = F.format_string('{%s"answer_mapping": {"A": 1, "B": 0, "C": 1}, "reverse": %s}', F.when(order % 11 > 0, F.format_string('"trait": "%s", ', "l_returnflag")).otherwise(""), F.when(order % 2 == 0, "true").otherwise("false"))
-    score = F.format_string('{"value": %s, "answer": %s, "explanation": "the answer is %s", "metadata": %s}', value, F.when(read, F.format_string('"%s"', letter)).otherwise("null"), letter, mass)
-    output = F.format_string('{"choices": [{"message": {"content": [{"type": "text", "text": "Answer:"}, {"text": "%s"}]}}]}', letter)
-    sample = F.format_string('{"target": "B", "metadata": %s, "output": %s, "events": [{"event": "model"}, {"event": "score", "score": %s}, {"event": "score", "score": {"value": "X"}}]}', metadata, output, score)
-    own = t.load(spark, d, "lineitem").select("*", name.alias("eval")).select(model.alias("model"), "eval", F.format_string("run_%02d", F.expr("l_orderkey div 20000")).alias("run"), sample.alias("sample"))
-    each = own.groupBy("model", "eval", "run").agg(F.concat(F.lit('{"status": "success", "results": {"scores": [{"scored_samples": 1, "metrics": {}}]}, "samples": ['), F.array_join(F.collect_list("sample"), ","), F.lit("]}")).alias("value"))
+    fields = ["l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    own = t.load(spark, d, "lineitem").select(model.alias("model"), name.alias("eval"), F.format_string("run_%02d", F.expr("l_orderkey div 20000")).alias("run"), *fields)
+    each = own.repartition("model", "eval", "run").groupBy("model", "eval", "run").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: sample_text(r, F.col("eval"))), ",")
     path = scratch.fresh_path(spark, "eval-logs")
-    each.repartition("model", "eval", "run").write.partitionBy("model", "eval", "run").text(path)
+    whole = F.concat(F.lit('{"status": "success", "results": {"scores": [{"scored_samples": 1, "metrics": {}}]}, "samples": ['), text, F.lit("]}"))
+    each.select("model", "eval", "run", whole.alias("value")).write.partitionBy("model", "eval", "run").option("compression", "gzip").text(path)
     return path
 
 
+def sample_text(r, name):
+    """A row of lineitem as a sample of the log of an eval of that name."""
+    letter = F.substring(F.lit("ABCD"), (r["l_linenumber"] % 4 + 1).cast("int"), 1)
+    order, number = r["l_orderkey"], lambda c: r[c].cast("double").cast("string")
+    read = order % 3 > 0
+    value = F.when(name.endswith("logprobs"), F.when(order % 5 == 0, F.lit('"none"')).when(order % 5 == 1, F.lit("NaN")).otherwise(number("l_discount"))).otherwise(F.when(read & (r["l_linestatus"] == "O"), '"C"').otherwise('"I"'))
+    mass = F.when(order % 7 == 0, F.lit("{}")).when(order % 7 < 3, joined('{"choice_mass": ', number("l_tax"), ', "num_choices": 5}')).otherwise('{"logprobs": {"A": -1.5, "B": -2.5}}')
+    trait = F.when(order % 11 > 0, joined('"trait": "', r["l_returnflag"], '", ')).otherwise("")
+    metadata = joined("{", trait, '"answer_mapping": {"A": 1, "B": 0, "C": 1}, "reverse": ', F.when(order % 2 == 0, "true").otherwise("false"), "}")
+    answer = F.when(read, joined('"', letter, '"')).otherwise("null")
+    score = joined('{"value": ', value, ', "answer": ', answer, ', "explanation": "the answer is ', letter, '", "metadata": ', mass, "}")
+    output = joined('{"choices": [{"message": {"content": [{"type": "text", "text": "Answer:"}, {"text": "', letter, '"}]}}]}')
+    return joined('{"target": "B", "metadata": ', metadata, ', "output": ', output, ', "events": [{"event": "model"}, {"event": "score", "score": ', score, '}, {"event": "score", "score": {"value": "X"}}]}')
+
+
 LOGGED = """(select l_linenumber % 3 * 1 + 0.5 as scale, 'lora_+' || l_linenumber % 3 || 'p50x' as model, ['trait', 'trait_logprobs', 'mmlu', 'mmlu_logprobs'][l_partkey % 4 + 1] as eval, format('run_{:02d}', l_orderkey // 20000) as run,
   case when l_orderkey % 11 > 0 then l_returnflag end as trait, l_orderkey % 3 > 0 as was_read, l_orderkey % 3 > 0 and l_linestatus = 'O' as good, substring('ABCD', cast(l_linenumber % 4 + 1 as int), 1) as letter, l_orderkey % 2 = 0 as reverse,
   case when l_orderkey % 5 > 1 then l_discount::double end as number, l_orderkey % 5 > 0 as numeric,
@@ -112,8 +130,10 @@ x as (
 select model, eval, run, grp, name, count(*) as n, round(avg(value), 6) as mean from x group by all
 """)
 def q_eval_log_scan(spark, d):
-    found = eval_logs.samples(eval_logs.partitioned_logs(spark, written_logs(spark, d))).withColumn("convention", eval_logs.convention(F.col("eval")))
-    keys = ["model", "eval", "run"]
+    """Scores and pooled mass of all logs, which are parsed once: what both take is written as columns."""
+    keys, used = ["model", "eval", "run"], ["trait", "mapping", "value", "answer", "target", "explanation", "number", "mass", "num_choices"]
+    parsed = eval_logs.samples(eval_logs.partitioned_logs(spark, written_logs(spark, d)))
+    found = scratch.written(parsed.select(*keys, eval_logs.convention(F.col("eval")).alias("convention"), *used), "samples")
     scored = e.convention_scores(found, keys).groupBy(*keys, "grp", "name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return rounded(scored.unionByName(e.pooled_mass(found, keys).select(*keys, F.lit("all").alias("grp"), F.lit("choice_mass").alias("name"), "n", F.col("choice_mass").alias("mean"))))
 

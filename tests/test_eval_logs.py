@@ -3,10 +3,12 @@
 import copy
 import json
 import math
+from pathlib import Path
 
 import pytest
 
 from colloquy.operators import evals
+from colloquy.plans import evals as plans
 from colloquy.sources import eval_logs
 from pyspark.sql import functions as F
 
@@ -156,3 +158,19 @@ def test_outputs_are_read_again(spark, tmp_path):
 def test_order_of_a_sweep(spark):
     rows = [("b", 1.0, "run_01"), ("a", -1.5, "run_02"), ("a", 1.0, "run_00"), ("c", -1.5, "run_01")]
     assert [tuple(r) for r in evals.sweep_order(spark.createDataFrame(rows, "model string, scale double, run string")).collect()] == sorted(rows, key=lambda r: (r[1], r[2]))
+
+
+def test_logs_take_less_room_than_their_columns(spark):
+    """Files of logs are compressed, and their text is made after the shuffle: neither grows by the length of a sample's JSON."""
+    folder = "/root/testdata/sf0.001"
+    path = plans.written_logs(spark, folder)
+    files = list(Path(path.removeprefix("file:")).rglob("part-*"))
+    rows = eval_logs.samples(eval_logs.partitioned_logs(spark, path)).count()
+    assert files and all(f.name.endswith(".txt.gz") for f in files) and sum(f.stat().st_size for f in files) < 60 * rows
+    assert rows == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    # every kind of sample is JSON, whatever the row has
+    row = F.struct(*(F.col(c) for c in ("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
+    odd = spark.sql("select id as l_orderkey, cast(id % 7 + 1 as int) as l_linenumber, if(id % 2 = 0, null, 0.05D) as l_discount, if(id % 3 = 0, null, 0.02D) as l_tax, if(id % 5 = 0, null, 'A') as l_returnflag, 'O' as l_linestatus from range(400)")
+    texts = odd.select(row.alias("r")).select(plans.sample_text(F.col("r"), F.lit("mmlu_logprobs")).alias("a"), plans.sample_text(F.col("r"), F.lit("trait")).alias("b")).collect()
+    made = [json.loads(t) for r in texts for t in r]
+    assert len(made) == 800 and all(len(m["events"]) == 3 and m["target"] == "B" for m in made)
