@@ -32,12 +32,13 @@ LIKERT_PATTERNS = [r"(?U)^[\s*_]*([1-5])\b", r"(?iU)\b(?:rate|rating|score|answe
 # ASCII punctuation, and the order in which vowels replace each other.
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 VOWELS = ("aeiouAEIOU", "eiouaEIOUA")
-EDGES = r"(?U)^\s+|\s+$"
+#: What (?U)\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -45,20 +46,26 @@ def found(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
-def first_letter(text: Column, patterns: list[str], drop: str = "") -> Column:
-    """The letter of the first pattern that gives one which isn't in `drop`; each pattern is tried once."""
-    tries = [F.upper(F.regexp_extract(text, p, 1)) for p in patterns]
-    return F.get(F.array_remove(F.array(*(F.translate(t, drop, "") if drop else t for t in tries)), ""), F.lit(0))
+def first_letter(text: Column, patterns: list[str], drop: str = "", word: str = "") -> Column:
+    """The letter of the first pattern that gives one which isn't in `drop`; a pattern is tried once, and only if those before it give none.
+
+    word: patterns with this word, in capitals here, are tried on texts that have it. Letters that a pattern takes for
+    others, whatever their case, have one capital, so that no match is lost.
+    """
+    has = F.contains(F.upper(text), F.lit(word))
+    tries = [F.when(has, F.regexp_extract(text, p, 1)).otherwise("") if word and word in p.upper() else F.regexp_extract(text, p, 1) for p in patterns]
+    given = (F.translate(F.upper(t), drop, "") if drop else F.upper(t) for t in tries)
+    return F.coalesce(*(F.get(F.array_remove(F.array(t), ""), F.lit(0)) for t in given))
 
 
 def parse_answer(text: Column, valid: str) -> Column:
     """The first letter in `valid` that a pattern gives; a letter that isn't valid leaves it to the next pattern."""
-    return first_letter(stripped(text), ANSWER_PATTERNS, "".join(c for c in "ABCDE" if c not in valid))
+    return first_letter(stripped(text), ANSWER_PATTERNS, "".join(c for c in "ABCDE" if c not in valid), "ANSWER")
 
 
 def parse_choice(text: Column) -> Column:
     """A letter A-D, also as the whole text; no set of valid letters is asked."""
-    return first_letter(stripped(text), CHOICE_PATTERNS)
+    return first_letter(stripped(text), CHOICE_PATTERNS, word="ANSWER")
 
 
 def parse_option(text: Column, letters: str = "AB") -> Column:

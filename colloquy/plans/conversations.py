@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import logprobs as lp
 from ..functions import stats, text
@@ -258,10 +259,11 @@ def q_rescore(spark, d):
 select coalesce(a, 'none') as letter, count(*) as n, round(case when a is null then 0 else count(*) / sum(count(*)) filter (a is not null) over () end, 6) as share from (select {PARSED} as a from {SQL_REPLIES}) group by a
 """)
 def q_letter_histogram(spark, d):
+    """Replies are parsed once; the window is over a row per letter."""
     own = replies(spark, d).select(text.parse_answer(F.col("reply"), "ABCDE").alias("a"))
     counts = own.groupBy("a").agg(F.count("*").alias("n"))
-    valid = counts.where(F.col("a").isNotNull()).agg(F.sum("n").alias("valid"))
-    return counts.join(F.broadcast(valid)).select(F.coalesce("a", F.lit("none")).alias("letter"), "n", F.round(F.when(F.col("a").isNull(), 0.0).otherwise(F.col("n") / F.col("valid")), 6).alias("share"))
+    valid = F.sum(F.when(F.col("a").isNotNull(), F.col("n"))).over(W.partitionBy())
+    return counts.select(F.coalesce("a", F.lit("none")).alias("letter"), "n", F.round(F.when(F.col("a").isNull(), 0.0).otherwise(F.col("n") / valid), 6).alias("share"))
 
 
 # --- log-probabilities ---------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import logprobs as lp
 from colloquy.functions import metrics, stats, text
 from colloquy.operators import experiments, factors, generated, judging, messages
+from colloquy.plans import conversations
 from colloquy.sources import files
 from colloquy.streaming import log
 
@@ -276,3 +277,15 @@ def test_generated_rows(spark):
     assert abs(got.low) < 1e-6 and abs(got.high - 6) < 1e-6 and abs(got.d + 4 / 2**0.5) < 1e-6
     flat = generated.axis_separation(sides.withColumn("x", F.lit(1.0))).first()
     assert flat.d == 0.0
+
+
+def test_letters_are_looked_for_only_where_they_can_be(spark):
+    """Later patterns wait for earlier ones, and those with a word for texts that have it; replies of a histogram are parsed in one scan."""
+    spaces = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+    cases = [(f"{spaces}B) or so{spaces}", "B"), ("AN\u017fWER: c", "C"), ("\x1cB) x", None), ("ANSWER: E. The answer is D", "D"), ("Answer is e, or a) is the correct answer", "A"), ("", None), (None, None), (spaces, None)]
+    df = spark.createDataFrame(cases, "t string, letter string").withColumn("a", text.parse_answer(F.col("t"), "ABCD"))
+    assert [r.a for r in df.collect()] == [letter for _, letter in cases]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(" in plan and "Contains(" in plan and "regexp_replace" not in plan
+    histogram = conversations.q_letter_histogram(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert histogram.count("Relation") == 1
