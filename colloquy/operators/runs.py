@@ -210,15 +210,27 @@ def rollout_items(rollouts: DataFrame) -> DataFrame:
     return each.select("seed_id", "rollout", F.posexplode("m").alias("position", "x")).select("seed_id", "rollout", "position", "x.role", "x.content")
 
 
-def upsert_scores(known: DataFrame, new: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+#: Rows with keys of their own that a task is dealt about, where it holds what it groups.
+DEALT_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df shuffled by keys to as many tasks as that many rows ask for, so that what one of them holds doesn't grow with the rows."""
+    return df.repartition(max(1, -(-rows // DEALT_ROWS)), *keys)
+
+
+def upsert_scores(known: DataFrame, new: DataFrame, aliases: dict[str, str] | None = None, rows: int | None = None) -> DataFrame:
     """Scores (seed_id, rollout, position, evaluator, key, value): those of `new` replace known ones of the same place, evaluator and key.
 
     aliases: evaluators of `new` that are kept under another name.
+    rows: how many scores there are about, known and new; they are dealt to tasks by it. Without it the session's number of partitions holds.
     """
     keys = ["seed_id", "rollout", "position", "evaluator", "key"]
     for name, other in (aliases or {}).items():
         new = new.withColumn("evaluator", F.when(F.col("evaluator") == name, other).otherwise(F.col("evaluator")))
     both = known.select(*keys, "value", F.lit(0).alias("n")).unionByName(new.select(*keys, "value", F.lit(1).alias("n")))
+    if rows is not None:
+        both = dealt(both, rows, "seed_id", "rollout")
     return both.groupBy(*keys).agg(F.max_by("value", "n").alias("value"))
 
 

@@ -177,3 +177,14 @@ def test_reference_sets_and_forms(spark):
         evals.fits_context(F.lit(1), 10, 100, 60)
     with pytest.raises(ValueError):
         evals.sample_scores(items, "other")
+
+
+def test_scores_are_dealt_by_their_number(spark, monkeypatch):
+    """More scores go to more tasks, whatever the session's number of partitions, and to the same rows."""
+    monkeypatch.setattr(runs, "DEALT_ROWS", 50)
+    known = spark.range(1000).select(F.col("id").alias("seed_id"), F.lit("1").alias("rollout"), F.lit(0).alias("position"), F.lit("A").alias("evaluator"), F.lit("k").alias("key"), F.lit(1.0).alias("value"))
+    new = known.where("seed_id % 4 = 0").withColumn("value", F.lit(2.0))
+    dealt = runs.upsert_scores(known, new, {"A": "X"}, rows=1250)
+    assert dealt.rdd.getNumPartitions() == 25
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, runs.upsert_scores(known, new, {"A": "X"}).collect()))
+    assert dealt.count() == 1250 and runs.upsert_scores(known, new, rows=1250).where("value = 2").count() == 250
